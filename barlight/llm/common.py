@@ -48,15 +48,14 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def words(text: Column) -> Column:
-    """The words of a text in order; null gives none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+def single_spaced(text: Column) -> Column:
+    """The text trimmed, with every run of separators as one space; null gives an empty text."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
 
 
 def n_words(text: Column) -> Column:
-    """Number of words without building them: separators start no word, so count the non-space runs."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
-    t = F.trim(t)
+    """Number of words of a text without building them."""
+    t = single_spaced(text)
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1).cast("long")
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import SPACES, maybe_broadcast, stored
+from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -29,18 +29,26 @@ class Limits:
     least_kept: float = 0.3
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _lines(text: Column) -> Column:
     """Lines with a word, as they stand."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _normal(line: Column) -> Column:
-    """Lower case, digits as 0, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACES, " "))
+def _normal_lines(text: Column) -> Column:
+    """Lines with a word in lower case, numbers as 0, words one space apart."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[0-9]+", "0")
+    t = F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+def _key(line: Column) -> Column:
+    """Hash of a host and a normalised line."""
+    return F.xxhash64("source", line)
 
 
 def repeat_words(w: Column) -> Column:
@@ -49,74 +57,90 @@ def repeat_words(w: Column) -> Column:
     Windows are compared by hash (XXH64). Where all are distinct the answer is 0; else they are sorted with
     their places, so the work is n log n however long the text.
     """
-    hashes = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.array().cast("array<bigint>"))
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    hashes = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)).otherwise(F.array().cast("array<bigint>"))
 
-    def covered(h: Column) -> Column:
-        s = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-
-        def repeated(s: Column) -> Column:
-            twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-            places = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-            return F.size(F.array_distinct(places))
+    def repeated(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-        return _let(s, repeated)
+    def covered(h: Column) -> Column:
+        return _let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)
 
     return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def base_counts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_w", _words(F.col("text"))).withColumn("_l", _lines(F.col("text")))
-    out = out.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_w")).cast("long"),
-    }).drop("_w", "_l")
-    return out.withColumn("base_failed", (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words")))
 
+    def counts(t: Column) -> Column:
+        w = F.filter(F.split(t, " "), lambda x: x != "")
+        return _let(w, lambda w: F.struct(F.size(w).alias("n"), (F.length(t) - F.greatest(F.size(w) - 1, F.lit(0))).alias("chars"), repeat_words(w).alias("again")))
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """source, doc_id, tie and, for each distinct normalised line, key (hash of host and line), n (its words in the
-    document) and mark, the least line hash of the document: copies and near copies nearly always share it."""
-    lines = F.transform(_lines(F.col("text")), lambda x: _normal(x))
-    keyed = F.transform(lines, lambda x: F.struct(F.xxhash64("source", x).alias("key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n")))
-    one = docs.select("source", "doc_id", F.xxhash64("text").alias("tie"), keyed.alias("lines"))
-    one = one.withColumn("mark", F.array_min(F.transform("lines", lambda x: x["key"])))
-    return one.select("source", "doc_id", "tie", "mark", F.explode("lines").alias("line")).select("source", "doc_id", "tie", "mark", "line.key", "line.n")
+    lines = _let(_lines(F.col("text")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    out = docs.withColumn("_c", F.explode(F.array(_let(single_spaced(F.col("text")), counts))))
+    out = out.withColumns({
+        "n_words": F.col("_c.n").cast("long"),
+        "word_chars": F.col("_c.chars").cast("long"),
+        "n_symbols": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": lines.cast("long"),
+        "n_repeat_words": F.col("_c.again").cast("long"),
+    }).drop("_c")
+    return out.withColumn("base_failed", (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words")))
 
 
-def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """key of every (host, line) above the limits, counting distinct documents; copies, which share a mark, count once.
+def repeated_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """A row for each occurrence of a line that at least `line_documents` rows of its host hold: source, doc_id, tie,
+    key, n (the line's words) and mark, the least line hash of the document, which copies nearly always share.
 
-    A first pass counts rows, which bounds the distinct documents from above; only lines that pass it are counted
-    exactly, so what is shuffled twice is small. Both counts are partial aggregates before the shuffle.
+    The first pass counts rows by partial aggregates, an upper bound of the distinct documents; only lines that
+    reach the limit are looked at again, so what is kept of unique lines is a hash and a count in one shuffle.
     """
-    lines = hashed_lines(docs)
-    some = stored(lines.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= limits.line_documents).select("key"), "repeated-lines")
-    again = lines.join(maybe_broadcast(some, some.count()), "key", "left_semi")
-    per_line = again.groupBy("source", "key").agg(F.countDistinct("mark").alias("documents"))
-    hosts = docs.groupBy("source").agg(F.count("*").alias("host_documents"))
+    keys = docs.select(F.explode(F.transform(_normal_lines(F.col("text")), _key)).alias("key"))
+    some = stored(keys.groupBy("key").count().where(F.col("count") >= limits.line_documents).select("key"), "repeated-keys")
+    lines = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(_key(x).alias("key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n")))
+    marked = _let(lines, lambda x: F.struct(x.alias("lines"), F.array_min(F.transform(x, lambda y: y["key"])).alias("mark")))
+    one = docs.select("source", "doc_id", F.xxhash64("text").alias("tie"), F.explode(F.array(marked)).alias("m"))
+    every = one.select("source", "doc_id", "tie", "m.mark", F.explode("m.lines").alias("line")).select("source", "doc_id", "tie", "mark", "line.key", "line.n")
+    return stored(every.join(maybe_broadcast(some, some.count()), "key", "left_semi"), "repeated-lines")
+
+
+def frequent_lines(docs: DataFrame, repeated: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """key of every line above the limits among repeated_lines(), counting distinct documents; copies count once."""
+    per_line = repeated.groupBy("source", "key").agg(F.countDistinct("mark").alias("documents"))
+    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_documents"))
     least = F.greatest(F.lit(limits.line_documents), F.col("host_documents") * limits.line_share)
-    found = per_line.join(F.broadcast(hosts) if hosts.count() <= 200_000 else hosts, per_line.source.eqNullSafe(hosts.source))
+    found = per_line.join(hosts, per_line.source.eqNullSafe(hosts.host))
     return stored(found.where(F.col("documents") >= least).select("key"), "frequent-lines")
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """doc_id, tie, removed (words in frequent lines) of the documents that have such lines."""
-    hit = hashed_lines(docs).join(maybe_broadcast(frequent, frequent.count()), "key", "left_semi")
-    # equal rows are counted as one row each: lines of a row are summed per (doc_id, tie), then shared by its rows
-    rows = docs.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.count("*").alias("rows"))
-    hit = hit.groupBy("doc_id", "tie").agg(F.sum("n").alias("n"))
-    rows = rows.withColumnsRenamed({"doc_id": "id2", "tie": "tie2"})
-    return hit.join(rows, hit.doc_id.eqNullSafe(rows.id2) & (hit.tie == rows.tie2)).select("doc_id", "tie", (F.col("n") / F.col("rows")).alias("removed"))
+def removed_words(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, tie (hash of the text), removed (words in frequent lines), keys (those lines) where there are any.
+
+    Equal rows (one id and one text) are taken together; each has its equal share of the words.
+    """
+    repeated = repeated_lines(docs, limits)
+    frequent = frequent_lines(docs, repeated, limits)
+    hit = repeated.join(maybe_broadcast(frequent, frequent.count()), "key", "left_semi")
+    hit = hit.groupBy("doc_id", "tie").agg(F.sum("n").alias("n"), F.collect_set("key").alias("keys"))
+    rows = docs.groupBy(F.col("doc_id").alias("id2"), F.xxhash64("text").alias("tie2")).agg(F.count("*").alias("rows"))
+    joined = hit.join(rows, hit.doc_id.eqNullSafe(rows.id2) & (hit.tie == rows.tie2))
+    return joined.select("doc_id", "tie", (F.col("n") / F.col("rows")).alias("removed"), "keys")
+
+
+def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that pass, without the frequent lines of their hosts; n_chars, if there, follows the text."""
+    names = docs.columns
+    lost = stored(removed_words(docs.select("doc_id", "text", "source"), limits), "lost").withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    verdict = base_counts(docs.select(*names, F.xxhash64("text").alias("_own")), limits)
+    joined = verdict.join(maybe_broadcast(lost, lost.count()), verdict.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
+    joined = joined.where(~F.col("base_failed") & (F.col("n_words") - F.coalesce("removed", F.lit(0.0)) >= limits.least_kept * F.col("n_words")))
+    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), SPACES, " "))
+    without = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("keys", _key(normal(x)))), "\n")
+    out = joined.withColumn("text", F.when(F.col("keys").isNull(), F.col("text")).otherwise(without))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("keys").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*names)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -126,7 +150,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     an empty table gives an empty result; columns other than doc_id, text and source are not read.
     """
     docs = docs.select("doc_id", "text", "source")
-    lost = removed_words(docs, frequent_lines(docs, limits)).withColumnsRenamed({"doc_id": "lost_id", "tie": "lost_tie"})
+    lost = removed_words(docs, limits).withColumnsRenamed({"doc_id": "lost_id", "tie": "lost_tie"})
     base = base_counts(docs, limits).withColumn("tie", F.xxhash64("text")).drop("text")
     joined = base.join(lost, base.doc_id.eqNullSafe(lost.lost_id) & (base.tie == lost.lost_tie), "left")
     removed = F.coalesce("removed", F.lit(0.0))
