@@ -249,6 +249,91 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+SKETCH, BAND = 80, 5  # minima of a text, and how many make a band: 16 bands, 0.998 of pairs at 0.8 share one
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the word shingles, A-Z lower-cased; a shorter text is one shingle, an empty one none."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    grams = [b" ".join(found)] if len(found) < width else map(b" ".join, zip(*(found[k:] for k in range(width)), strict=False))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), np.uint64))
+
+
+def bands(docs: DataFrame, width: int) -> DataFrame:
+    """th and key, a row for each band of minima of each text."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+    mix = rng.integers(1, 1 << 63, BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ths, keys = [], []
+            for th, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_hashes(text.as_py(), width)
+                if len(h):
+                    h ^= h >> np.uint64(29)
+                    low = np.minimum.reduce([(h[at : at + 4096, None] * factors).min(axis=0) for at in range(0, len(h), 4096)])
+                    banded = ((low >> np.uint64(7)).reshape(-1, BAND) * mix).sum(axis=1, dtype=np.uint64)
+                    ths += [th] * len(banded)
+                    keys.append(banded ^ (np.arange(len(banded), dtype=np.uint64) << np.uint64(58)))
+            if ths:
+                yield pa.RecordBatch.from_arrays([pa.array(ths, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["th", "key"])
+
+    return docs.select("th", "text").mapInArrow(run, "th long, key long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets have at least this Jaccard similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            known: dict[int, np.ndarray] = {}
+            ok = []
+            for a, b, x, y in zip(f.a, f.b, f.text_a, f.text_b, strict=True):
+                if a not in known:
+                    known = {a: shingle_hashes(x, width)}
+                p, q = known[a], shingle_hashes(y, width)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= least * (len(p) + len(q) - both))
+            yield f.loc[ok, ["a", "b"]]
+
+    named = lambda side: texts.select(F.col("th").alias(side), F.col("text").alias(f"text_{side}"))
+    return pairs.join(named("a"), "a").join(named("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 3) -> DataFrame:
+    """One row of each group of near copies, that of the least id: texts whose shingle sets are similar, transitively.
+
+    Fingerprints within `distance` bits are candidates, but of texts of similarity 0.8 only some tenth are so close,
+    so equal bands of minima add candidates; every candidate is verified on whole texts. A bucket links each of
+    its texts to its first, not all pairs. Exact copies are one text throughout; equal rows are copies too; null
+    texts are copies of each other; an empty table gives an empty result; all columns of docs are kept.
+    """
+    names = docs.columns
+    own = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = stored(own.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text")), "texts")
+    prints = fingerprints(first.select(F.col("th").alias("doc_id"), "text"), width)
+    prints = stored(prints.select(F.col("doc_id").alias("th"), "fp"), "prints")
+    fps = stored(prints.groupBy("fp").agg(F.min("th").alias("th")), "distinct")
+    x, y = fps.select(F.col("fp").alias("fa"), F.col("th").alias("a")), fps.select(F.col("fp").alias("fb"), F.col("th").alias("b"))
+    edges = links(fps.select("fp"), distance).withColumnsRenamed({"a": "fa", "b": "fb"})
+    near = edges.join(x, "fa").join(y, "fb").select("a", "b")
+    near = near.union(prints.join(fps.withColumnRenamed("th", "a"), "fp").select("a", F.col("th").alias("b")))
+    banded = stored(bands(first, width), "bands")
+    heads = banded.groupBy("key").agg(F.min("th").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = near.union(banded.join(heads, "key").select("a", F.col("th").alias("b")))
+    pairs = stored(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    touched = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
+    found = components(similar(pairs, first.join(touched, "th", "left_semi"), width, least))
+    least_id = found.join(first.select(F.col("th").alias("node"), "first_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("m"))
+    later = found.join(least_id, "root").where(F.col("m.node") != F.col("node")).select(F.col("node").alias("th"))
+    kept = first.select("th", "first_id").join(later, "th", "left_anti").withColumnRenamed("th", "_th")
+    out = own.join(kept, (own.th == kept["_th"]) & own.doc_id.eqNullSafe(kept.first_id), "left_semi")
+    return out.dropDuplicates(["doc_id", "th"]).select(*names)
+
+
 def op8_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
