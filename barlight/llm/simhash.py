@@ -308,7 +308,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
 
     Fingerprints within `distance` bits are candidates, but of texts of similarity 0.8 only some tenth are so close,
     so equal bands of minima add candidates; every candidate is verified on whole texts. A bucket links each of
-    its texts to its first, not all pairs. Exact copies are one text throughout; equal rows are copies too; null
+    its texts to two drawn from it, others in each of the 16 bands, not all pairs. Exact copies are one text throughout; equal rows are copies too; null
     texts are copies of each other; an empty table gives an empty result; all columns of docs are kept.
     """
     names = docs.columns
@@ -322,8 +322,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
     near = edges.join(x, "fa").join(y, "fb").select("a", "b")
     near = near.union(prints.join(fps.withColumnRenamed("th", "a"), "fp").select("a", F.col("th").alias("b")))
     banded = stored(bands(first, width), "bands")
-    heads = banded.groupBy("key").agg(F.min("th").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = near.union(banded.join(heads, "key").select("a", F.col("th").alias("b")))
+    drawn = F.struct(F.xxhash64("th", "key").alias("h"), "th")
+    heads = banded.groupBy("key").agg(F.min(drawn)["th"].alias("a"), F.max(drawn)["th"].alias("z")).where("a <> z")
+    near = near.union(banded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("th").alias("b")))
     pairs = stored(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     touched = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
     found = components(similar(pairs, first.join(touched, "th", "left_semi"), width, least))
