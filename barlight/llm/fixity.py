@@ -82,8 +82,7 @@ def damaged(records: DataFrame) -> DataFrame:
 def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Located damage between the archives of all pages and a damaged replica of them."""
     records = stored(archived(spark.read.parquet(f"{sf_dir}/pages.parquet")), "warc")
-    replica = stored(damaged(records), "warc-replica")
-    mine, theirs = stored(leaves(records), "leaves"), stored(leaves(replica), "leaves-replica")
+    mine, theirs = stored(leaves(records), "leaves"), stored(leaves(damaged(records)), "leaves-replica")
     bad = audit(tree(mine, "tree"), tree(theirs, "tree-replica"))
     ids = records.select("archive", F.col("ordinal").alias("node"), "page_id")
     return bad.join(ids, ["archive", "node"]).select(
