@@ -6,6 +6,7 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from barlight.llm.common import fresh_path
 
 
+#: Runs that one job merges, a task each, before it commits.
+JOB_RUNS = 64
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -126,14 +131,12 @@ class ShardTable:
             runs = self.runs(shards)
             if not runs:
                 return base
+            runs = runs[:JOB_RUNS]
             paths = [s.path for r in runs for s in r]
-            name = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), "[?#].*", "")
-            owner = self.spark.createDataFrame([("/".join(s.path.rsplit("/", 2)[1:]), k) for k, r in enumerate(runs) for s in r], "_file string, _run int")
-            file = F.concat_ws("/", F.element_at(F.split(F.input_file_name(), "/"), -2), name(F.input_file_name()))
-            rows = self.spark.read.parquet(*paths).withColumn("_file", F.regexp_replace(file, "%3D", "="))
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            merged = rows.join(F.broadcast(owner), "_file").drop("_file")  # a row a file
-            merged.repartition(len(runs), "_run").write.partitionBy("_run").parquet(folder)
+            # a run is one partition and so one file; nothing is shuffled
+            parts = [self.spark.read.parquet(*[s.path for s in r]).coalesce(1).withColumn("_run", F.lit(k)) for k, r in enumerate(runs)]
+            reduce(DataFrame.union, parts).write.partitionBy("_run").parquet(folder)
             new = [s for _, own in sorted(self._listed(folder, 1 + max(s.level for r in runs for s in r)).items()) for s in own]
             merged_rows, old_rows = sum(s.rows for s in new), sum(s.rows for r in runs for s in r)
             if merged_rows != old_rows:
