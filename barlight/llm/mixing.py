@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.common import n_words, stored
+from barlight.llm.common import n_words, stored, tucked, untucked
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 BLOCK_TOKENS, SHARD_BLOCKS, SEED = 128, 8192, 20_240_607
 #: Rows of a bucket in which offsets are summed; buckets of a source are summed first, so a hot source is many tasks.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -171,7 +171,7 @@ def mix(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie")), "sized")
     plan, placed = place(sized, block=block)
     placed = stored(placed, "placed")
-    often = slots(docs.sparkSession, plan).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    often = stored(slots(docs.sparkSession, plan).groupBy("source_no", "block").agg(F.count("*").alias("times")), "often")
     taken = pieces(placed, block).join(often, ["source_no", "block"]).groupBy("source_no", "bucket", "row").agg(
         F.sum(F.col("n") * F.col("times")).alias("taken"))
     return placed.join(taken, ["source_no", "bucket", "row"], "left").select(
@@ -184,19 +184,21 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     text is the part with its own white space, n_chars (where docs has it) its length; empty texts take no slot.
     """
     names = docs.columns
+    docs = tucked(docs)
     sized = docs.withColumns({"_size": n_words(F.col("text")), "_tie": F.xxhash64("text")})
     plan, placed = place(sized, block=block)
     placed = stored(placed, "placed")
-    often = slots(docs.sparkSession, plan).groupBy("source_no", "block").agg(F.count("*").cast("int").alias("times"))
+    # stored, so that its join is planned by its real size
+    often = stored(slots(docs.sparkSession, plan).groupBy("source_no", "block").agg(F.count("*").cast("int").alias("times")), "often")
     # words with the separators that follow them; leading separators belong to the first
     tokens = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = pieces(placed.withColumn("_tokens", F.filter(tokens, lambda t: F.rtrim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")) != "")), block)
     part = F.array_join(F.slice("_tokens", (F.col("first") + 1).cast("int"), F.col("n").cast("int")), "")
-    cut = cut.withColumn("text", part).select("source_no", "block", *names)
+    cut = cut.withColumn("text", part).select("source_no", "block", *docs.columns)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     out = cut.join(often, ["source_no", "block"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return out.select(*names)
+    return untucked(out, names)
 
 
 def op5_multinomial_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
