@@ -48,6 +48,20 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Columns of documents that operators read or change; others pass through untouched, whatever their names.
+USED = ("doc_id", "text", "source", "n_chars")
+
+
+def tucked(docs: DataFrame) -> DataFrame:
+    """The used columns, and all others as one struct, so that their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in USED]
+    return docs.select(*[c for c in USED if c in docs.columns], (F.struct(*others) if others else F.lit(None)).alias("_rest"))
+
+
+def untucked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in USED else F.col(f"_rest.`{c}`").alias(c) for c in names])
+
+
 def single_spaced(text: Column) -> Column:
     """The text trimmed, with every run of separators as one space; null gives an empty text."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))

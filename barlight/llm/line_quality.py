@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored
+from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored, tucked, untucked
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -131,8 +131,9 @@ def removed_words(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that pass, without the frequent lines of their hosts; n_chars, if there, follows the text."""
     names = docs.columns
+    docs = tucked(docs)
     lost = stored(removed_words(docs.select("doc_id", "text", "source"), limits), "lost").withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
-    verdict = base_counts(docs.select(*names, F.xxhash64("text").alias("_own")), limits)
+    verdict = base_counts(docs.select("*", F.xxhash64("text").alias("_own")), limits)
     joined = verdict.join(maybe_broadcast(lost, lost.count()), verdict.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
     joined = joined.where(~F.col("base_failed") & (F.col("n_words") - F.coalesce("removed", F.lit(0.0)) >= limits.least_kept * F.col("n_words")))
     normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), SPACES, " "))
@@ -140,7 +141,7 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     out = joined.withColumn("text", F.when(F.col("keys").isNull(), F.col("text")).otherwise(without))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("keys").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    return untucked(out, names)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import components, discard, maybe_broadcast, stored
+from barlight.llm.common import components, discard, maybe_broadcast, stored, tucked, untucked
 
 BITS, SEED = 64, 42
 #: A bucket of more fingerprints is dealt out as pairs of blocks of this size.
@@ -312,7 +312,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
     texts are copies of each other; an empty table gives an empty result; all columns of docs are kept.
     """
     names = docs.columns
-    own = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = tucked(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     first = stored(own.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text")), "texts")
     prints = fingerprints(first.select(F.col("th").alias("doc_id"), "text"), width)
     prints = stored(prints.select(F.col("doc_id").alias("th"), "fp"), "prints")
@@ -332,7 +332,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
     later = found.join(least_id, "root").where(F.col("m.node") != F.col("node")).select(F.col("node").alias("th"))
     kept = first.select("th", "first_id").join(later, "th", "left_anti").withColumnRenamed("th", "_th")
     out = own.join(kept, (own.th == kept["_th"]) & own.doc_id.eqNullSafe(kept.first_id), "left_semi")
-    return out.dropDuplicates(["doc_id", "th"]).select(*names)
+    return untucked(out.dropDuplicates(["doc_id", "th"]), names)
 
 
 def op8_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
