@@ -25,7 +25,7 @@ def publish(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        out.append((F.floor((c) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c.cast("long").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType)) else c)
+        out.append((F.floor(c * 1e6 + 0.501) / 1e6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c.cast("long").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType)) else c)
     return df.select(*out)
 
 
