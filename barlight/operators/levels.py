@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barlight.functions.columns import zone_half_width
 from barlight.operators.session import last_price
 
-BY_DAY = Window.partitionBy("ticker").orderBy("day")
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("day")
+
 #: Columns of a level before zones and ranks.
 RAW = ("ticker", "day", "ord", "id", "kind", "source", "session", "price", "strength")
 
 
 def true_range() -> Column:
-    back = F.lag("close").over(BY_DAY)
+    back = F.lag("close").over(by_day())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - back), F.abs(F.col("low") - back))
 
 
 def atr(daily: DataFrame, n: int = 14) -> DataFrame:
     """daily with true_range and atr, the mean of the last n, null before there are n."""
-    w = BY_DAY.rowsBetween(-(n - 1), 0)
+    w = by_day().rowsBetween(-(n - 1), 0)
     out = daily.withColumn("true_range", true_range())
     return out.withColumn("atr", F.when(F.count("true_range").over(w) == n, F.avg("true_range").over(w)))
 
@@ -59,9 +62,9 @@ def swing_pivots(daily: DataFrame, days: DataFrame, lookback: int = 120, k: int
     A high is a pivot if it is strictly above those of k bars on either side; a day sees those among its last
     `lookback` bars, less k at either edge. The match of days with pivots is bounded by the lookback.
     """
-    before, after = BY_DAY.rowsBetween(-k, -1), BY_DAY.rowsBetween(1, k)
+    before, after = by_day().rowsBetween(-k, -1), by_day().rowsBetween(1, k)
     full = (F.count("high").over(before) == k) & (F.count("high").over(after) == k)
-    n = daily.withColumn("idx", F.row_number().over(BY_DAY)).withColumn("full", full).withColumn(
+    n = daily.withColumn("idx", F.row_number().over(by_day())).withColumn("full", full).withColumn(
         "is_high", F.col("full") & (F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after))).withColumn(
         "is_low", F.col("full") & (F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after)))
     sides = F.array(F.when(F.col("is_high"), F.struct(F.lit("high").alias("side"), F.col("high").alias("price"))),

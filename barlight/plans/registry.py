@@ -17,7 +17,11 @@ from barlight.plans.oracle import query, select
 from barlight.sources import bars as src
 from barlight.streaming import session as streams
 
-DAY = F.lit("2024-01-20").cast("date")
+DAY, AS_OF = "2024-01-20", "1998-06-30"
+
+
+def date(text: str):
+    return F.lit(text).cast("date")
 
 
 def publish(df: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def sink_bars(t: Tables) -> DataFrame:
     """A second write replaces only the day that it has."""
     path = t.scratch("bars5m")
     src.write_bars(t.bars, path)
-    src.write_bars(t.bars.where(F.col("day") == DAY).withColumn("close", F.col("close") + 1), path)
+    src.write_bars(t.bars.where(F.col("day") == date(DAY)).withColumn("close", F.col("close") + 1), path)
     return src.scan_bars(t.spark, path, src.BARS_5M).select("ticker", "day", "ts", "close")
 
 
@@ -186,7 +190,7 @@ simple("normalize_intraday", lambda t: src.normalize_bars(_provider(t, False), "
        "(SELECT event_id, timezone('America/New_York', timezone('UTC', date_trunc('second', ts))) AS ts, CAST(timezone('America/New_York', timezone('UTC', date_trunc('second', ts))) AS DATE) AS day, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events WHERE event_id % 97 <> 0)")
 simple("ingest_watermark", lambda t: src.ingest_start(t.daily.where(F.col("ticker") != "click").withColumn("ts", F.col("day").cast("timestamp_ntz")), t.universe, "7 days", "2015-01-01"), "ticker last_ts start",
        "(SELECT u.ticker, x.last_ts, coalesce(x.last_ts - INTERVAL 7 DAYS, TIMESTAMP '2015-01-01') AS start FROM (SELECT DISTINCT event_type AS ticker FROM events) u LEFT JOIN (SELECT ticker, max(day)::TIMESTAMP AS last_ts FROM d WHERE ticker <> 'click' GROUP BY 1) x USING (ticker))")
-simple("lookback_days", lambda t: src.expand_lookback(t.universe, DAY, 5), "ticker day", "(SELECT ticker, CAST(DATE '2024-01-20' - CAST(range AS INTEGER) AS DATE) AS day FROM (SELECT DISTINCT event_type AS ticker FROM events), range(6))")
+simple("lookback_days", lambda t: src.expand_lookback(t.universe, date(DAY), 5), "ticker day", "(SELECT ticker, CAST(DATE '2024-01-20' - CAST(range AS INTEGER) AS DATE) AS day FROM (SELECT DISTINCT event_type AS ticker FROM events), range(6))")
 _OLD, _NEW = "event_id % 2 = 0", "event_id % 3 = 0"
 
 
@@ -204,14 +208,14 @@ simple("ingest_audit", lambda t: src.ingest_audit(*_halves(t)), "ticker rows_bef
 simple("latest_snapshot", lambda t: src.latest_by_ticker(t.daily), "ticker day close*", "d", "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1")
 simple("retention_filter", lambda t: (lambda kept, gone: kept.crossJoin(F.broadcast(gone)))(*src.apply_retention(t.bars, F.lit("2024-01-31").cast("date"), 10)), "ticker ts close* deleted#",
        "(SELECT * FROM b, (SELECT count(*) AS deleted FROM (SELECT DISTINCT ticker, day FROM b WHERE day < DATE '2024-01-21')) WHERE day >= DATE '2024-01-21')")
-simple("asof_partition", lambda t: src.asof_partition(t.daily.where(F.col("day") != DAY), DAY), "ticker day close*", "d", "WHERE day < DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1")
+simple("asof_partition", lambda t: src.asof_partition(t.daily.where(F.col("day") != date(DAY)), date(DAY)), "ticker day close*", "d", "WHERE day < DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1")
 
 # cleaning
 simple("last_timestamp", lambda t: clean.last_timestamp(t.raw("events").select(F.col("event_type").alias("ticker"), F.col("ts").cast("string").alias("ts"))), "ticker last_ts", "(SELECT ticker, max(ts) AS last_ts FROM ticks GROUP BY 1)")
 simple("to_market_tz", lambda t: t.raw("events").select("event_id", C.to_market_tz(F.col("ts")).alias("local_ts")), "event_id local_ts=ts", "(SELECT seq AS event_id, ts FROM ticks)")
 simple("label_session", lambda t: t.ticks.select("seq", C.label_session(F.col("ts")).alias("session")), "seq session",
        "(SELECT seq, CASE WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 14400 AND 34199 THEN 'PRE' WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 34200 AND 57599 THEN 'RTH' WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 57600 AND 71999 THEN 'AFT' ELSE 'CLOSED' END AS session FROM ticks)")
-simple("trading_day_filter", lambda t: t.ticks.where(C.trading_day(F.col("ts")) == DAY), "ticker ts price* seq", "ticks", "WHERE CAST(ts AS DATE) = DATE '2024-01-20'")
+simple("trading_day_filter", lambda t: t.ticks.where(C.trading_day(F.col("ts")) == date(DAY)), "ticker ts price* seq", "ticks", "WHERE CAST(ts AS DATE) = DATE '2024-01-20'")
 simple("floor_5m", lambda t: clean.floor_grid(t.ticks), "ticker ts price* seq", "(SELECT ticker, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, price, seq FROM ticks QUALIFY row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ticks.ts DESC, seq DESC) = 1)")
 
 
@@ -238,7 +242,7 @@ simple("running_vwap", lambda t: session.running_vwap(t.bars), "ticker ts runnin
        "(SELECT ticker, ts, sum((high + low + close) / 3.0::DOUBLE * volume) OVER w / sum(volume) OVER w AS running_vwap FROM b WINDOW w AS (PARTITION BY ticker, day, session ORDER BY ts ROWS UNBOUNDED PRECEDING))")
 simple("opening_range", lambda t: session.opening_range(t.bars), "ticker day minutes# start_ts end_ts high* low* complete", "opening")
 simple("session_state_wide", lambda t: t.state, "ticker day " + " ".join(f"{s}_{c}{'#' if c == 'bar_count' else '*'}" for s in ("pre", "rth", "aft") for c in ("high", "low", "close", "bar_count", "vwap")), "state")
-simple("state_status", lambda t: session.state_status(t.universe.select("ticker").join(t.bars.where((F.col("day") == DAY) & (F.hour("ts") < 12) & (F.col("ticker") != "click")).groupBy("ticker").agg(F.max("ts").alias("last_update_ts")), "ticker", "left").withColumn("day", DAY), t.bars, DAY),
+simple("state_status", lambda t: session.state_status(t.universe.select("ticker").join(t.bars.where((F.col("day") == date(DAY)) & (F.hour("ts") < 12) & (F.col("ticker") != "click")).groupBy("ticker").agg(F.max("ts").alias("last_update_ts")), "ticker", "left").withColumn("day", date(DAY)), t.bars, date(DAY)),
        "ticker bars# new_bars# status", "(SELECT ticker, count(*) AS bars, count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) AS new_bars, CASE WHEN count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) = 0 THEN 'up_to_date' ELSE 'updated' END AS status FROM b WHERE day = DATE '2024-01-20' GROUP BY 1)")
 simple("state_merge", lambda t: session.merge_state(session.session_agg(t.bars.where(F.hour("ts") < 12)), t.bars), "ticker day session high* low* close* bar_count# first_ts last_ts vwap*", "agg")
 simple("state_last_price", lambda t: t.state.withColumn("last", session.last_price(F.col("rth_close"), F.col("pre_close"))), "ticker day last*", "ctx")
@@ -285,9 +289,8 @@ _L = "ticker day close* er* slope_n* range_atr* regime"
 simple("slope_norm", lambda t: t.long_features.withColumn("slope_n", regimes.slope_norm()), "ticker day slope_n*", "ldr")
 simple("regime_label", lambda t: regimes.label_regimes(t.long_features), _L, "ldr")
 simple("regime_changed", lambda t: regimes.label_regimes(t.long_features), "ticker day regime_prev changed", "ldr")
-_AS = F.lit("1998-06-30").cast("date")
-simple("regime_asof", lambda t: regimes.regime_asof(regimes.label_regimes(t.long_features), _AS), "ticker rows# asof_label_day asof_regime", "(SELECT ticker, count(*) AS rows, max(day) AS asof_label_day, arg_max(regime, day) AS asof_regime FROM ldr WHERE day <= DATE '1998-06-30' GROUP BY 1)")
-simple("regime_latest", lambda t: regimes.regime_latest(regimes.label_regimes(t.long_features), _AS), _L + " changed", "ldr", "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day = DATE '1998-06-30' DESC, day DESC) = 1")
+simple("regime_asof", lambda t: regimes.regime_asof(regimes.label_regimes(t.long_features), date(AS_OF)), "ticker rows# asof_label_day asof_regime", "(SELECT ticker, count(*) AS rows, max(day) AS asof_label_day, arg_max(regime, day) AS asof_regime FROM ldr WHERE day <= DATE '1998-06-30' GROUP BY 1)")
+simple("regime_latest", lambda t: regimes.regime_latest(regimes.label_regimes(t.long_features), date(AS_OF)), _L + " changed", "ldr", "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day = DATE '1998-06-30' DESC, day DESC) = 1")
 
 # nowcast
 simple("infer_session", lambda t: t.parts["latest"].withColumn("inferred", nowcast.infer_session(F.col("asof_ts"), F.col("day"))), "ticker day asof_ts inferred",
