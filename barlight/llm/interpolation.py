@@ -27,11 +27,11 @@ from barlight.llm.common import discard, stored
 FOLDS, TEST, DEV = 7, 2, 3
 VOCABULARY = 1 << 20
 #: Bigrams with more than this share of the training tokens are hot.
-HOT_SHARE = 2.0**-17
+HOT_SHARE = 2.0**-20
 #: Records of a bucket of keys, which one task holds.
-BUCKET_RECORDS = 4_000_000
+BUCKET_RECORDS = 2_000_000
 #: Texts of at most so many bytes are counted together as one block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 END, RARE, SHIFT = 0, 1, 22
 TAIL = np.int64(1) << 62  # marks the key of a rare word
 BUCKETS = 24  # of context counts, by powers of two
