@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barlight.operators.insights import PPF_A, PPF_B
+
 _ROLL = """arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume"""
 
 #: Name to SQL; each may use those before it.
@@ -64,7 +66,20 @@ def _daily(src: str, atr: str, n: int = 20) -> dict[str, str]:
 
 
 STEPS |= _daily("d", "atr") | _daily("ld", "latr")
-_Z = {"45": 0.5977601260424784, "68": 0.9944578832097535, "95": 1.959963984540054}
+
+
+def _central_z(p: float) -> float:
+    """The approximation of the inverse normal that the operators use, for the middle of the distribution."""
+    q, r = p - 0.5, (p - 0.5) ** 2
+    a, b = 0.0, 0.0
+    for x in PPF_A:
+        a = a * r + x
+    for x in (*PPF_B, 1.0):
+        b = b * r + x
+    return a * q / b
+
+
+_Z = {"45": _central_z(0.725), "68": _central_z(0.84), "95": _central_z(0.975)}
 STEPS |= {
     "n0": "SELECT f.*, s.rth_bar_count, c.atr, " + ", ".join(f"coalesce(nullif(CASE session WHEN 'PRE' THEN pre_{x} WHEN 'AFT' THEN aft_{x} ELSE rth_{x} END, 0.0::DOUBLE), nullif(rth_{x}, 0.0::DOUBLE)) AS {x}_so_far" for x in ("low", "high")) + " FROM f5l f JOIN state s USING (ticker, day) LEFT JOIN ctx c USING (ticker, day)",
     "n1": "SELECT * REPLACE (CASE WHEN session IN ('PRE', 'RTH', 'AFT') THEN session WHEN epoch(asof_ts - day::TIMESTAMP) >= 14400 AND epoch(asof_ts - day::TIMESTAMP) < 34200 THEN 'PRE' WHEN epoch(asof_ts - day::TIMESTAMP) >= 34200 AND epoch(asof_ts - day::TIMESTAMP) < 57600 THEN 'RTH' WHEN epoch(asof_ts - day::TIMESTAMP) >= 57600 AND epoch(asof_ts - day::TIMESTAMP) < 72000 THEN 'AFT' ELSE 'UNK' END AS session) FROM n0",
