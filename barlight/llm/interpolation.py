@@ -19,6 +19,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,15 +295,35 @@ def log_probability(words: Words, weights: np.ndarray, key: np.ndarray, pair: np
     return np.log10(p)
 
 
-PARTIAL = "doc_id long, n_tokens long, n_known long, base double, score double"
+RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+WHOLE, PART = b"W", b"P"  # a block's own sums, and what a bucket adds to some of its texts
+
+
+def laid_out(*arrays) -> bytes:
+    """Arrays as doubles or longs behind their lengths."""
+    out = []
+    for a in arrays:
+        a = np.atleast_1d(np.asarray(a))
+        a = a.astype("<f8" if a.dtype.kind == "f" else "<i8")
+        out.append(np.array([len(a), a.dtype.kind == "f"], "<i8").tobytes() + a.tobytes())
+    return b"".join(out)
+
+
+def read_back(data: bytes, n: int) -> tuple[list[np.ndarray], bytes]:
+    """So many arrays, and the bytes behind them."""
+    at, out = 0, []
+    for _ in range(n):
+        length, real = np.frombuffer(data[at : at + 16], "<i8").tolist()
+        out.append(np.frombuffer(data[at + 16 : at + 16 + 8 * length], "<f8" if real else "<i8").copy())
+        at += 16 + 8 * length
+    return out, data[at:]
 
 
 def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Null and blank texts are an end alone; a null id counts as an empty one for its fold; rows that share an id
-    give one row with their sums, as each of them would count; an empty table gives an empty result; without
-    training documents every count is 0. Columns other than doc_id and text are not read.
+    Null and blank texts are an end alone; a null id counts as an empty one for its fold; equal rows
+    give equal rows; an empty table gives an empty result; without training documents every count is 0. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -315,7 +336,7 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_records: int = B
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, a, hk, hn = shared.value
-        for ids, parts, texts in blocks(batches):
+        for number, (ids, parts, texts) in enumerate(blocks(batches)):
             k, h, doc = classes(texts, w)
             n_docs, ones, rare = len(ids), np.ones(len(k)), k == RARE
             sums = lambda v, d: np.bincount(d, v, n_docs)
@@ -339,65 +360,62 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_records: int = B
             b = bucket_of(both, buckets)
             order = np.argsort(b, kind="stable")
             ends = np.searchsorted(b[order], np.arange(buckets + 1))
-            id_array = np.array([x or 0 for x in ids], np.int64)
-            nulls = np.array([x is None for x in ids])
-            rows = []
+            block = np.int64(TaskContext.get().partitionId() << 32 | number)
+            rows = [(-1 - int(block) % buckets, WHOLE + laid_out(block, [x or 0 for x in ids], [x is None for x in ids], n_tokens, known, base, got))]
             for i in range(buckets):
                 x = order[ends[i] : ends[i + 1]]
                 if len(x):
                     there, local = np.unique(where[x], return_inverse=True)
-                    head_ = np.concatenate([[len(there)], id_array[there], nulls[there].astype(np.int64), train[there]]).astype("<i8").tobytes()
-                    rows.append((i, head_ + packed(both[x], local.astype(np.int64), n[x])))
-            first = np.concatenate([[-1], id_array, nulls.astype(np.int64)]).astype("<i8").tobytes() + np.concatenate([n_tokens, known, base, got]).astype("<f8").tobytes()
-            rows.append((-1 - int(id_array[0]) % buckets, first))
+                    rows.append((i, PART + laid_out(block, there, train[there]) + packed(both[x], local.astype(np.int64), n[x])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
-    def partial(ids, nulls, *sums) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        cols = [pa.array(ids, pa.int64(), mask=nulls), *(pa.array(s.astype(np.int64) if i < 2 else s) for i, s in enumerate(sums))]
-        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "n_known", "base", "score"])
-
     def meet(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         w, a, _, _ = shared.value
-        keys, where, ns, ids, nulls, trains, offset = [], [], [], [], [], [], 0
+        out, parts, offset = [], [], 0
         for data in held:
-            m = int(np.frombuffer(data[:8], np.int64)[0])
-            if m < 0:
-                m = (len(data) - 8) // 48
-                x = np.frombuffer(data[8 : 8 + 16 * m], np.int64).reshape(2, m)
-                s = np.frombuffer(data[8 + 16 * m :], np.float64).reshape(4, m)
-                yield partial(x[0], x[1].astype(bool), *s)
+            (block, *arrays), rest = read_back(data[1:], 7 if data[:1] == WHOLE else 3)
+            if data[:1] == WHOLE:
+                out.append((int(block[0]), data))
                 continue
-            x = np.frombuffer(data[8 : 8 + 24 * m], np.int64).reshape(3, m)
-            key, local, n = unpacked(data[8 + 24 * m :], 3)
-            keys.append(key)
-            where.append(local + offset)
-            ns.append(n)
-            ids.append(x[0])
-            nulls.append(x[1])
-            trains.append(x[2])
-            offset += m
-        if not keys:
-            return
-        key, where, n, ids, nulls, train = map(np.concatenate, (keys, where, ns, ids, nulls, trains))
-        order = np.argsort(key, kind="stable")
-        key, where, n = key[order], where[order], n[order]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.add.reduceat(n * train[where], cuts)
-        tail = key[cuts] >= TAIL
-        value = np.empty(len(cuts))
-        value[~tail] = log_probability(w, a, key[cuts][~tail], count[~tail])
-        value[tail] = np.log10(count[tail] + 1.0)
-        runs = np.diff(np.append(cuts, len(key)))
-        per, is_tail, seen = np.repeat(value, runs), np.repeat(tail, runs), np.repeat(count > 0, runs)
-        sums = lambda v: np.bincount(where, v * n, offset)
-        rest = np.where(is_tail, per - rare_floor, per)
-        yield partial(ids, nulls.astype(bool), np.zeros(offset), sums(is_tail & seen), sums(np.where(is_tail, per - base_floor, 0.0)), sums(rest))
+            key, local, n = unpacked(rest, 3)
+            parts.append((int(block[0]), arrays[0], arrays[1].astype(np.int64), key, local + offset, n))
+            offset += len(arrays[0])
+        if parts:
+            train = np.concatenate([x[2] for x in parts])
+            key, where, n = (np.concatenate([x[i] for x in parts]) for i in (3, 4, 5))
+            order = np.argsort(key, kind="stable")
+            key, where, n = key[order], where[order], n[order]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.add.reduceat(n * train[where], cuts)
+            tail = key[cuts] >= TAIL
+            value = np.empty(len(cuts))
+            value[~tail] = log_probability(w, a, key[cuts][~tail], count[~tail])
+            value[tail] = np.log10(count[tail] + 1.0)
+            runs = np.diff(np.append(cuts, len(key)))
+            per, is_tail, seen = np.repeat(value, runs), np.repeat(tail, runs), np.repeat(count > 0, runs)
+            sums = [np.bincount(where, v * n, offset) for v in (is_tail & seen, np.where(is_tail, per - base_floor, 0.0), np.where(is_tail, per - rare_floor, per))]
+            at = 0
+            for block, there, *_ in parts:
+                out.append((block, PART + laid_out(np.int64(block), there, *(s[at : at + len(there)] for s in sums))))
+                at += len(there)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "data"])
+
+    def finish(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The rows of one block of texts, with what its buckets have found."""
+        whole = next(x for x in held if x[:1] == WHOLE)
+        (_, ids, nulls, n_tokens, *sums), _ = read_back(whole[1:], 7)
+        for data in held:
+            if data[:1] == PART:
+                (_, there, *more), _ = read_back(data[1:], 5)
+                for total_, x in zip(sums, more, strict=True):
+                    np.add.at(total_, there.astype(np.int64), x)
+        cols = [pa.array(ids.astype(np.int64), mask=nulls.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     part = docs.select("doc_id", fold("doc_id").alias("part"), "text")
     records = part.mapInArrow(read, "bucket long, data binary")
-    summed = in_buckets(records, buckets, meet, PARTIAL).groupBy("doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    returned = in_buckets(records, buckets, meet, "bucket long, data binary")
+    summed = in_buckets(returned, buckets, finish, RESULT)
     return summed.select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
