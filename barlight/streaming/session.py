@@ -10,17 +10,26 @@ from barlight.functions.columns import SESSIONS, label_session, trading_day, typ
 LATE = "60 minutes"
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """Watermarks need instants: the local time read in the session's zone, and written back in it."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+
+
+def _local(column: str):
+    return F.col(column).cast("timestamp_ntz")
+
+
 def stream_dedupe(bars: DataFrame) -> DataFrame:
     """One bar a ticker and time within the watermark; unlike the batch merge, the first arrival wins."""
-    return bars.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["ticker", "ts"])
+    return _timed(bars).dropDuplicatesWithinWatermark(["ticker", "ts"]).withColumn("ts", _local("ts"))
 
 
 def stream_bars(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
     """Tumbling bars of a tick stream, each emitted once the watermark has passed its end."""
     order = F.struct("ts", "seq")
-    bars = ticks.withWatermark("ts", LATE).groupBy("ticker", F.window("ts", width).alias("w")).agg(
+    bars = _timed(ticks).groupBy("ticker", F.window("ts", width).alias("w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
-    return bars.select("ticker", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+    return bars.select("ticker", _local("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
 def stream_session_state(bars: DataFrame) -> DataFrame:
@@ -28,7 +37,7 @@ def stream_session_state(bars: DataFrame) -> DataFrame:
     rth = F.col("session") == "RTH"
     tp = typical_price(F.col("high"), F.col("low"), F.col("close"))
     own = bars.withColumn("session", label_session(F.col("ts"))).withColumn("day", trading_day(F.col("ts"))).where(F.col("session").isin(*SESSIONS))
-    out = own.withWatermark("ts", LATE).groupBy("ticker", F.window("ts", "1 day").alias("w"), "day", "session").agg(
+    out = _timed(own).groupBy("ticker", F.window("ts", "1 day").alias("w"), "day", "session").agg(
         F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.count("*").alias("bar_count"),
         F.sum(F.when(rth, tp * F.col("volume")).otherwise(0.0)).alias("sum_pv"), F.sum(F.when(rth, F.col("volume")).otherwise(0.0)).alias("sum_v"))
     return out.select("ticker", "day", "session", "high", "low", "close", "bar_count", F.when(F.col("sum_v") > 0, F.col("sum_pv") / F.col("sum_v")).alias("vwap"))
