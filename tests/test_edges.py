@@ -25,7 +25,7 @@ NOWCASTS = [
 
 
 def daily(spark, closes, ticker="a", start=dt.date(2024, 1, 1)):
-    rows = [(ticker, start + dt.timedelta(i), c, c + 1.0, c - 1.0, c, 10.0) for i, c in enumerate(closes)]
+    rows = [(ticker, start + dt.timedelta(i), float(c), c + 1.0, c - 1.0, float(c), 10.0) for i, c in enumerate(closes)]
     return spark.createDataFrame(rows, "ticker string, day date, open double, high double, low double, close double, volume double")
 
 
