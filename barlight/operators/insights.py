@@ -106,23 +106,15 @@ def guidance(df: DataFrame, p: InsightParams = InsightParams()) -> DataFrame:
         "avoid_trading": c("_avoid") | (c("stalled") & ~c("mean_reversion_preferred"))}).drop("_avoid")
 
 
-def number(x: Column, digits: int) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("NA")) if digits >= 0 else x.cast("string")
-
-
-def fired(x: Column, text: Column) -> Column:
-    return F.when(x, text)
-
-
 def rationale(df: DataFrame) -> DataFrame:
     """rationale: the rules of guidance() that fired, in order, as key|value|value."""
     c = F.col
     num = lambda x, d: F.when(c(x).isNull(), "NA").otherwise(F.format_string(f"%.{d}f", c(x)))
     key = lambda k, *v: F.concat_ws("|", F.lit(k), *v)
-    items = [fired(c("late"), key("R_LATE_SESSION", c("bars_remaining").cast("string"))), fired(c("low_move"), key("R_LOW_REMAINING_MOVE", num("sigma_rem_atr", 3))),
-             fired(c("mean_reversion_preferred"), key("R_CHOPPY_TAPE")), fired(c("mean_reversion_preferred"), key("R_OVERLAP_ER", num("overlap", 3), num("er", 3))),
-             fired(c("up"), key("R_BREAKOUT_UP_ELEVATED", num("breakout_up", 2))), fired(c("down"), key("R_BREAKOUT_DOWN_ELEVATED", num("breakout_down", 2))),
-             fired(c("unclear"), key("R_HIGH_VOL_UNCLEAR_DIR")), fired(c("stalled"), key("R_STALL_HIGH_NEAR_LEVELS", num("stall", 2)))]
+    items = [F.when(c("late"), key("R_LATE_SESSION", c("bars_remaining").cast("string"))), F.when(c("low_move"), key("R_LOW_REMAINING_MOVE", num("sigma_rem_atr", 3))),
+             F.when(c("mean_reversion_preferred"), key("R_CHOPPY_TAPE")), F.when(c("mean_reversion_preferred"), key("R_OVERLAP_ER", num("overlap", 3), num("er", 3))),
+             F.when(c("up"), key("R_BREAKOUT_UP_ELEVATED", num("breakout_up", 2))), F.when(c("down"), key("R_BREAKOUT_DOWN_ELEVATED", num("breakout_down", 2))),
+             F.when(c("unclear"), key("R_HIGH_VOL_UNCLEAR_DIR")), F.when(c("stalled"), key("R_STALL_HIGH_NEAR_LEVELS", num("stall", 2)))]
     return df.withColumn("rationale", F.array_compact(F.array(*items)))
 
 

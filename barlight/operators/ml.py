@@ -54,13 +54,12 @@ def class_weights(train: DataFrame) -> DataFrame:
 def fit_regime(train: DataFrame, columns: Sequence[str], weighted: bool = False, c: float = 1.0, max_iter: int = 800) -> PipelineModel:
     """Median imputation, scaling and multinomial logistic regression with penalty 1 / (c * rows)."""
     filled = [f"{x}_filled" for x in columns]
-    clean = train.select("*", *[])
-    index = StringIndexer(inputCol="regime", outputCol="label", stringOrderType="alphabetAsc").fit(clean)
+    index = StringIndexer(inputCol="regime", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     stages = [Imputer(inputCols=list(columns), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"),
               StandardScaler(inputCol="raw", outputCol="features", withMean=True), index,
               LogisticRegression(family="multinomial", regParam=1.0 / (c * max(train.count(), 1)), maxIter=max_iter, standardization=False, **({"weightCol": "weight"} if weighted else {})),
               IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]
-    return Pipeline(stages=stages).fit(clean)
+    return Pipeline(stages=stages).fit(train)
 
 
 def fit_all(train: DataFrame, columns: Sequence[str], min_train: int = 50, **how) -> tuple[dict[str, PipelineModel], dict[str, str]]:
