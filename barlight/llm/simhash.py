@@ -250,6 +250,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
 
 
 SKETCH, BAND = 80, 5  # minima of a text, and how many make a band: 16 bands, 0.998 of pairs at 0.8 share one
+#: A bucket of more texts is dealt out as pairs of blocks of this size; a task holds the shingles of two blocks.
+TEXT_BLOCK = 256
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -303,31 +305,102 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return pairs.join(named("a"), "a").join(named("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def candidate_buckets(first: DataFrame, width: int, distance: int) -> DataFrame:
+    """key and th: the bands of minima, and the components of fingerprints within `distance` bits, of the texts."""
+    prints = fingerprints(first.select(F.col("th").alias("doc_id"), "text"), width)
+    prints = stored(prints.select(F.col("doc_id").alias("th"), "fp"), "prints")
+    fps = stored(prints.select("fp").distinct(), "distinct")
+    close = prints.join(components(links(fps, distance)), F.col("fp") == F.col("node"), "left")
+    return stored(bands(first, width).union(close.select(F.xxhash64(F.coalesce("root", "fp")).alias("key"), "th")), "buckets")
+
+
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, th, root of the buckets that hold texts of several labels and more than the three texts whose pairs the
+    heads make; of buckets with the same texts only one, as their pairs are the same."""
+    rooted = buckets.join(labels, F.col("th") == F.col("node"), "left").select("key", "th", F.coalesce("root", "th").alias("root"))
+    same = [F.bit_xor(F.xxhash64("th", F.lit(salt))).alias(f"s{salt}") for salt in (1, 2)]
+    each = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), *same)
+    left = each.where((F.col("n") > 3) & (F.col("least") != F.col("most"))).groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.first("n").alias("size"))
+    left = stored(left.select("key", "size"), "unsettled-keys")
+    return stored(rooted.join(maybe_broadcast(left, left.count()), "key"), "unsettled")
+
+
+def similar_in_buckets(pending: DataFrame, texts: DataFrame, width: int, least: float, block: int = TEXT_BLOCK) -> DataFrame:
+    """Edges (a, b) of at least this similarity that span, with the labels, all such pairs of each bucket.
+
+    Every pair of texts of different labels is compared, unless edges found before already join the two. A bucket
+    of more than `block` texts is dealt out as pairs of blocks, so that no bucket lands in one task.
+    """
+
+    def link(th: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.array([len(h) for h in sets])
+        end = np.cumsum(size)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        has, label, out = np.zeros(len(ids) + 1, bool), np.unique(root, return_inverse=True)[1], []
+        for i in range(len(th) - 1):
+            own = ids[end[i] - size[i] : end[i]]
+            has[own] = True
+            upto = np.r_[0, np.cumsum(has[ids[end[i] :]])]
+            both = np.diff(upto[np.r_[0, end[i + 1 :] - end[i]]])
+            has[own] = False
+            near = np.flatnonzero((both >= least * (size[i] + size[i + 1 :] - both)) & (label[i + 1 :] != label[i])) + i + 1
+            for j in near.tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    out.append((int(th[i]), int(th[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, th, root, sets = None, [], [], []
+        for batch in _with_end(batches):
+            columns = [batch.column(c).to_pylist() for c in range(5)] if batch is not None else [[None]] * 5
+            texts_ = batch.column(5) if batch is not None else [None]
+            out = []
+            for key, i, j, t, r, text in zip(*columns, texts_, strict=True):
+                if (key, i, j) != now:
+                    if len(th) > 1:
+                        out += link(np.array(th), np.array(root), sets)
+                    now, th, root, sets = (key, i, j), [], [], []
+                if text is not None:
+                    th.append(t)
+                    root.append(r)
+                    sets.append(shingle_hashes(text.as_py(), width))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    zero, blocks = F.lit(0).cast("long"), F.ceil(F.col("size") / block)
+    dealt = pending.withColumn("own", F.pmod(F.xxhash64("th"), blocks)).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "th", "root")
+    own = texts.join(pending.select("th").distinct(), "th", "left_semi")
+    rows = dealt.join(own.select("th", "text"), "th").select("key", "i", "j", "th", "root", "text")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 3) -> DataFrame:
     """One row of each group of near copies, that of the least id: texts whose shingle sets are similar, transitively.
 
     Fingerprints within `distance` bits are candidates, but of texts of similarity 0.8 only some tenth are so close,
-    so equal bands of minima add candidates; every candidate is verified on whole texts. A bucket links each of
-    its texts to two drawn from it, others in each of the 16 bands, not all pairs. Exact copies are one text throughout; equal rows are copies too; null
+    so equal bands of minima add candidates; every candidate is verified on whole texts. The texts of a bucket meet
+    two drawn from it first; then, in buckets that this leaves in several groups, all pairs of different groups are
+    compared. Exact copies are one text throughout; equal rows are copies too; null
     texts are copies of each other; an empty table gives an empty result; all columns of docs are kept.
     """
     names = docs.columns
     own = tucked(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     first = stored(own.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text")), "texts")
-    prints = fingerprints(first.select(F.col("th").alias("doc_id"), "text"), width)
-    prints = stored(prints.select(F.col("doc_id").alias("th"), "fp"), "prints")
-    fps = stored(prints.groupBy("fp").agg(F.min("th").alias("th")), "distinct")
-    x, y = fps.select(F.col("fp").alias("fa"), F.col("th").alias("a")), fps.select(F.col("fp").alias("fb"), F.col("th").alias("b"))
-    edges = links(fps.select("fp"), distance).withColumnsRenamed({"a": "fa", "b": "fb"})
-    near = edges.join(x, "fa").join(y, "fb").select("a", "b")
-    near = near.union(prints.join(fps.withColumnRenamed("th", "a"), "fp").select("a", F.col("th").alias("b")))
-    banded = stored(bands(first, width), "bands")
+    buckets = candidate_buckets(first, width, distance)
     drawn = F.struct(F.xxhash64("th", "key").alias("h"), "th")
-    heads = banded.groupBy("key").agg(F.min(drawn)["th"].alias("a"), F.max(drawn)["th"].alias("z")).where("a <> z")
-    near = near.union(banded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("th").alias("b")))
+    heads = buckets.groupBy("key").agg(F.min(drawn)["th"].alias("a"), F.max(drawn)["th"].alias("z")).where("a <> z")
+    shared = stored(buckets.join(heads, "key"), "shared")
+    near = shared.select(F.explode(F.array("a", "z")).alias("a"), F.col("th").alias("b"))
     pairs = stored(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     touched = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
-    found = components(similar(pairs, first.join(touched, "th", "left_semi"), width, least))
+    edges = stored(similar(pairs, first.join(touched, "th", "left_semi"), width, least), "similar")
+    found = components(edges)
+    pending = unsettled(shared.select("key", "th"), found)
+    more = stored(similar_in_buckets(pending, first, width, least), "similar-in-buckets")
+    if not more.isEmpty():
+        found = components(edges.union(more))
     least_id = found.join(first.select(F.col("th").alias("node"), "first_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("m"))
     later = found.join(least_id, "root").where(F.col("m.node") != F.col("node")).select(F.col("node").alias("th"))
     kept = first.select("th", "first_id").join(later, "th", "left_anti").withColumnRenamed("th", "_th")

@@ -164,6 +164,34 @@ def test_one_of_each_group_of_near_copies_stays(docs):
     assert {i for i in sets if len(sets[i]) > 1 and not any(near(i, j) for j in sets if j != i)} <= set(ids)
 
 
+def test_near_copies_inside_a_template_are_found(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    template, made = draw(200), []
+    for i in range(300):
+        block = draw(43)
+        made.append(template + block)
+        if i % 3 == 0:
+            made.append(template + block[:23] + draw(20))
+    ids = rng.permutation(len(made)).tolist()
+    sets = {i: set(zip(*(t[k:] for k in range(5)), strict=False)) for i, t in zip(ids, made, strict=True)}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    linked = [(a, b) for a in ids for b in ids if a < b and near(a, b)]
+    assert len(linked) == 100
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, made, strict=True)], "doc_id long, text string")
+    kept = [r.doc_id for r in simhash.drop_near_copies(df).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(ids) - {b for _, b in linked})
+
+
+def test_blocks_of_a_bucket_lose_no_pair(spark):
+    long = [[f"w{i}-{k}" for k in range(60)] for i in range(40)]
+    texts_ = [*long, *[t[:-2] for t in long], []]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts_)], "th long, text string")
+    pending = df.select(F.lit(1).cast("long").alias("key"), "th", F.col("th").alias("root"), F.lit(len(texts_)).cast("long").alias("size"))
+    got = simhash.similar_in_buckets(pending, df, 5, 0.8, block=8).distinct().collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == {(i, i + 40) for i in range(40)}
+
+
 def test_water_filling():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
     assert mixing.water_fill([10, 100, 190], [5, 2, 1]) == pytest.approx([30, 180, 90])
