@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored, tucked, untucked
 
 SYMBOLS = r"[#*$%&|<>]"
-MARKS = (1, 2, 3)  # salts of the orders in which documents are told apart
 
 
 @dataclass(frozen=True)
@@ -90,32 +89,33 @@ def base_counts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words")))
 
 
+def _whole(lines: Column) -> Column:
+    """Hash of all normalised lines of a text, by which copies are one document."""
+    return F.xxhash64(lines)
+
+
 def repeated_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A row for each occurrence of a line that at least `line_documents` rows of its host hold: source, doc_id, tie,
-    key, n (the line's words) and marks: the least hash of the document's other lines in three orders, which copies
-    nearly always share and documents that have only some lines in common do not.
+    key, n (the line's words) and whole, the hash of the document's normalised text.
 
     The first pass counts rows by partial aggregates, an upper bound of the distinct documents; only lines that
     reach the limit are looked at again, so what is kept of unique lines is a hash and a count in one shuffle.
     """
     keys = docs.select(F.explode(F.transform(_normal_lines(F.col("text")), _key)).alias("key"))
     some = stored(keys.groupBy("key").count().where(F.col("count") >= limits.line_documents).select("key"), "repeated-keys")
-    lines = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(_key(x).alias("key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n")))
-    two = lambda x, salt: F.slice(F.array_sort(F.transform(F.array_distinct(x["key"]), lambda k: F.xxhash64(k, F.lit(salt)))), 1, 2)
-    marked = _let(lines, lambda x: F.struct(x.alias("lines"), F.array(*[two(x, salt) for salt in MARKS]).alias("least")))
+    words = lambda x: F.struct(_key(x).alias("key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n"))
+    marked = _let(_normal_lines(F.col("text")), lambda x: F.struct(F.transform(x, words).alias("lines"), _whole(x).alias("whole")))
     one = docs.select("source", "doc_id", F.xxhash64("text").alias("tie"), F.explode(F.array(marked)).alias("m"))
-    every = one.select("source", "doc_id", "tie", "m.least", F.explode("m.lines").alias("line")).select("source", "doc_id", "tie", "least", "line.key", "line.n")
-    every = every.join(maybe_broadcast(some, some.count()), "key", "left_semi")
-    for i, salt in enumerate(MARKS):
-        first, second = F.col("least")[i][0], F.coalesce(F.get(F.col("least")[i], F.lit(1)), F.lit(0))
-        every = every.withColumn(f"mark{salt}", F.when(first != F.xxhash64("key", F.lit(salt)), first).otherwise(second))
-    return stored(every.drop("least"), "repeated-lines")
+    every = one.select("source", "doc_id", "tie", "m.whole", F.explode("m.lines").alias("line")).select("source", "doc_id", "tie", "whole", "line.key", "line.n")
+    return stored(every.join(maybe_broadcast(some, some.count()), "key", "left_semi"), "repeated-lines")
 
 
 def frequent_lines(docs: DataFrame, repeated: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """key of every line above the limits among repeated_lines(), counting distinct documents; copies count once."""
-    per_line = repeated.groupBy("source", "key").agg(F.greatest(*[F.countDistinct(f"mark{salt}") for salt in MARKS]).alias("documents"))
-    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_documents"))
+    """key of every line above the limits among repeated_lines(), counting distinct documents of the host, as the host's
+    own number does; copies count once. Both are first made distinct by document, so a hot line or host spreads."""
+    per_line = repeated.select("source", "key", "whole").distinct().groupBy("source", "key").agg(F.count("*").alias("documents"))
+    hosts = docs.select(F.col("source").alias("host"), _whole(_normal_lines(F.col("text"))).alias("whole")).distinct()
+    hosts = hosts.groupBy("host").agg(F.count("*").alias("host_documents"))
     least = F.greatest(F.lit(limits.line_documents), F.col("host_documents") * limits.line_share)
     found = per_line.join(hosts, per_line.source.eqNullSafe(hosts.host))
     return stored(found.where(F.col("documents") >= least).select("key"), "frequent-lines")

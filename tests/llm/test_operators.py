@@ -84,6 +84,18 @@ def test_frequent_lines_go(docs):
     assert len(with_line) >= 3 and all("Subscribe" not in kept[i] for i in with_line if i in kept)
 
 
+def test_lines_of_pages_of_shared_lines_are_counted_by_document(spark):
+    rng = np.random.default_rng(3)
+    lines = [f"shared line {'x' * (i + 1)} of the pages of this host" for i in range(60)]
+    pages = ["\n".join(lines[k] for k in rng.choice(60, 8, replace=False)) for _ in range(2000)]
+    rare = "a line that only copies of one page hold, many times over"
+    df = spark.createDataFrame([*[(i, t, "h") for i, t in enumerate(pages)], *[(2000 + i, rare, "h") for i in range(50)]], "doc_id long, text string, source string")
+    key = lambda x: df.select(line_quality._key(F.lit(x)).alias("k")).first().k
+    got = {r.key for r in line_quality.frequent_lines(df, line_quality.repeated_lines(df)).collect()}
+    assert len(got) == 60 and key(rare) not in got
+    assert not [r for r in line_quality.judge(df).collect() if r.doc_id < 2000 and r.kept]
+
+
 def test_base_spans(unique):
     got = {r.doc_id: r for r in pii.spans(unique.select("doc_id", "text")).collect()}
     last = max(got)
