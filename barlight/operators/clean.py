@@ -41,6 +41,13 @@ def build_bars(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
     return bars.select("ticker", trading_day(F.col("ts")).alias("day"), "ts", *PRICES, "volume", label_session(F.col("ts")).alias("session"))
 
 
+def daily_of_bars(bars: DataFrame) -> DataFrame:
+    """Daily bars of shorter ones that nest in local days, so that ticks are read once for both."""
+    return bars.groupBy("ticker", "day").agg(
+        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
+
+
 def bad_ohlc():
     """True where high is below low, or open or close lie outside them."""
     c = F.col

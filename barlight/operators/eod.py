@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.operators import localize
+
 # Range multipliers by regime; anything else counts as a transition.
 MULTIPLIERS = {"trend_up": 1.05, "trend_down": 1.05, "range": 0.90, "high_vol": 1.30, "transition": 1.15}
 #: Sigmas of the 45, 68 and 95 % bands.
@@ -47,14 +49,20 @@ def key_levels(levels: DataFrame, px: DataFrame, n: int = 6) -> DataFrame:
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("ticker", "day", "side", "place", "id", "kind", "source", "zone_low", "zone_high", "strength", "dist_pts")
 
 
-def risk_notes() -> Column:
-    """Notes on regime, gap, realised volatility and ATR of a row."""
+def note_items() -> Column:
+    """Risk notes of a row as key|value: its regime, gap, realised volatility and ATR."""
     c = F.col
+    note = lambda key, *value: F.concat_ws("|", F.lit(key), *value)
     return F.array_compact(F.array(
-        F.when(c("regime").isin("high_vol", "transition"), F.concat(F.lit("Regime="), c("regime"), F.lit(": consider wider error bars and defined-risk structures."))),
-        F.when(F.abs(c("gap_atr")) >= 0.8, F.format_string("Large gap vs ATR (gap_atr=%.2f): open may be discontinuous.", c("gap_atr"))),
-        F.when(c("rv") >= 0.02, F.format_string("Elevated realized vol proxy (rv=%.3f).", c("rv"))),
-        F.when(c("atr") <= 0, F.lit("ATR invalid (should not happen)."))))
+        F.when(c("regime").isin("high_vol", "transition"), note("N_REGIME", c("regime"))),
+        F.when(F.abs(c("gap_atr")) >= 0.8, note("N_GAP", F.format_string("%.2f", c("gap_atr")))),
+        F.when(c("rv") >= 0.02, note("N_RV", F.format_string("%.3f", c("rv")))),
+        F.when(c("atr") <= 0, note("N_ATR"))))
+
+
+def risk_notes() -> Column:
+    """note_items() in English."""
+    return F.transform(note_items(), lambda item: localize.note_text(item, "en"))
 
 
 def eod_plan(features: DataFrame, regimes: DataFrame, levels: DataFrame, calendar: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,9 @@ def _full(value: Column, over: Column, w: WindowSpec, n: int) -> Column:
 
 
 def log_return(order: WindowSpec) -> Column:
-    return F.ln(F.col("close") / F.lag("close").over(order))
+    """Log of a close by the one before; null where either is missing or not above 0."""
+    before = F.lag("close").over(order)
+    return F.when((F.col("close") > 0) & (before > 0), F.ln(F.col("close") / before))
 
 
 def rv(order: WindowSpec, n: int) -> Column:

@@ -161,9 +161,10 @@ def level_context(daily: DataFrame, state: DataFrame) -> DataFrame:
     return state.select("ticker", "day", last_price(F.col("rth_close"), F.col("pre_close")).alias("last")).join(at, ["ticker", "day"], "left")
 
 
-def compute_levels(daily: DataFrame, state: DataFrame, opening: DataFrame, k: int = 40) -> DataFrame:
-    """Ranked levels with zones of every ticker and day that has state."""
-    days, context = state.select("ticker", "day"), level_context(daily, state)
+def compute_levels(daily: DataFrame, state: DataFrame, opening: DataFrame, k: int = 40, context: DataFrame | None = None) -> DataFrame:
+    """Ranked levels with zones of every ticker and day that has state; context is level_context()'s, if it is there."""
+    days = state.select("ticker", "day")
+    context = level_context(daily, state) if context is None else context
     top = pivot_topn(pivot_filter(swing_pivots(daily, days), context))
     every = levels_union(day_levels(prior_day(daily, days)), week_levels(prior_week(daily, days)), pivot_levels(top), state_levels(state, opening))
     return with_zones(levels_topk(levels_dedupe(every), context, k))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, VectorAssembler
@@ -62,17 +64,83 @@ def fit_regime(train: DataFrame, columns: Sequence[str], weighted: bool = False,
     return Pipeline(stages=stages).fit(train)
 
 
-def fit_all(train: DataFrame, columns: Sequence[str], min_train: int = 50, **how) -> tuple[dict[str, PipelineModel], dict[str, str]]:
-    """A model for each ticker, and why those without one have none; one failure stops no other."""
-    models, errors = {}, {}
-    for row in train.groupBy("ticker").count().orderBy("ticker").collect():  # a row a ticker to model
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def multinomial(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, max_iter: int = 100) -> np.ndarray:
+    """Coefficients (classes by features and intercept) of least weighted mean log loss plus penalty / 2 * |w|^2, by
+    Newton's steps, halved while they don't help; the intercepts bear no penalty and sum to 0."""
+    n, k = len(x), int(y.max()) + 1
+    design, share = np.column_stack([x, np.ones(n)]), weight / weight.sum()
+    d, hot = design.shape[1], np.eye(k)[y]
+    ridge = np.full(d, penalty)
+    ridge[-1] = 0.0
+    beta = np.zeros((k, d))
+    loss = lambda b: -(share * np.log(np.maximum((softmax(design @ b.T) * hot).sum(axis=1), 1e-300))).sum() + 0.5 * (ridge * b * b).sum()
+    now = loss(beta)
+    for _ in range(max_iter):
+        p = softmax(design @ beta.T)
+        slope = (share[:, None] * (p - hot)).T @ design + ridge * beta
+        curve = np.zeros((k, d, k, d))
+        for i in range(k):
+            for j in range(k):
+                curve[i, :, j] = (design * (share * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ design
+            curve[i, :, i] += np.diag(ridge)
+        step = np.linalg.lstsq(curve.reshape(k * d, k * d), slope.ravel(), rcond=1e-12)[0].reshape(k, d)
+        size = 1.0
+        while (new := loss(beta - size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - new < 1e-13:
+            break
+        beta, now = beta - size * step, new
+    beta[:, -1] -= beta[:, -1].mean()
+    return beta
+
+
+MODEL = "ticker string, classes array<string>, medians array<double>, means array<double>, scales array<double>, coefficients array<array<double>>, rows long, error string"
+
+
+def fit_all(train: DataFrame, columns: Sequence[str], min_train: int = 50, weighted: bool = False, c: float = 1.0, max_iter: int = 100) -> DataFrame:
+    """A row for each ticker: its model (medians that fill gaps, means and scales, coefficients with the intercept last),
+    or why it has none. One job fits all; a task holds the daily rows of a ticker, and one failure stops no other."""
+    names = list(columns)
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = dict.fromkeys(("classes", "medians", "means", "scales", "coefficients", "error"))
         try:
-            if row["count"] < min_train:
-                raise ValueError(f"{row['count']} training rows of {min_train}")
-            models[row.ticker] = fit_regime(train.where(F.col("ticker") == row.ticker), columns, **how)
+            if len(f) < min_train:
+                raise ValueError(f"{len(f)} training rows of {min_train}")
+            x = f[names].to_numpy(np.float64)
+            x[~np.isfinite(x)] = np.nan
+            known = (~np.isnan(x)).any(axis=0)
+            medians = np.where(known, np.nanmedian(np.where(known, x, 0.0), axis=0), 0.0)
+            x = np.where(np.isnan(x), medians, x)
+            means, spread = x.mean(axis=0), x.std(axis=0, ddof=1)
+            scales = np.divide(1.0, spread, out=np.zeros(len(spread)), where=spread > 0)
+            classes, y = np.unique(f.regime.to_numpy(str), return_inverse=True)
+            own = np.bincount(y)
+            weight = len(y) / (len(classes) * own[y]) if weighted else np.ones(len(y))
+            beta = multinomial((x - means) * scales, y, weight, 1.0 / (c * len(y)), max_iter)
+            out |= {"classes": classes.tolist(), "medians": medians, "means": means, "scales": scales, "coefficients": beta.tolist()}
         except Exception as e:  # noqa: BLE001
-            errors[row.ticker] = f"{type(e).__name__}: {e}"
-    return models, errors
+            out["error"] = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([{"ticker": key[0], **out, "rows": len(f)}])[[x.split()[0] for x in MODEL.split(", ")]]
+
+    return train.select("ticker", "regime", *names).groupBy("ticker").applyInPandas(run, MODEL)
+
+
+def predict_all(models: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """ticker, day, regime, prediction of the rows whose ticker has a model: the class of the highest score."""
+    own = models.where("error IS NULL").select("ticker", "classes", "medians", "means", "scales", "coefficients")
+    both = rows.select("ticker", "day", "regime", F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).join(own, "ticker")
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+    filled = F.transform("x", lambda v, i: (F.when(finite(v), v).otherwise(F.get("medians", i)) - F.get("means", i)) * F.get("scales", i))
+    both = both.withColumn("z", F.concat(filled, F.array(F.lit(1.0))))
+    score = F.transform("coefficients", lambda w: F.aggregate(F.zip_with(w, F.col("z"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    both = both.withColumn("score", score)
+    return both.select("ticker", "day", "regime", F.element_at("classes", F.array_position("score", F.array_max("score")).cast("int")).alias("prediction"))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from barlight.operators.insights import PPF_A, PPF_B
 
 _ROLL = """arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume"""
@@ -47,7 +49,7 @@ STEPS = {
     "lv_one": "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY ticker, day, source, round(price, 2), coalesce(session, '') ORDER BY strength DESC, ord) AS n, min(ord) OVER (PARTITION BY ticker, day, source, round(price, 2), coalesce(session, '')) AS pos FROM lv_all) WHERE n = 1",
     "lv_top": "SELECT * FROM (SELECT l.*, c.last, c.atr, row_number() OVER (PARTITION BY l.ticker, l.day ORDER BY strength DESC, coalesce(abs(price - c.last), 0.0::DOUBLE), pos) AS rank FROM lv_one l LEFT JOIN ctx c USING (ticker, day)) WHERE rank <= 40",
     "lv": "SELECT *, price - greatest(price * 0.0008::DOUBLE, CASE WHEN atr > 0 THEN atr * 0.2::DOUBLE END) AS zone_low, price + greatest(price * 0.0008::DOUBLE, CASE WHEN atr > 0 THEN atr * 0.2::DOUBLE END) AS zone_high FROM lv_top",
-    "f0": "SELECT *, ln(close / lag(close) OVER w) AS ret, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 12) OVER w) AS net, CASE WHEN lag(high) OVER w IS NOT NULL THEN coalesce(greatest(least(high, lag(high) OVER w) - greatest(low, lag(low) OVER w), 0.0::DOUBLE) / nullif(greatest(high, lag(high) OVER w) - least(low, lag(low) OVER w), 0.0::DOUBLE), 0.0::DOUBLE) END AS share FROM b WINDOW w AS (PARTITION BY ticker ORDER BY ts)",
+    "f0": "SELECT *, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS ret, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 12) OVER w) AS net, CASE WHEN lag(high) OVER w IS NOT NULL THEN coalesce(greatest(least(high, lag(high) OVER w) - greatest(low, lag(low) OVER w), 0.0::DOUBLE) / nullif(greatest(high, lag(high) OVER w) - least(low, lag(low) OVER w), 0.0::DOUBLE), 0.0::DOUBLE) END AS share FROM b WINDOW w AS (PARTITION BY ticker ORDER BY ts)",
     "f1": "SELECT *, CASE WHEN count(ret) OVER v = 12 THEN stddev_samp(ret) OVER v END AS rv, net / nullif(CASE WHEN count(step) OVER v = 12 THEN sum(step) OVER v END, 0.0::DOUBLE) AS er, CASE WHEN count(share) OVER v = 12 THEN avg(share) OVER v END AS overlap FROM f0 WINDOW v AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
     "f5": "SELECT f1.ticker, f1.day, ts, close, session, rv, er, overlap, (close - rth_vwap) / nullif(atr, 0.0::DOUBLE) AS dist_vwap_atr, (close - rth_low) / nullif(rth_high - rth_low, 0.0::DOUBLE) AS pos_rth_range FROM f1 LEFT JOIN (SELECT c.ticker, c.day, atr, rth_vwap, rth_high, rth_low FROM ctx c JOIN state USING (ticker, day)) USING (ticker, day)",
     "f5l": "SELECT * EXCLUDE (n) FROM (SELECT ticker, day, ts AS asof_ts, close AS last_price, session, rv, er, overlap, dist_vwap_atr, pos_rth_range, row_number() OVER (PARTITION BY ticker, day ORDER BY ts DESC) AS n FROM f5) WHERE n = 1",
@@ -57,7 +59,7 @@ STEPS = {
 
 def _daily(src: str, atr: str, n: int = 20) -> dict[str, str]:
     return {
-        f"{src}x": f"SELECT *, ln(close / lag(close) OVER w) AS ret, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, {n}) OVER w) AS net, lag(close) OVER w AS prev, row_number() OVER w::DOUBLE AS idx, count(*) OVER (PARTITION BY ticker) AS n_rows FROM {atr} WINDOW w AS (PARTITION BY ticker ORDER BY day)",
+        f"{src}x": f"SELECT *, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS ret, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, {n}) OVER w) AS net, lag(close) OVER w AS prev, row_number() OVER w::DOUBLE AS idx, count(*) OVER (PARTITION BY ticker) AS n_rows FROM {atr} WINDOW w AS (PARTITION BY ticker ORDER BY day)",
         f"{src}f": f"SELECT ticker, day, open, high, low, close, volume, atr, n_rows, CASE WHEN count(ret) OVER v = {n} THEN stddev_samp(ret) OVER v END AS rv, net / nullif(CASE WHEN count(step) OVER v = {n} THEN sum(step) OVER v END, 0.0::DOUBLE) AS er, CASE WHEN count(*) OVER v = {n} THEN regr_slope(close, idx) OVER v END AS slope_close, CASE WHEN count(*) OVER v = {n} THEN (close - min(low) OVER v) / nullif(max(high) OVER v - min(low) OVER v, 0.0::DOUBLE) END AS pos_hhll, CASE WHEN count(*) OVER v = {n} THEN (volume - avg(volume) OVER v) / nullif(stddev_samp(volume) OVER v, 0.0::DOUBLE) END AS vol_z, (high - low) / nullif(atr, 0.0::DOUBLE) AS range_atr, (open - prev) / nullif(atr, 0.0::DOUBLE) AS gap_atr FROM {src}x WINDOW v AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)",
         f"{src}r0": f"SELECT *, slope_close / nullif(close, 0.0::DOUBLE) AS slope_n FROM {src}f",
         f"{src}r1": f"SELECT *, CASE WHEN range_atr >= 1.35::DOUBLE THEN 'high_vol' WHEN er >= 0.55::DOUBLE AND slope_n >= 0.0003::DOUBLE THEN 'trend_up' WHEN er >= 0.55::DOUBLE AND slope_n <= -0.0003::DOUBLE THEN 'trend_down' WHEN er <= 0.4::DOUBLE THEN 'range' ELSE 'transition' END AS regime FROM {src}r0",
@@ -123,6 +125,17 @@ STEPS |= {
 }
 
 
+#: The nowcast of every bar: the same steps, from all bars in place of the newest of a day.
+_EACH = re.compile(r"\b(f5l|n[0-8]|today)\b")
+STEPS |= {
+    "e_f5l": "SELECT ticker, day, ts AS asof_ts, close AS last_price, session, rv, er, overlap, dist_vwap_atr, pos_rth_range FROM f5",
+    **{f"e_{n}": _EACH.sub(r"e_\1", STEPS[n]) for n in (*(f"n{i}" for i in range(9)), "today")},
+    "risk_items": "SELECT ticker, day, unnest(list_filter([CASE WHEN regime IN ('high_vol', 'transition') THEN 'N_REGIME|' || regime END, "
+    "CASE WHEN abs(gap_atr) >= 0.8::DOUBLE THEN 'N_GAP|' || printf('%.2f', gap_atr) END, CASE WHEN rv >= 0.02::DOUBLE THEN 'N_RV|' || printf('%.3f', rv) END, "
+    "CASE WHEN atr <= 0 THEN 'N_ATR' END], lambda x: x IS NOT NULL)) AS item FROM tom",
+}
+
+
 def select(spec: str, step: str, where: str = "") -> str:
     """SQL that selects columns of a step: name* rounds to six places, name# is a BIGINT, a=b renames b to a."""
     out = []

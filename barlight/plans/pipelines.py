@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.operators import clean, eod, features, insights, levels, nowcast, regimes, session
 from barlight.sources import bars as sources
+from barlight.sources.shared import stored
+
 
+def intraday_parts(bars: DataFrame, daily: DataFrame, state: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = stored) -> dict[str, DataFrame]:
+    """State, opening range, context, levels, features and nowcast inputs of bars and daily bars.
 
-def intraday_parts(bars: DataFrame, daily: DataFrame) -> dict[str, DataFrame]:
-    """State, opening range, context, levels, features and nowcast inputs of bars and daily bars, all lazy."""
-    state = session.session_state(session.session_agg(bars))
+    What several steps read (state, context) is a row a ticker and day and goes through `keep`, so that no step
+    computes it again; bars and daily should be stored tables for the same reason. The rest is lazy.
+    """
+    state = keep(session.session_state(session.session_agg(bars)), "state") if state is None else state
     opening = session.opening_range(bars)
-    context = levels.level_context(daily, state)
-    ranked = levels.compute_levels(daily, state, opening)
+    context = keep(levels.level_context(daily, state), "context")
+    ranked = levels.compute_levels(daily, state, opening, context=context)
     around = context.join(state.select("ticker", "day", "rth_vwap", "rth_high", "rth_low"), ["ticker", "day"]).drop("last")
     own = features.intraday_features(bars, around)
     latest = features.features_5m_latest(own)
@@ -26,8 +33,10 @@ def intraday_pipeline(ticks: DataFrame, day: Column | None = None, ticker: str |
     """Ticks to insights in one plan; a ticker or day only narrows what is read and returned."""
     if ticker is not None:
         ticks = ticks.where(F.col("ticker") == ticker)
-    parts = intraday_parts(clean.build_bars(ticks, width), clean.build_bars(ticks, "1 day"))
-    out = insights.intraday_insights(nowcast.nowcast_today_range(parts["inputs"]), parts["levels"])
+    bars = stored(clean.build_bars(ticks, width), "bars")
+    parts = intraday_parts(bars, stored(clean.daily_of_bars(bars), "daily"))
+    today = stored(nowcast.nowcast_today_range(parts["inputs"]), "today")
+    out = insights.intraday_insights(today, parts["levels"])
     return out if day is None else out.where(F.col("day") == day)
 
 

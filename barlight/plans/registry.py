@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from barlight.operators import clean, eod, features, insights, levels, localize,
 from barlight.plans import pipelines
 from barlight.plans.oracle import query, select
 from barlight.sources import bars as src
+from barlight.sources.shared import fresh_path, stored
 from barlight.streaming import session as streams
 
 DAY, AS_OF = "2024-01-20", "1998-06-30"
@@ -58,17 +58,26 @@ class Tables:
     def long_daily(self) -> DataFrame:
         return clean.build_bars(src.ticks_from_lineitem(self.raw("lineitem")), "1 day")
 
-    @property
-    def agg(self) -> DataFrame:
-        return session.session_agg(self.bars)
+    @cached_property
+    def kept_bars(self) -> DataFrame:
+        """Bars of the chain: ticks are read once, every later step reads the bars."""
+        return stored(self.bars, "bars")
 
-    @property
-    def state(self) -> DataFrame:
-        return session.session_state(self.agg)
+    @cached_property
+    def kept_daily(self) -> DataFrame:
+        return stored(clean.daily_of_bars(self.kept_bars), "daily")
 
     @property
+    def agg(self) -> DataFrame:
+        return session.session_agg(self.kept_bars)
+
+    @cached_property
     def parts(self) -> dict[str, DataFrame]:
-        return pipelines.intraday_parts(self.bars, self.daily)
+        return pipelines.intraday_parts(self.kept_bars, self.kept_daily, self.state)
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return stored(session.session_state(self.agg), "state")
 
     @property
     def today(self) -> DataFrame:
@@ -76,29 +85,28 @@ class Tables:
 
     @property
     def insights(self) -> DataFrame:
-        p = self.parts
-        return insights.intraday_insights(nowcast.nowcast_today_range(p["inputs"]), p["levels"])
+        return insights.intraday_insights(stored(self.today, "today"), self.parts["levels"])
 
     @property
     def universe(self) -> DataFrame:
         return self.raw("events").select(F.col("event_type").alias("ticker")).distinct().withColumns({"provider_symbol": F.concat(F.lit(" $"), F.upper("ticker")), "kind": F.lit("stock")})
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
-        return features.daily_features(self.daily, min_rows=1)
+        return stored(features.daily_features(self.kept_daily, min_rows=1), "features")
 
     @property
     def labels(self) -> DataFrame:
         return regimes.label_regimes(self.features)
 
-    @property
+    @cached_property
     def long_features(self) -> DataFrame:
-        return features.daily_features(self.long_daily)
+        return stored(features.daily_features(self.long_daily), "features")
 
-    @property
+    @cached_property
     def training(self) -> DataFrame:
         own = self.long_features
-        return ml.time_split(ml.training_set(own, regimes.label_regimes(own)))
+        return stored(ml.time_split(ml.training_set(own, regimes.label_regimes(own))), "training")
 
     @property
     def predictions(self) -> DataFrame:
@@ -107,8 +115,7 @@ class Tables:
         return self.training.where("split = 'holdout'").select("ticker", "day", "regime", said.alias("prediction"))
 
     def scratch(self, name: str) -> str:
-        base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='barlight-')}"
-        return f"{base}/{name}-{uuid.uuid4().hex}"
+        return fresh_path(self.spark, name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,27 +251,27 @@ simple("opening_range", lambda t: session.opening_range(t.bars), "ticker day min
 simple("session_state_wide", lambda t: t.state, "ticker day " + " ".join(f"{s}_{c}{'#' if c == 'bar_count' else '*'}" for s in ("pre", "rth", "aft") for c in ("high", "low", "close", "bar_count", "vwap")), "state")
 simple("state_status", lambda t: session.state_status(t.universe.select("ticker").join(t.bars.where((F.col("day") == date(DAY)) & (F.hour("ts") < 12) & (F.col("ticker") != "click")).groupBy("ticker").agg(F.max("ts").alias("last_update_ts")), "ticker", "left").withColumn("day", date(DAY)), t.bars, date(DAY)),
        "ticker bars# new_bars# status", "(SELECT ticker, count(*) AS bars, count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) AS new_bars, CASE WHEN count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) = 0 THEN 'up_to_date' ELSE 'updated' END AS status FROM b WHERE day = DATE '2024-01-20' GROUP BY 1)")
-simple("state_merge", lambda t: session.merge_state(session.session_agg(t.bars.where(F.hour("ts") < 12)), t.bars), "ticker day session high* low* close* bar_count# first_ts last_ts vwap*", "agg")
+simple("state_merge", lambda t: session.merge_state(session.session_agg(t.kept_bars.where(F.hour("ts") < 12)), t.kept_bars), "ticker day session high* low* close* bar_count# first_ts last_ts vwap*", "agg")
 simple("state_last_price", lambda t: t.state.withColumn("last", session.last_price(F.col("rth_close"), F.col("pre_close"))), "ticker day last*", "ctx")
 
 # levels
 simple("true_range", lambda t: levels.atr(t.daily), "ticker day true_range*", "atr")
 simple("atr", lambda t: levels.atr(t.long_daily), "ticker day true_range* atr*", "latr")
-simple("prior_day", lambda t: levels.prior_day(t.daily, t.state.select("ticker", "day")), "ticker day asof_day high* low* close*", "pday")
-simple("prior_week", lambda t: levels.prior_week(t.daily, t.state.select("ticker", "day")), "ticker day asof_day high* low* close*", "pweek")
-simple("swing_pivots", lambda t: levels.swing_pivots(t.daily, t.state.select("ticker", "day")), "ticker day side price* pivot_day", "pivots")
-simple("pivot_filter", lambda t: levels.pivot_filter(levels.swing_pivots(t.daily, t.state.select("ticker", "day")), t.parts["context"]), "ticker day side price* pivot_day", "pfil")
-simple("pivot_topn", lambda t: levels.pivot_topn(levels.pivot_filter(levels.swing_pivots(t.daily, t.state.select("ticker", "day")), t.parts["context"])), "ticker day side price* no# id", "ptop")
+simple("prior_day", lambda t: levels.prior_day(t.kept_daily, t.state.select("ticker", "day")), "ticker day asof_day high* low* close*", "pday")
+simple("prior_week", lambda t: levels.prior_week(t.kept_daily, t.state.select("ticker", "day")), "ticker day asof_day high* low* close*", "pweek")
+simple("swing_pivots", lambda t: levels.swing_pivots(t.kept_daily, t.state.select("ticker", "day")), "ticker day side price* pivot_day", "pivots")
+simple("pivot_filter", lambda t: levels.pivot_filter(levels.swing_pivots(t.kept_daily, t.state.select("ticker", "day")), t.parts["context"]), "ticker day side price* pivot_day", "pfil")
+simple("pivot_topn", lambda t: levels.pivot_topn(levels.pivot_filter(levels.swing_pivots(t.kept_daily, t.state.select("ticker", "day")), t.parts["context"])), "ticker day side price* no# id", "ptop")
 simple("zone_half_width", lambda t: levels.atr(t.long_daily).withColumn("half", C.zone_half_width(F.col("close"), F.col("atr"))), "ticker day half*", "(SELECT ticker, day, greatest(close * 0.0008::DOUBLE, CASE WHEN atr > 0 THEN atr * 0.2::DOUBLE END) AS half FROM latr)")
 _LEVEL = "ticker day id kind source session price* strength#"
-simple("make_levels", lambda t: levels.day_levels(levels.prior_day(t.daily, t.state.select("ticker", "day"))).unionByName(levels.week_levels(levels.prior_week(t.daily, t.state.select("ticker", "day")))), _LEVEL, "(SELECT * FROM lv_day UNION ALL SELECT * FROM lv_week)")
-simple("state_levels", lambda t: levels.state_levels(t.state, session.opening_range(t.bars)), _LEVEL, "lv_state")
+simple("make_levels", lambda t: levels.day_levels(levels.prior_day(t.kept_daily, t.state.select("ticker", "day"))).unionByName(levels.week_levels(levels.prior_week(t.kept_daily, t.state.select("ticker", "day")))), _LEVEL, "(SELECT * FROM lv_day UNION ALL SELECT * FROM lv_week)")
+simple("state_levels", lambda t: levels.state_levels(t.state, session.opening_range(t.kept_bars)), _LEVEL, "lv_state")
 
 
 def _union(t: Tables) -> DataFrame:
     days, p = t.state.select("ticker", "day"), t.parts
-    top = levels.pivot_topn(levels.pivot_filter(levels.swing_pivots(t.daily, days), p["context"]))
-    return levels.levels_union(levels.day_levels(levels.prior_day(t.daily, days)), levels.week_levels(levels.prior_week(t.daily, days)), levels.pivot_levels(top), levels.state_levels(p["state"], p["opening"]))
+    top = levels.pivot_topn(levels.pivot_filter(levels.swing_pivots(t.kept_daily, days), p["context"]))
+    return levels.levels_union(levels.day_levels(levels.prior_day(t.kept_daily, days)), levels.week_levels(levels.prior_week(t.kept_daily, days)), levels.pivot_levels(top), levels.state_levels(p["state"], p["opening"]))
 
 
 simple("levels_union", _union, _LEVEL + " ord#", "lv_all")
@@ -277,7 +284,7 @@ for _k, _c in (("rv_5m", "rv"), ("er_5m", "er"), ("overlap_5m", "overlap"), ("di
     simple(_k, lambda t: t.parts["features"], f"ticker ts {_c}*", "f5")
 simple("features_5m", lambda t: t.parts["features"], "ticker day ts session rv* er* overlap* dist_vwap_atr* pos_rth_range*", "f5")
 simple("features_5m_latest", lambda t: t.parts["latest"], "ticker day asof_ts last_price* session rv* er* overlap* dist_vwap_atr* pos_rth_range*", "f5l")
-simple("level_pressure", lambda t: features.level_pressure(t.bars, t.parts["levels"]), "ticker day ts pressure*", "press")
+simple("level_pressure", lambda t: features.level_pressure(t.kept_bars, t.parts["levels"]), "ticker day ts pressure*", "press")
 for _k, _c in (("daily_atr", "atr"), ("daily_rv", "rv"), ("daily_er", "er"), ("slope_close", "slope_close"), ("pos_hhll", "pos_hhll"), ("vol_z", "vol_z"), ("range_atr", "range_atr"), ("gap_atr", "gap_atr")):
     simple(_k, lambda t: t.long_features, f"ticker day {_c}*", "ldf")
 _DAILY = f"ticker day {BAR} atr* rv* er* slope_close* pos_hhll* vol_z* range_atr* gap_atr*"
@@ -320,7 +327,7 @@ _T = {"remaining_var_frac": "bars_remaining# remaining_var_frac*", "sigma_intrad
 for _k, _c in _T.items():
     simple(_k, lambda t: t.today, f"ticker day asof_ts session {_c}", "today")
 simple("today_range", lambda t: t.today, "ticker day asof_ts session last_price* rv* atr* is_stale " + " ".join(_T.values()), "today")
-register("today_range_every_bar")(lambda t: _as_inputs(t).select("ticker", "day", "asof_ts", "session", "last_price", "bars_remaining", "sigma_pts", "sigma_source", "rem_low_68", "rem_high_68"))
+simple("today_range_every_bar", _as_inputs, "ticker day asof_ts session last_price* bars_remaining# sigma_pts* sigma_source rem_low_68* rem_high_68*", "e_today")
 
 # insights
 simple("zone_distance", lambda t: t.parts["levels"].withColumn("dist", insights.zone_distance(F.col("last"), F.col("zone_low"), F.col("zone_high"))), "ticker day rank# dist*", "(SELECT ticker, day, rank, greatest(zone_low - last, last - zone_high, 0.0::DOUBLE) AS dist FROM lv)")
@@ -347,8 +354,8 @@ simple("next_session", lambda t: eod.next_session(t.daily), "ticker day next_day
 @register("next_session_calendar", query("SELECT a.ticker, a.day, coalesce(min(c.day), a.day + CASE isodow(a.day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS next_day FROM d a LEFT JOIN (SELECT DISTINCT day FROM d WHERE isodow(day) < 6 AND day <> DATE '2024-01-15') c ON c.day > a.day AND c.day <= a.day + 14 GROUP BY 1, 2"))
 def next_session_calendar(t: Tables) -> DataFrame:
     """Sessions from a calendar: weekdays of the data but one holiday."""
-    calendar = t.daily.select("day").distinct().where(F.weekday("day") < 5).where(F.col("day") != F.lit("2024-01-15").cast("date"))
-    return eod.next_session(t.daily, calendar).select("ticker", "day", "next_day")
+    calendar = t.kept_daily.select("day").distinct().where(F.weekday("day") < 5).where(F.col("day") != F.lit("2024-01-15").cast("date"))
+    return eod.next_session(t.kept_daily, calendar).select("ticker", "day", "next_day")
 
 
 simple("key_levels", lambda t: eod.key_levels(t.parts["levels"], t.features.select("ticker", "day", F.col("close").alias("px"))), "ticker day side place# id kind source zone_low* zone_high* strength# dist_pts*", "kl")
@@ -362,7 +369,7 @@ def _plan(df: DataFrame) -> DataFrame:
 
 
 register("eod_plan", _PLAN)(lambda t: _plan(eod.eod_plan(t.features, t.labels, t.parts["levels"])))
-register("eod_pipeline", _PLAN)(lambda t: _plan(pipelines.eod_pipeline(t.daily, t.parts["levels"], min_rows=1)))
+register("eod_pipeline", _PLAN)(lambda t: _plan(pipelines.eod_pipeline(t.kept_daily, t.parts["levels"], min_rows=1)))
 ORACLES["intraday_pipeline"] = ORACLES["insights"]
 register("intraday_pipeline", ORACLES["insights"])(lambda t: pipelines.intraday_pipeline(t.ticks).select("ticker", "day", "asof_ts", "session", "last_price", "atr", "bars_remaining", *[c.rstrip("*#") for c in " ".join([*_I.values(), _CTX]).split()], F.array_join("rationale", ";").alias("rationale")))
 
@@ -377,7 +384,7 @@ def _raw_ingest(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 _FLOORED = "SELECT ticker, bts AS ts, seq, price, src FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS bts, row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ts DESC, seq DESC) AS n FROM (SELECT *, {0} AS src FROM ticks WHERE seq % {1} = 0)) WHERE n = 1"
 simple("ingest_pipeline", lambda t: _raw_ingest(t)[0].withColumn("price", F.col("close")), "ticker ts seq price*",
        f"(SELECT * FROM ({_FLOORED.format(0, 2)} UNION ALL {_FLOORED.format(1, 3)}) QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY src DESC, seq DESC) = 1)")
-simple("ticker_status", lambda t: pipelines.ticker_status(t.universe, bars=t.bars.where("ticker <> 'click'"), labels=t.labels.where("regime = 'high_vol'")), "ticker status reason",
+simple("ticker_status", lambda t: pipelines.ticker_status(t.universe, bars=t.kept_bars.where("ticker <> 'click'"), labels=t.labels.where("regime = 'high_vol'")), "ticker status reason",
        "(SELECT DISTINCT event_type AS ticker, CASE WHEN event_type = 'click' THEN 'error' WHEN h.ticker IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_type = 'click' THEN 'no bars' WHEN h.ticker IS NULL THEN 'no labels' END AS reason FROM events LEFT JOIN (SELECT DISTINCT ticker FROM dr WHERE regime = 'high_vol') h ON h.ticker = event_type)")
 
 
@@ -394,7 +401,13 @@ register("localized_values", query("SELECT l.ticker, l.day, CAST(l.rank AS BIGIN
     lambda t: localize.localize_values(t.parts["levels"].select("ticker", "day", "rank", F.lit("kind").alias("what"), F.col("kind").alias("value")), localize.value_labels(t.spark)).select("ticker", "day", "rank", "value", "text"))
 register("localized_notes", query("SELECT ticker, day, note, CASE WHEN en = zh THEN en ELSE replace(replace(en, '{0}', coalesce(split_part(note, '|', 2), '')), '{1}', coalesce(split_part(note, '|', 3), '')) || ' / ' || replace(replace(zh, '{0}', coalesce(split_part(note, '|', 2), '')), '{1}', coalesce(split_part(note, '|', 3), '')) END AS text FROM (SELECT ticker, day, unnest(notes) AS note FROM why) LEFT JOIN " + _values_sql(localize.TEMPLATES, "k, en, zh") + " ON v.k = split_part(note, '|', 1)"))(
     lambda t: localize.localize_rationale(t.insights.select("ticker", "day", F.explode("rationale").alias("note"))))
-register("localized_risk_notes")(lambda t: localize.localize_notes(eod.tomorrow_range(t.features, t.labels).select("ticker", "day", F.explode(eod.risk_notes()).alias("note"))))
+_REGIMES = tuple((value, zh) for what, value, _, zh in localize.VALUES if what == "regime")
+register("localized_risk_notes", query(
+    "SELECT ticker, day, item, replace(n.en, '{0}', coalesce(split_part(item, '|', 2), '')) || ' / ' "
+    "|| replace(n.zh, '{0}', coalesce(r.rzh, split_part(item, '|', 2), '')) AS text "
+    "FROM risk_items LEFT JOIN " + _values_sql(localize.RISK_NOTES, "k, en, zh").replace("AS v(", "AS n(") + " ON n.k = split_part(item, '|', 1) "
+    "LEFT JOIN " + _values_sql(_REGIMES, "rk, rzh").replace("AS v(", "AS r(") + " ON r.rk = split_part(item, '|', 2)"))(
+    lambda t: localize.localize_notes(eod.tomorrow_range(t.features, t.labels).select("ticker", "day", F.explode(eod.note_items()).alias("item"))))
 
 # training
 simple("training_set", lambda t: (lambda f: ml.training_set(f, regimes.label_regimes(f)))(t.long_features), "ticker day regime close* er*", "ts0")
@@ -410,7 +423,7 @@ _COLS = ("rv", "er", "slope_close", "pos_hhll", "vol_z", "range_atr", "gap_atr")
 def _fitted(t: Tables, weighted: bool = False) -> DataFrame:
     rows = t.training
     train = rows.where("split = 'train'")
-    model = ml.fit_regime(ml.class_weights(train) if weighted else train, _COLS, weighted=weighted, max_iter=60)
+    model = ml.fit_regime(ml.class_weights(train) if weighted else train, _COLS, weighted=weighted)
     return ml.predict(model, rows.where("split = 'holdout'"))
 
 
@@ -420,13 +433,9 @@ register("predict_regime")(_fitted)
 
 @register("regime_models_all")
 def regime_models_all(t: Tables) -> DataFrame:
-    rows = t.training
-    models, _ = ml.fit_all(rows.where("split = 'train'"), _COLS, max_iter=30)
-    out = None
-    for ticker, model in models.items():
-        one = ml.predict(model, rows.where((F.col("ticker") == ticker) & (F.col("split") == "holdout")))
-        out = one if out is None else out.unionByName(one)
-    return ml.metrics(out)
+    """A model a ticker, all fitted in one job, and its metrics on the ticker's holdout."""
+    models = stored(ml.fit_all(t.training.where("split = 'train'"), _COLS, weighted=True), "models")
+    return ml.metrics(ml.predict_all(models, t.training.where("split = 'holdout'"), _COLS))
 
 
 _HIT = "(SELECT ticker, sum(hits) / sum(n)::DOUBLE AS accuracy, avg(hits / n::DOUBLE) AS balanced_accuracy, sum(n) AS rows FROM (SELECT ticker, regime, count(*) FILTER (regime = prediction) AS hits, count(*) AS n FROM pred GROUP BY 1, 2) GROUP BY 1)"
@@ -458,7 +467,7 @@ def _streamed(t: Tables, frame: DataFrame, keys: tuple[str, ...], make, mode: st
 
 
 simple("stream_session_state", lambda t: _streamed(t, t.bars.drop("session", "day"), ("ticker", "day", "session"), streams.stream_session_state, "update"), "ticker day session high* low* close* bar_count# vwap*", "agg")
-simple("stream_dedupe", lambda t: _streamed(t, t.bars.drop("session", "day").union(t.bars.drop("session", "day")), ("ticker", "ts"), streams.stream_dedupe, "append"), "ticker ts close*", "b")
+simple("stream_dedupe", lambda t: _streamed(t, t.kept_bars.drop("session", "day").union(t.kept_bars.drop("session", "day")), ("ticker", "ts"), streams.stream_dedupe, "append"), "ticker ts close*", "b")
 
 
 @register("stream_tumbling_bars", select(f"ticker ts {BAR}", "b", "WHERE ts + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 60 MINUTE FROM ticks)"))

@@ -41,7 +41,7 @@ STAGES = [
     ("best_fit_packing", pack_bins),
 ]
 
-#: Models, draws and greedy packing have no SQL; tests compare each stage with a brute-force version.
+#: Models, draws and greedy packing have no SQL; tests hold the operator of each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -138,9 +138,9 @@ def test_next_session_over_weekends_and_holidays(spark):
 
 
 def test_notes_in_both_languages(spark):
-    notes = ["Regime=high_vol: consider wider error bars and defined-risk structures.", "Large gap vs ATR (gap_atr=-1.20): open may be discontinuous.", "other"]
-    got = [r.text for r in localize.localize_notes(spark.createDataFrame([(n,) for n in notes], "note string")).collect()]
-    assert got[0].startswith(notes[0] + " / 市场状态=高波动（方向不明）：") and "gap_atr=-1.20）" in got[1] and got[2] == "other"
+    items = ["N_REGIME|high_vol", "N_GAP|-1.20", "other"]
+    got = [r.text for r in localize.localize_notes(spark.createDataFrame([(n,) for n in items], "item string")).collect()]
+    assert got[0].startswith("Regime=high_vol: consider") and " / 市场状态=高波动（方向不明）：" in got[0] and "gap_atr=-1.20）" in got[1] and got[2] == "other"
     values = spark.createDataFrame([("regime", " Range "), ("kind", "?")], "what string, value string")
     assert {r.text for r in localize.localize_values(values, localize.value_labels(spark), "zh").collect()} == {"区间震荡", "?"}
 
@@ -164,10 +164,60 @@ def test_wide_provider_columns(spark):
 def test_model_learns_and_failures_stay_apart(spark):
     rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(i), float(i % 2) + 0.01 * (i % 7), None if i % 11 == 0 else 1.0, "up" if i % 2 else "down") for t in ("a", "b") for i in range(80 if t == "a" else 5)]
     df = spark.createDataFrame(rows, "ticker string, day date, x double, y double, regime string")
-    models, errors = ml.fit_all(df, ["x", "y"], max_iter=20)
-    assert list(models) == ["a"] and "5 training rows" in errors["b"]
-    r = ml.metrics(ml.predict(models["a"], df.where("ticker = 'a'"))).first()
-    assert r.accuracy == 1.0 and r.balanced_accuracy == 1.0
+    models = ml.fit_all(df, ["x", "y"], max_iter=20)
+    found = {r.ticker: r for r in models.collect()}
+    assert found["a"].error is None and found["a"].classes == ["down", "up"] and "5 training rows" in found["b"].error
+    r = ml.metrics(ml.predict_all(models, df, ["x", "y"])).collect()
+    assert len(r) == 1 and r[0].ticker == "a" and r[0].accuracy == 1.0 and r[0].balanced_accuracy == 1.0
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_grouped_fit_agrees_with_the_library(spark, weighted):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(4), []
+    for t in ("a", "b"):
+        for i in range(240):
+            x = rng.normal(size=3)
+            score = [x[0] + 0.5 * rng.normal(), -x[0] + x[1], 0.4 + 0.3 * rng.normal()]
+            rows.append((t, dt.date(2020, 1, 1) + dt.timedelta(i), *(None if rng.random() < 0.02 else float(v) for v in x), ["down", "range", "up"][int(np.argmax(score))]))
+    df = spark.createDataFrame(rows, "ticker string, day date, x double, y double, z double, regime string").cache()
+    ours = {(r.ticker, r.day): r.prediction for r in ml.predict_all(ml.fit_all(df, "xyz", weighted=weighted), df, "xyz").collect()}
+    for t in ("a", "b"):
+        own = df.where(F.col("ticker") == t)
+        model = ml.fit_regime(ml.class_weights(own) if weighted else own, list("xyz"), weighted=weighted)
+        theirs = {(r.ticker, r.day): r.prediction for r in ml.predict(model, own).collect()}
+        assert sum(ours[k] == v for k, v in theirs.items()) >= 0.99 * len(theirs)
+
+
+def test_multinomial_fit_has_no_slope_left(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 4)), rng.integers(0, 3, 200)
+    beta, eps = ml.multinomial(x, y, np.ones(200), 0.01), 1e-5
+
+    def loss(b):
+        p = ml.softmax(np.column_stack([x, np.ones(200)]) @ b.T)[np.arange(200), y]
+        return -np.log(p).mean() + 0.005 * (b[:, :-1] ** 2).sum()
+
+    for at in np.ndindex(*beta.shape):
+        move = np.zeros(beta.shape)
+        move[at] = eps
+        assert abs(loss(beta + move) - loss(beta - move)) / (2 * eps) < 1e-6
+
+
+@pytest.mark.parametrize("price", [0.0, -2.0, None])
+def test_a_price_of_zero_or_below_gives_no_return(spark, price):
+    closes = [10.0 + i % 3 for i in range(70)]
+    days = daily(spark, closes).withColumn("close", F.when(F.col("day") == dt.date(2024, 2, 1), F.lit(price).cast("double")).otherwise(F.col("close")))
+    got = {r.day: r for r in features.daily_features(days).collect()}
+    assert len(got) == 70 and got[dt.date(2024, 2, 5)].rv is None and got[dt.date(2024, 3, 1)].rv is not None
+    at = dt.datetime(2024, 1, 10, 9, 30)
+    rows = [("a", DAY, at + dt.timedelta(minutes=5 * i), 1.0, 12.0, 0.0, price if i == 20 else closes[i], 1.0, "RTH") for i in range(60)]
+    context = spark.createDataFrame([("a", DAY, 2.0, 10.0, 12.0, 8.0)], "ticker string, day date, atr double, rth_vwap double, rth_high double, rth_low double")
+    found = [r.rv for r in features.intraday_features(spark.createDataFrame(rows, BAR), context).orderBy("ts").collect()]
+    assert found[19] is not None and found[25] is None and found[40] is not None
 
 
 def test_empty_inputs(spark):
