@@ -1,20 +1,21 @@
 """Language-model scores by deleted interpolation: bigrams, unigrams and a uniform share, mixed by context frequency.
 
-Words are classes: each of the most frequent training words (at most VOCABULARY, a bound of the model) is one of
-its own, all rarer words share the class RARE and are told apart by add-one counts within it. For a token of class
-k after class j: P = a2(b) c(j,k)/c(j) + a1(b) c(k)/N + a0(b)/classes, with b the bucket of c(j); a rare word's
-probability is that times (c(w)+1)/(N_rare+types+1). The weights come from expectation-maximisation over the
-bigram counts of a held-out fold of the training documents, with counts of the other folds.
-
-Counts of all bigrams and rare words of all documents are gathered: they meet in buckets of keys, as blocks of
-sorted arrays instead of rows. Bigrams above a share of the corpus, at most as many as 1/share, are scored where
-the text is read, so no hot bigram meets in one task.
+For a token k after a token j: P = a2(b) c(j,k)/c(j) + a1(b) c(k)/N + a0(b)/(V+1), with b the bucket of c(j), N the
+training tokens and V their types; all unknown words are one further type. The weights come from
+expectation-maximisation over the tokens of a held-out fold of the training documents, with counts of the other folds.
+
+Texts are taken in blocks. A block asks for the counts of its distinct words and bigrams: its keys are dealt to
+buckets by hash, a bucket adds up what all blocks have of a key and answers each of them. Keys of a block are
+distinct, so no frequent word or bigram makes a large group. A block deals to at most FAN parts; where there are more
+buckets than that, the requests of a part are merged in chunks that ask for their keys in turn, so that the number of
+records follows the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from types import SimpleNamespace
+import itertools
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,13 @@ from pyspark.sql import functions as F
 from barlight.llm.common import discard, stored
 
 FOLDS, TEST, DEV = 7, 2, 3
-VOCABULARY = 1 << 20
-#: Bigrams with more than this share of the training tokens are hot.
-HOT_SHARE = 2.0**-20
-#: Records of a bucket of keys, which one task holds.
-BUCKET_RECORDS = 2_000_000
-#: Texts of at most so many bytes are counted together as one block.
-BLOCK_BYTES = 6 << 20
-END, RARE, SHIFT = 0, 1, 22
-TAIL = np.int64(1) << 62  # marks the key of a rare word
-BUCKETS = 24  # of context counts, by powers of two
+#: Bytes of text whose keys a bucket holds, and of texts that are counted together as one block.
+BUCKET_BYTES, BLOCK_BYTES = 12 << 20, 6 << 20
+#: Parts that a block or chunk deals its keys to, and keys that are merged in a chunk.
+FAN, CHUNK_KEYS = 256, 2_000_000
+END = b""  # no word is empty
+PAIR = np.int64(1) << 62  # marks the key of a bigram
+BUCKETS = 26  # of context counts: none, and by powers of two
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -46,377 +44,310 @@ def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w) >> 2
 
 
-def fold(doc_id) -> object:
+def fold(doc_id: str) -> object:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h (hash of a word), c (training tokens) and dev (of these, tokens of the held-out fold)."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    z = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return z ^ (z >> np.uint64(29))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-            both = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "c", "dev"])
-
-        for batch in batches:
-            for part, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                k = int(part == DEV)
-                for w in tokens(text.as_py()):
-                    if w in counts:
-                        x = counts[w]
-                        x[0] += 1
-                        x[1] += k
-                    else:
-                        counts[w] = [1, k]
-                if len(counts) > 500_000:
-                    yield out()
-        if counts:
-            yield out()
-
-    part = docs.select(fold("doc_id").alias("part"), "text").where(F.col("part") != TEST)
-    return part.mapInArrow(run, "h long, c long, dev long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("dev").alias("dev"))
-
-
-class Words:
-    """The head vocabulary as sorted arrays (bounded by VOCABULARY) and the totals of the training tokens."""
-
-    def __init__(self, docs: DataFrame, vocabulary: int = VOCABULARY):
-        counted = stored(word_counts(docs), "words")
-        totals = counted.agg(F.sum("c"), F.count("*"), F.sum("dev")).first()
-        part = docs.select(fold("doc_id").alias("part")).groupBy("part").count().collect()
-        ends, dev_ends = sum(r["count"] for r in part if r.part != TEST), sum(r["count"] for r in part if r.part == DEV)
-        self.tokens, self.types = (totals[0] or 0) + ends, totals[1] + (1 if ends else 0)
-        sizes = sorted(counted.groupBy("c").count().collect(), key=lambda r: -r.c)  # a row for each count that occurs
-        least, room = 1 << 62, vocabulary
-        for r in sizes:
-            if r["count"] > room:
-                break
-            least, room = r.c, room - r["count"]
-        head = counted.where(F.col("c") >= least).orderBy("h").toArrow()
-        self.h = head.column("h").to_numpy()
-        c, dev = head.column("c").to_numpy(), head.column("dev").to_numpy()
-        rare, rare_dev = (totals[0] or 0) - int(c.sum()), (totals[2] or 0) - int(dev.sum())
-        self.rare_tokens, self.rare_types = rare, totals[1] - len(c)
-        self.c = np.concatenate([[ends, rare], c]).astype(np.int64)  # by class: END, RARE, words
-        self.first = self.c - np.concatenate([[dev_ends, rare_dev], dev]).astype(np.int64)  # without the held-out fold
-        discard(docs.sparkSession, counted)
-
-
-def classes(batch_tokens: list[list[bytes]], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token with the end after each text, hash of each (0 for ends), and the text's number."""
-    local: dict[bytes, int] = {}
-    flat = np.fromiter((local.setdefault(w, len(local)) for t in batch_tokens for w in t), np.int64)
-    h = np.fromiter(map(word_hash, local), np.int64, len(local))
-    at = np.searchsorted(words.h, h)
-    known = np.zeros(len(h), bool)
-    known[at < len(words.h)] = words.h[at[at < len(words.h)]] == h[at < len(words.h)]
-    cls = np.where(known, at + 2, RARE)
-    lengths = np.fromiter(map(len, batch_tokens), np.int64, len(batch_tokens))
-    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-    is_end = np.zeros(len(doc), bool)
-    is_end[np.cumsum(lengths + 1) - 1] = True
-    k, hashes = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-    k[~is_end], hashes[~is_end] = cls[flat], h[flat]
-    return k, hashes, doc
-
-
-def before(k: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Class of the token before; a text begins after an end."""
-    j = np.concatenate([[END], k[:-1]])
-    j[np.flatnonzero(np.diff(doc, prepend=-1))] = END
-    return j
+
+def pair_key(j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Key of a bigram by the hashes of its words."""
+    z = _mixed(_mixed(j) + k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (z >> np.uint64(2)).astype(np.int64) | PAIR
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    z = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((z ^ (z >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+    return (_mixed(key) % np.uint64(buckets)).astype(np.int64)
+
+
+def units(buckets: int, fan: int) -> list[int]:
+    """Buckets of a part at each level of dealing, down to one."""
+    out, unit = [], buckets
+    while not out or unit > 1:
+        unit = -(-unit // fan)
+        out.append(unit)
+    return out
+
+
+def packed(*arrays: np.ndarray, rising: bool = False) -> bytes:
+    """Integer arrays behind their lengths, each number in the fewest bytes, by planes of bytes, compressed; the first as
+    differences if it is rising."""
+    parts = []
+    for i, a in enumerate(arrays):
+        a = np.diff(a, prepend=0) if rising and i == 0 else a
+        size = next(s for s in (1, 2, 4, 8) if s == 8 or len(a) == 0 or (int(a.max()) < 1 << 8 * s - 1 and int(a.min()) >= 0))
+        parts += [struct.pack("<qb", len(a), size), np.ascontiguousarray(a.astype(f"<i{size}")).view(np.uint8).reshape(-1, size).T.tobytes()]
+    raw = b"".join(parts)
+    return struct.pack("<q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, the first ascending: differences, each in the fewest bytes, compressed."""
-    first = np.diff(arrays[0], prepend=0)
-    parts = [np.int64(len(first)).tobytes()]
-    for a in (first, *arrays[1:]):
-        size = next(s for s in (1, 2, 4, 8) if s == 8 or (len(a) == 0 or int(a.max()) < 1 << 8 * s - 1))
-        parts += [bytes([size]), a.astype(f"<i{size}").tobytes()]
-    raw = b"".join(parts)
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+def unpacked(data: bytes, rising: bool = False) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], struct.unpack_from("<q", data)[0], "zstd", asbytes=True)
+    at, out = 0, []
+    while at < len(raw):
+        n, size = struct.unpack_from("<qb", raw, at)
+        planes = np.frombuffer(raw, np.uint8, n * size, at + 9).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<i{size}").ravel().astype(np.int64))
+        at += 9 + n * size
+    return [np.cumsum(out[0]), *out[1:]] if rising else out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list, list]]:
+    """Ids, folds and tokens of texts in blocks of bounded bytes, those of the held-out fold apart; a longer text is a
+    block of its own."""
+    held: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
+    load = {False: 0, True: 0}
+    for batch in batches:
+        for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            dev, t = part == DEV, tokens(text.as_py())
+            for into, x in zip(held[dev], (doc_id, part, t), strict=True):
+                into.append(x)
+            load[dev] += 6 * len(t) + 60
+            if load[dev] >= size:
+                yield held[dev]
+                held[dev], load[dev] = ([], [], []), 0
+    yield from (x for x in held.values() if x[0])
 
 
-def unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int(np.frombuffer(data[:8], np.int64)[0]), "zstd", asbytes=True)
-    length, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
-    for _ in range(n):
-        width = raw[at]
-        out.append(np.frombuffer(raw[at + 1 : at + 1 + width * length], f"<i{width}").astype(np.int64))
-        at += 1 + width * length
-    return [np.cumsum(out[0]), *out[1:]]
+class Block:
+    """Words of a block by number (END is 0), its stream of them, and its distinct bigrams."""
 
+    def __init__(self, words: np.ndarray, stream: np.ndarray, lengths: np.ndarray):
+        self.words, self.stream = words, stream
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        before = np.r_[0, stream[:-1]]  # a text begins after an end, and every text ends with one
+        self.pairs, self.pair = np.unique(before * len(words) + stream, return_inverse=True)
+        self.j, self.k = self.pairs // len(words), self.pairs % len(words)
+        self.keys = np.r_[words, pair_key(words[self.j], words[self.k])]
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Ids, folds and tokens of texts in blocks of bounded bytes; a longer text is a block of its own."""
-    ids, parts, texts, held = [], [], [], 0
-    for batch in batches:
-        for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            t = tokens(text.as_py())
-            ids.append(doc_id)
-            parts.append(part)
-            texts.append(t)
-            held += 6 * len(t) + 60
-            if held >= BLOCK_BYTES:
-                yield ids, parts, texts
-                ids, parts, texts, held = [], [], [], 0
-    if ids:
-        yield ids, parts, texts
-
-
-def tally(key: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys ascending and the sum of each weight."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    return (key[cuts], *(np.add.reduceat(w[order], cuts) if len(key) else w[:0] for w in weights))
-
-
-def bigram_counts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
-    """bucket, size, data: blocks of (key, training count, held-out count), one a bucket and block of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(words)))
+    def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the keys by bucket, then key, and their buckets in that order."""
+        b = bucket_of(self.keys, buckets)
+        order = np.lexsort((self.keys, b))
+        return order, b[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts, texts in blocks(batches):
-            k, _, doc = classes(texts, shared.value)
-            key = before(k, doc) << SHIFT | k
-            dev = (np.array(parts) == DEV).astype(np.int64)[doc]
-            key, n, d = tally(key, np.ones(len(key), np.int64), dev)
-            yield from dealt(key, buckets, n, d)
 
-    part = docs.select("doc_id", fold("doc_id").alias("part"), "text").where(F.col("part") != TEST)
-    return part.mapInArrow(run, "bucket long, data binary")
+def dealt(block: int, keys: np.ndarray, bucket: np.ndarray, unit: int, *more: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """part, block, data of a block's requests; keys come by bucket, then key."""
+    part = bucket // unit
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
+    for i, j in itertools.pairwise(cuts):
+        yield int(part[i]), block, packed(keys[i:j], *(m[i:j] for m in more))
 
 
-def dealt(key: np.ndarray, buckets: int, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    b = bucket_of(key, buckets)
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-    rows = [(i, order[cuts[i] : cuts[i + 1]]) for i in range(buckets) if cuts[i + 1] > cuts[i]]
-    data = [packed(key[x], *(m[x] for m in more)) for _, x in rows]
-    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+def as_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
-def in_buckets(frame: DataFrame, buckets: int, work, schema: str) -> DataFrame:
-    """Runs work(list of data) once a bucket, over all blocks of the bucket; buckets are bounded by their number."""
+ASKED = {"part": pa.int64(), "block": pa.int64(), "data": pa.binary()}
+TOLD = {"block": pa.int64(), "part": pa.int64(), "data": pa.binary(), "types": pa.int64(), "tokens": pa.int64(), "dev": pa.int64()}
+ASKED_SCHEMA, TOLD_SCHEMA = "part long, block long, data binary", "block long, part long, data binary, types long, tokens long, dev long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != now and held:
-                    yield from work(held)
-                    held = []
-                now = b
-                held.append(data)
-        if held:
-            yield from work(held)
 
-    return frame.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+def grouped(frame: DataFrame, key: str, other: str, work: Callable, schema: str) -> DataFrame:
+    """Runs work(key, iterator of (other, data)) once a key, in order of other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for k, group in itertools.groupby(rows, lambda r: r[0]):
+            yield from work(k, ((r[1], r[2]) for r in group))
+
+    return frame.select(key, other, "data").repartition(key).sortWithinPartitions(key, other).mapInArrow(run, schema)
+
+
+def _meet(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Answers of a bucket: for each block the totals of its keys; and the bucket's types, tokens and held-out tokens."""
+    names, parts = zip(*((block, unpacked(data)) for block, data in rows), strict=True)
+    key, n, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    keys, at = np.unique(key, return_inverse=True)
+    total, dev = (np.bincount(at, x, len(keys)).astype(np.int64) for x in (n, d))
+    own = keys < PAIR
+    out = [(-1, part, b"", int((total[own] > 0).sum()), int(total[own].sum()), int(dev[own].sum()))]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    for block, p, end in zip(names, parts, ends, strict=True):
+        there = at[end - len(p[0]) : end]
+        out.append((block, part, packed(total[there], dev[there]), 0, 0, 0))
+    yield as_batch(out, TOLD)
+
+
+def _told(rows: Iterator[tuple[int, bytes]]) -> tuple[bytes, list[np.ndarray]]:
+    """The state of a block (its part is -1) and the answers, in order of their parts."""
+    state, parts = None, []
+    for part, data in rows:
+        if part < 0:
+            state = data
+        else:
+            parts.append(unpacked(data))
+    return state, [np.concatenate([p[i] for p in parts]) for i in range(2)]
+
+
+def answered(requests: DataFrame, buckets: int, levels: list[int], chunk_keys: int = CHUNK_KEYS) -> DataFrame:
+    """TOLD: for every request (part, block, data) the training and held-out totals of its keys, in their order."""
+    if levels[0] == 1:
+        return grouped(requests, "part", "block", _meet, TOLD_SCHEMA)
+    unit = levels[1]
+
+    def merge(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        names, parts, held = [], [], 0
+        for block, data in itertools.chain(rows, [(None, None)]):
+            if block is not None:
+                names.append(block)
+                parts.append(unpacked(data))
+                held += len(parts[-1][0])
+            if names and (block is None or held >= chunk_keys):
+                key, n, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                keys, at = np.unique(key, return_inverse=True)
+                b = bucket_of(keys, buckets)
+                order = np.lexsort((keys, b))
+                place = np.empty(len(keys), np.int64)
+                place[order] = np.arange(len(keys))
+                chunk = xxhash.xxh64_intdigest(struct.pack("<qqq", unit, part, names[0])) >> 1
+                memo = packed(np.full(len(names), part), np.array(names), np.array([len(p[0]) for p in parts]), place[at])
+                sums = [np.bincount(at, x, len(keys)).astype(np.int64)[order] for x in (n, d)]
+                yield as_batch([(-1, chunk, memo), *dealt(chunk, keys[order], b[order], unit, *sums)], ASKED)
+                names, parts, held = [], [], 0
+
+    def split(chunk: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        state, (n, d) = _told(rows)
+        part, names, sizes, place = unpacked(state)
+        ends = np.cumsum(sizes)
+        yield as_batch([(block, p, packed(n[place[e - s : e]], d[place[e - s : e]]), 0, 0, 0)
+                        for p, block, s, e in zip(part.tolist(), names.tolist(), sizes.tolist(), ends.tolist(), strict=True)], TOLD)
+
+    merged = stored(grouped(requests, "part", "block", merge, ASKED_SCHEMA), "merged-requests")
+    below = stored(answered(merged.where("part >= 0"), buckets, levels[1:], chunk_keys), "answers-below")
+    sums = below.where("block = -1")
+    told = below.where("block <> -1").select("block", "part", "data").unionByName(merged.where("part < 0"))
+    return grouped(told, "block", "part", split, TOLD_SCHEMA).unionByName(sums)
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), BUCKETS - 1)
+    return np.where(c > 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(np.int64), BUCKETS - 1), 0)
 
 
-def ratios(words: Words, counts: np.ndarray, j: np.ndarray, k: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Maximum-likelihood estimates: bigram, unigram, uniform."""
-    total, cj = max(int(counts.sum()), 1), counts[j]
-    return np.divide(pair, cj, out=np.zeros(len(pair)), where=cj > 0), counts[k] / total, 1.0 / len(counts)
+def estimates(cj: np.ndarray, ck: np.ndarray, cjk: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood estimates of the bigram (0 after an unseen context) and of the unigram."""
+    return np.divide(cjk, cj, out=np.zeros(len(cj)), where=cj > 0), ck / max(total, 1)
 
 
-CELLS = 512  # of a logarithmic scale of P(k|j) / P(k) within each context bucket; by P(k), 64 steps
+CELLS, COARSE = 512, 64  # steps of a logarithmic scale of bigram and unigram estimates
+CELL_SCHEMA = "key long, d double, s2 double, s1 double"
 
 
-def learn(spark: SparkSession, blocks_: DataFrame, words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights by context bucket, and the hot bigrams with their counts, both of bounded size.
+def _scale(p: np.ndarray, steps: int) -> np.ndarray:
+    return np.where(p > 0, 1 + np.clip((np.log2(np.maximum(p, 2.0**-40)) + 40) * steps / 40, 0, steps - 1).astype(np.int64), 0)
 
-    Held-out counts are summed over cells of (context bucket, bigram estimate, unigram estimate), each with its mean
-    estimates, by the tasks that see whole bigram counts; expectation-maximisation runs over the cells.
-    """
-    shared = spark.sparkContext.broadcast(SimpleNamespace(**vars(words)))
-    hot_from = words.tokens * HOT_SHARE
-
-    def work(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(x, 3) for x in held]
-        key, n, dev = tally(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-        w = shared.value
-        hot = n > hot_from
-        some = dev > 0
-        j, k = key[some] >> SHIFT, key[some] & ((1 << SHIFT) - 1)
-        p2, p1, _ = ratios(w, w.first, j, k, (n - dev)[some])
-        b = context_bucket(w.first[j])
-        scale = lambda p, steps: np.where(p > 0, 1 + np.clip((np.log2(np.maximum(p, 2.0**-30)) + 30) * steps / 31, 0, steps - 1).astype(np.int64), 0)
-        cell = (b * (CELLS + 1) + scale(p2, CELLS)) * 65 + scale(p1, 64)
-        d = dev[some].astype(float)
-        cell, d, s2, s1 = tally(cell, d, d * p2, d * p1)
-        kind = np.concatenate([np.zeros(len(cell), np.int64), np.ones(int(hot.sum()), np.int64)])
-        cols = [kind, np.concatenate([cell, key[hot]]), np.concatenate([d, n[hot]]), np.concatenate([s2, np.zeros(int(hot.sum()))]), np.concatenate([s1, np.zeros(int(hot.sum()))])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "d", "s2", "s1"])
-
-    seen = stored(in_buckets(blocks_, buckets, work, "kind long, key long, d double, s2 double, s1 double"), "seen")
-    cells = seen.where("kind = 0").groupBy("key").agg(F.sum("d").alias("d"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).orderBy("key").toArrow()
-    hot = seen.where("kind = 1").select("key", F.col("d").cast("long").alias("n")).orderBy("key").toArrow()
-    key, d, s2, s1 = (cells.column(c).to_numpy() for c in ("key", "d", "s2", "s1"))
-    b = key // ((CELLS + 1) * 65)
-    d = np.maximum(d, 1e-9)
+
+def maximised(b: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weights of each context bucket by expectation-maximisation: p has the three estimates of d held-out tokens each
+    in bucket b. A bucket without tokens keeps the start; after an unseen context the bigram has no weight."""
     weights = np.empty((BUCKETS, 3))
-    p = np.column_stack([s2 / d, s1 / d, np.full(len(d), 1.0 / len(words.c))])
     for x in range(BUCKETS):
-        a, own = np.array([0.5, 0.4, 0.1]), b == x
-        for _ in range(200 if own.any() else 0):
+        own = b == x
+        a = np.array([0.0, 0.8, 0.2]) if x == 0 else np.array([0.5, 0.4, 0.1])
+        for _ in range(500 if own.any() else 0):
             share = p[own] * a
-            share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300) * d[own, None]
-            new = share.sum(axis=0) / d[own].sum()
-            if np.abs(new - a).max() < 1e-9:
-                break
+            new = (share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300) * d[own, None]).sum(axis=0) / d[own].sum()
+            done = np.abs(new - a).max() < 1e-9
             a = new
-        weights[x] = np.maximum(a, 1e-6) / np.maximum(a, 1e-6).sum()
-    discard(spark, seen)
-    return weights, hot.column("key").to_numpy(), hot.column("n").to_numpy()
-
-
-def log_probability(words: Words, weights: np.ndarray, key: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    j, k = key >> SHIFT, key & ((1 << SHIFT) - 1)
-    p2, p1, p0 = ratios(words, words.c, j, k, pair)
-    a = weights[context_bucket(words.c[j])]
-    a2 = np.where(words.c[j] > 0, a[:, 0], 0.0)
-    p = (a2 * p2 + a[:, 1] * p1 + a[:, 2] * p0) / (a2 + a[:, 1] + a[:, 2])
-    return np.log10(p)
+            if done:
+                break
+        a = np.maximum(a, [0.0 if x == 0 else 1e-6, 1e-6, 1e-6])
+        weights[x] = a / a.sum()
+    return weights
 
 
-RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-WHOLE, PART = b"W", b"P"  # a block's own sums, and what a bucket adds to some of its texts
+def learn(gathered: DataFrame, buckets: int, total: int, types: int) -> np.ndarray:
+    """Weights by context bucket from the blocks of the held-out fold, with counts less their own.
 
+    Tokens are summed over cells of (context bucket, bigram estimate, unigram estimate) of bounded number, each with
+    its mean estimates; expectation-maximisation runs over the cells.
+    """
 
-def laid_out(*arrays) -> bytes:
-    """Arrays as doubles or longs behind their lengths."""
-    out = []
-    for a in arrays:
-        a = np.atleast_1d(np.asarray(a))
-        a = a.astype("<f8" if a.dtype.kind == "f" else "<i8")
-        out.append(np.array([len(a), a.dtype.kind == "f"], "<i8").tobytes() + a.tobytes())
-    return b"".join(out)
+    def cells(block: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        state, told = _told(rows)
+        _, _, lengths, words, stream = unpacked(state)
+        own = Block(words, stream, lengths)
+        order, _ = own.order(buckets)
+        first = np.empty(len(order), np.int64)
+        first[order] = told[0] - told[1]
+        word, pair = first[: len(words)], first[len(words) :]
+        cj = word[own.j]
+        p2, p1 = estimates(cj, word[own.k], pair, total)
+        d = np.bincount(own.pair, minlength=len(pair)).astype(np.float64)
+        key = (context_bucket(cj) * (CELLS + 1) + _scale(p2, CELLS)) * (COARSE + 1) + _scale(p1, COARSE)
+        keys, at = np.unique(key, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(at, x)) for x in (d, d * p2, d * p1))], ["key", "d", "s2", "s1"])
+
+    found = grouped(gathered, "block", "part", cells, CELL_SCHEMA).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("d", "s2", "s1")])
+    key, d, s2, s1 = (c.to_numpy() for c in found.orderBy("key").toArrow().columns)
+    return maximised(key // ((CELLS + 1) * (COARSE + 1)), d, np.column_stack([s2 / d, s1 / d, np.full(len(d), 1.0 / (types + 1))]))
 
 
-def read_back(data: bytes, n: int) -> tuple[list[np.ndarray], bytes]:
-    """So many arrays, and the bytes behind them."""
-    at, out = 0, []
-    for _ in range(n):
-        length, real = np.frombuffer(data[at : at + 16], "<i8").tolist()
-        out.append(np.frombuffer(data[at + 16 : at + 16 + 8 * length], "<f8" if real else "<i8").copy())
-        at += 16 + 8 * length
-    return out, data[at:]
+RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
+def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES, fan: int = FAN, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Null and blank texts are an end alone; a null id counts as an empty one for its fold; equal rows
-    give equal rows; an empty table gives an empty result; without training documents every count is 0. Columns other than doc_id and text are not read.
+    Null and blank texts are an end alone; a null id counts as an empty one for its fold; equal rows give equal rows; a
+    long text is scored whole, in a block of its own; an empty table gives an empty result; without training documents
+    every count is 0. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = Words(docs, vocabulary)
-    buckets = max(1, -(-max(words.tokens, 1) // bucket_records))
-    weights, hot_key, hot_n = learn(spark, bigram_counts(docs, words, buckets), words, buckets)
-    shared = spark.sparkContext.broadcast((SimpleNamespace(**vars(words)), weights, hot_key, hot_n))
-    total, types, rare_tokens, rare_types = words.tokens, words.types, words.rare_tokens, words.rare_types
-    base_floor, rare_floor = np.log10(total + types + 1), np.log10(rare_tokens + rare_types + 1)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id").cast("long").alias("part"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
+    levels = units(buckets, fan)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, a, hk, hn = shared.value
-        for number, (ids, parts, texts) in enumerate(blocks(batches)):
-            k, h, doc = classes(texts, w)
-            n_docs, ones, rare = len(ids), np.ones(len(k)), k == RARE
-            sums = lambda v, d: np.bincount(d, v, n_docs)
-            n_tokens = sums(ones, doc)
-            head = ~rare
-            base = sums(np.log10(w.c[k[head]] + 1.0) - base_floor, doc[head])
-            known = sums((w.c[k[head]] > 0).astype(float), doc[head])
-            key = before(k, doc) << SHIFT | k
-            at = np.minimum(np.searchsorted(hk, key), max(len(hk) - 1, 0))
-            hot = (hk[at] == key) if len(hk) else np.zeros(len(key), bool)
-            got = sums(log_probability(w, a, key[hot], hn[at[hot]]), doc[hot])
-            train = (np.array(parts) != TEST).astype(np.int64)
-            # records of the rest: a key, a text and how often; rare words have keys of their own
-            both = np.concatenate([key[~hot], h[rare] | TAIL])
-            where = np.concatenate([doc[~hot], doc[rare]])
-            order = np.lexsort((where, both))
-            both, where = both[order], where[order]
-            cuts = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]) | (where[1:] != where[:-1])])) if len(both) else np.empty(0, np.int64)
-            n = np.diff(np.append(cuts, len(both)))
-            both, where = both[cuts], where[cuts]
-            b = bucket_of(both, buckets)
-            order = np.argsort(b, kind="stable")
-            ends = np.searchsorted(b[order], np.arange(buckets + 1))
-            block = np.int64(TaskContext.get().partitionId() << 32 | number)
-            rows = [(-1 - int(block) % buckets, WHOLE + laid_out(block, [x or 0 for x in ids], [x is None for x in ids], n_tokens, known, base, got))]
-            for i in range(buckets):
-                x = order[ends[i] : ends[i + 1]]
-                if len(x):
-                    there, local = np.unique(where[x], return_inverse=True)
-                    rows.append((i, PART + laid_out(block, there, train[there]) + packed(both[x], local.astype(np.int64), n[x])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
-
-    def meet(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        w, a, _, _ = shared.value
-        out, parts, offset = [], [], 0
-        for data in held:
-            (block, *arrays), rest = read_back(data[1:], 7 if data[:1] == WHOLE else 3)
-            if data[:1] == WHOLE:
-                out.append((int(block[0]), data))
-                continue
-            key, local, n = unpacked(rest, 3)
-            parts.append((int(block[0]), arrays[0], arrays[1].astype(np.int64), key, local + offset, n))
-            offset += len(arrays[0])
-        if parts:
-            train = np.concatenate([x[2] for x in parts])
-            key, where, n = (np.concatenate([x[i] for x in parts]) for i in (3, 4, 5))
-            order = np.argsort(key, kind="stable")
-            key, where, n = key[order], where[order], n[order]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.add.reduceat(n * train[where], cuts)
-            tail = key[cuts] >= TAIL
-            value = np.empty(len(cuts))
-            value[~tail] = log_probability(w, a, key[cuts][~tail], count[~tail])
-            value[tail] = np.log10(count[tail] + 1.0)
-            runs = np.diff(np.append(cuts, len(key)))
-            per, is_tail, seen = np.repeat(value, runs), np.repeat(tail, runs), np.repeat(count > 0, runs)
-            sums = [np.bincount(where, v * n, offset) for v in (is_tail & seen, np.where(is_tail, per - base_floor, 0.0), np.where(is_tail, per - rare_floor, per))]
-            at = 0
-            for block, there, *_ in parts:
-                out.append((block, PART + laid_out(np.int64(block), there, *(s[at : at + len(there)] for s in sums))))
-                at += len(there)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "data"])
-
-    def finish(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """The rows of one block of texts, with what its buckets have found."""
-        whole = next(x for x in held if x[:1] == WHOLE)
-        (_, ids, nulls, n_tokens, *sums), _ = read_back(whole[1:], 7)
-        for data in held:
-            if data[:1] == PART:
-                (_, there, *more), _ = read_back(data[1:], 5)
-                for total_, x in zip(sums, more, strict=True):
-                    np.add.at(total_, there.astype(np.int64), x)
-        cols = [pa.array(ids.astype(np.int64), mask=nulls.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        for number, (ids, parts, texts) in enumerate(blocks(batches, block_bytes)):
+            local = {END: 0}
+            stream = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in (*t, END)), np.int64)
+            # numbered by frequency, so that the stream packs well
+            order = np.r_[0, 1 + np.argsort(-np.bincount(stream)[1:], kind="stable")]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words, stream = np.fromiter(map(word_hash, local), np.int64, len(local))[order], rank[stream]
+            own = Block(words, stream, np.array([len(t) + 1 for t in texts]))
+            train = (np.array(parts) != TEST)[own.doc].astype(np.float64)
+            n = np.r_[np.bincount(stream, train, len(words)), np.bincount(own.pair, train, len(own.pairs))].astype(np.int64)
+            dev = parts[0] == DEV
+            block = (TaskContext.get().partitionId() << 32 | number) << 1 | dev
+            state = packed(np.array([x or 0 for x in ids]), np.array([x is None for x in ids], np.int64), np.array([len(t) + 1 for t in texts]), words, stream)
+            order, b = own.order(buckets)
+            yield as_batch([(-1, block, state), *dealt(block, own.keys[order], b, levels[0], n[order], n[order] * dev)], ASKED)
+
+    asked = stored(docs.mapInArrow(read, ASKED_SCHEMA), "requests")
+    told = stored(answered(asked.where("part >= 0"), buckets, levels, chunk_keys), "answers")
+    sums = told.where("block = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("dev")).first()
+    types, total, dev_total = (x or 0 for x in sums)
+    gathered = told.where("block <> -1").select("block", "part", "data").unionByName(asked.where("part < 0"))
+    weights = learn(gathered.where(F.col("block") % 2 == 1), buckets, total - dev_total, types)
+
+    def finish(block: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        state, (n, _) = _told(rows)
+        ids, nulls, lengths, words, stream = unpacked(state)
+        own = Block(words, stream, lengths)
+        order, _ = own.order(buckets)
+        c = np.empty(len(order), np.int64)
+        c[order] = n
+        word, pair = c[: len(words)], c[len(words) :]
+        cj = word[own.j]
+        p2, p1 = estimates(cj, word[own.k], pair, total)
+        a = weights[context_bucket(cj)]
+        log = np.log10(a[:, 0] * p2 + a[:, 1] * p1 + a[:, 2] / (types + 1))
+        base = np.log10((word + 1) / (total + types + 1))
+        sums = [np.bincount(own.doc, x) for x in ((word > 0)[stream], base[stream], log[own.pair])]
+        cols = [pa.array(ids, mask=nulls.astype(bool)), pa.array(lengths), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    part = docs.select("doc_id", fold("doc_id").alias("part"), "text")
-    records = part.mapInArrow(read, "bucket long, data binary")
-    returned = in_buckets(records, buckets, meet, "bucket long, data binary")
-    summed = in_buckets(returned, buckets, finish, RESULT)
-    return summed.select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = stored(grouped(gathered, "block", "part", finish, RESULT), "scores")
+    discard(spark, asked, told)
+    return out.select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
