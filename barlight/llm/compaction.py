@@ -10,12 +10,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlight.llm.common import fresh_path
 
-
-#: Runs that one job merges, a task each, before it commits.
+#: Runs that one job merges, a task each.
 JOB_RUNS = 64
+#: Versions that readers replay at most behind a whole listing.
+MOST_TAIL = 50
 
 
 @dataclass(frozen=True)
@@ -26,11 +28,20 @@ class Shard:
     level: int  # merges that it went through
 
 
+def own_name(names: list[str], stem: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {n.lower() for n in names}
+    return next(x for k in range(len(names) + 1) if (x := f"{stem}_{k}") not in taken)
+
+
 class ShardTable:
-    """Parquet shards under a folder; `_manifest/<version>.json` lists the shards of each version.
+    """Parquet shards under a folder; `_manifest/<version>.json` has what each version adds and removes.
 
     A version appears by one rename that fails if another writer took the number, so readers see all of a commit
-    or none; shards are never changed. Manifests hold a line a file, not rows, and are the driver's only data.
+    or none; shards are never changed. A version that follows MOST_TAIL others, or as many changed entries as the
+    table has shards, lists them whole, so that readers replay a bounded tail and writers write little more than changed.
+    Entries are a line a file, not rows, and with the schema are the driver's only data. Tables may be empty and may
+    have columns of any names; null, empty and long values and equal rows are rows like others.
     """
 
     def __init__(self, spark: SparkSession, path: str, target: int = 64 << 20, fanout: int = 4):
@@ -47,26 +58,53 @@ class ShardTable:
         names = [x.getPath().getName() for x in store.listStatus(p)] if store.exists(p) else []
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        """The given or newest version (0 if there is none) and its shards."""
-        version = max(self.versions(), default=0) if version is None else version
-        if not version:
-            return 0, []
+    def _entry(self, version: int) -> dict:
         p, store = self._at(f"{self.path}/_manifest/{version:08d}.json")
         stream = store.open(p)
         try:
-            data = bytes(stream.readAllBytes())
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return version, [Shard(**x) for x in json.loads(data)]
 
-    def commit(self, base: int, shards: list[Shard]) -> int:
-        """Publishes version base + 1; FileExistsError if another writer has."""
+    def _replayed(self, version: int | None) -> tuple[int, dict[str, Shard], str | None, int, int]:
+        """Version, shards by path, schema, and the entries and versions since the last whole listing."""
+        version = max(self.versions(), default=0) if version is None else version
+        tail, schema, changed = [], None, 0
+        for v in range(version, 0, -1):
+            entry = self._entry(v)
+            schema = schema or entry["schema"]
+            tail.append(entry)
+            if entry["whole"]:
+                break
+            changed += len(entry["add"]) + len(entry["remove"])
+        shards: dict[str, Shard] = {}
+        for entry in reversed(tail):
+            for path in entry["remove"]:
+                del shards[path]
+            shards |= {x["path"]: Shard(**x) for x in entry["add"]}
+        return version, shards, schema, changed, len(tail)
+
+    def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
+        """The given or newest version (0 if there is none) and its shards."""
+        version, shards, *_ = self._replayed(version)
+        return version, list(shards.values())
+
+    def schema(self, version: int | None = None) -> T.StructType | None:
+        found = self._replayed(version)[2]
+        return T.StructType.fromJson(json.loads(found)) if found else None
+
+    def commit(self, base: int, add: list[Shard], remove: list[str] = (), schema: T.StructType | None = None) -> int:
+        """Publishes version base + 1 with shards added and removed; FileExistsError if another writer has."""
+        _, shards, known, changed, tail = self._replayed(base)
+        entry = {"schema": schema.json() if schema else known, "whole": False, "add": [asdict(s) for s in add], "remove": list(remove)}
+        if tail >= MOST_TAIL or changed + len(add) + len(remove) > len(shards):
+            gone = set(remove)
+            entry |= {"whole": True, "add": [asdict(s) for s in [*(s for s in shards.values() if s.path not in gone), *add]], "remove": []}
         _, store = self._at(self.path)
         new, draft = f"{self.path}/_manifest/{base + 1:08d}.json", f"{self.path}/_manifest/{uuid.uuid4().hex}.draft"
         out = store.create(self._fs.Path(draft), False)
         try:
-            out.write(bytearray(json.dumps([asdict(s) for s in shards]).encode()))
+            out.write(bytearray(json.dumps(entry).encode()))
         finally:
             out.close()
         context = self._fs.FileContext.getFileContext(self._fs.Path(new).toUri(), self._conf)
@@ -77,7 +115,7 @@ class ShardTable:
         return base + 1
 
     def _listed(self, folder: str, level: int) -> dict[str, list[Shard]]:
-        """Shards below a folder by the name of their parent folder; rows come from the files' footers."""
+        """Shards below a folder by the name of their parent folder."""
         p, store = self._at(folder)
         files, found = store.listFiles(p, True), []
         while files.hasNext():
@@ -95,13 +133,13 @@ class ShardTable:
         return out
 
     def append(self, df: DataFrame, arrival: str | None = None) -> list[int]:
-        """Writes df as small shards, a commit for each value of the column `arrival` (dropped) or for all; the versions."""
+        """Writes df as small shards, a commit for each value of the column `arrival` (dropped) or for all; the versions.
+        An empty df is a commit without shards, which keeps its schema."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         (df.write.partitionBy(arrival) if arrival else df.write).parquet(folder)
-        out = []
-        for _, shards in sorted(self._listed(folder, 0).items()):
-            base, now = self.manifest()
-            out.append(self.commit(base, now + shards))
+        schema, out = df.drop(arrival).schema if arrival else df.schema, []
+        for _, shards in sorted(self._listed(folder, 0).items()) or [("", [])]:
+            out.append(self.commit(max(self.versions(), default=0), [s for s in shards if s.rows], schema=schema))
         return out
 
     def tier(self, s: Shard) -> int:
@@ -124,56 +162,70 @@ class ShardTable:
             out.append(run)
         return [r for r in out if len(r) >= self.fanout]
 
+    def _merged(self, runs: list[list[Shard]]) -> list[Shard]:
+        """One new shard for each run, by one job with a task a run; nothing is shuffled."""
+        folder, schema = f"{self.path}/data/{uuid.uuid4().hex}", self.schema()
+        run = own_name(schema.names, "run")
+        parts = [self.spark.read.schema(schema).parquet(*[s.path for s in r]).coalesce(1).withColumn(run, F.lit(k)) for k, r in enumerate(runs)]
+        reduce(DataFrame.union, parts).write.partitionBy(run).parquet(folder)
+        new = [s for _, own in sorted(self._listed(folder, 1 + max(s.level for r in runs for s in r)).items()) for s in own]
+        merged, old = sum(s.rows for s in new), sum(s.rows for r in runs for s in r)
+        if merged != old:
+            raise RuntimeError(f"merged {merged} rows of {old}")
+        return new
+
     def compact(self) -> int:
-        """Merges until no tier has a run to merge; the newest version. Each round is one job, a task a merged file."""
+        """Merges until no tier has a run to merge; the newest version. All merges of a round are one commit, and the
+        rounds are logarithmic in the number of shards."""
         while True:
             base, shards = self.manifest()
             runs = self.runs(shards)
             if not runs:
                 return base
-            runs = runs[:JOB_RUNS]
-            paths = [s.path for r in runs for s in r]
-            folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            # a run is one partition and so one file; nothing is shuffled
-            parts = [self.spark.read.parquet(*[s.path for s in r]).coalesce(1).withColumn("_run", F.lit(k)) for k, r in enumerate(runs)]
-            reduce(DataFrame.union, parts).write.partitionBy("_run").parquet(folder)
-            new = [s for _, own in sorted(self._listed(folder, 1 + max(s.level for r in runs for s in r)).items()) for s in own]
-            merged_rows, old_rows = sum(s.rows for s in new), sum(s.rows for r in runs for s in r)
-            if merged_rows != old_rows:
-                raise RuntimeError(f"merged {merged_rows} rows of {old_rows}")
-            gone = set(paths)
-            self.commit(base, [s for s in shards if s.path not in gone] + new)
+            new = [s for k in range(0, len(runs), JOB_RUNS) for s in self._merged(runs[k : k + JOB_RUNS])]
+            self.commit(base, new, [s.path for r in runs for s in r])
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes shards that none of the newest `keep` versions lists; the number of files."""
         versions = self.versions()
         alive = {s.path for v in versions[-keep:] for s in self.manifest(v)[1]}
-        old = {s.path for v in versions[:-keep] for s in self.manifest(v)[1]} - alive
+        old = {x["path"] for v in versions for x in self._entry(v)["add"]} - alive
+        deleted = 0
         for path in sorted(old):
             p, store = self._at(path)
-            store.delete(p, False)
-        return len(old)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version with _shard, the place of their file in the manifest."""
-        _, shards = self.manifest(version)
-        if not shards:
-            raise FileNotFoundError(f"{self.path} has no rows at this version")
-        places = self.spark.createDataFrame([("/".join(s.path.rsplit("/", 2)[1:]), k, s.level) for k, s in enumerate(shards)], "_file string, _shard int, _level int")
-        file = F.concat_ws("/", F.element_at(F.split(F.input_file_name(), "/"), -2), F.element_at(F.split(F.input_file_name(), "/"), -1))
-        rows = self.spark.read.parquet(*[s.path for s in shards]).withColumn("_file", F.regexp_replace(file, "%3D", "="))
-        return rows.join(F.broadcast(places), "_file").drop("_file")
+            deleted += store.delete(p, False)
+        return deleted
+
+    def read(self, version: int | None = None, place: str | None = None) -> DataFrame:
+        """Rows of a version; with `place` also a struct of that name: shard (the file's number in the manifest) and
+        merges. A table without rows has its schema; FileNotFoundError where there is no version at all."""
+        version, shards = self.manifest(version)
+        schema = self.schema(version)
+        if schema is None:
+            raise FileNotFoundError(f"{self.path} has no version")
+        if place is not None and place.lower() in {n.lower() for n in schema.names}:
+            raise ValueError(f"the table has a column {place}")
+        rows = self.spark.read.schema(schema).parquet(*[s.path for s in shards]) if shards else self.spark.createDataFrame([], schema)
+        if place is None:
+            return rows
+        # files are joined by the end of their path; Spark chooses how by the size of the listing
+        tail = lambda x: F.regexp_replace(F.substring_index(x, "/", -2), "%3D", "=")
+        file = own_name(schema.names, "file")
+        listing = [("/".join(s.path.rsplit("/", 2)[1:]), k, s.level) for k, s in enumerate(shards)]
+        places = self.spark.createDataFrame(listing, "f string, shard int, merges int").select(F.col("f").alias(file), F.struct("shard", "merges").alias(place))
+        return rows.withColumn(file, tail(F.input_file_name())).join(places, file).drop(file)
 
 
 def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through twelve arrivals and a compaction: doc_id, text_sha256, and the shard that holds the row."""
     table = ShardTable(spark, fresh_path(spark, "shards"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    table.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(12))), "_arrival")
+    arrival, place = own_name(docs.columns, "arrival"), own_name(docs.columns, "place")
+    table.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(12))), arrival)
     version = table.compact()
     table.vacuum()
-    return table.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
-                               F.col("_shard").alias("shard"), F.col("_level").alias("merges"), F.lit(version).alias("version"))
+    return table.read(place=place).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+                                          F.col(f"{place}.shard").alias("shard"), F.col(f"{place}.merges").alias("merges"), F.lit(version).alias("version"))
 
 
 QUERIES = {"op6_size_tiered_compaction": op6_size_tiered_compaction}
