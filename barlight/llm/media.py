@@ -90,10 +90,11 @@ class Range(InputPartition):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Writes rows (doc_id, text), each task one archive; the folder's manifest appears once all tasks are done."""
+    """Writes rows (doc_id, text), each task one archive. A job's archives appear with its manifest, once all tasks are
+    done; the manifests of a folder add up, and a job that overwrites removes those before it."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = fs.FileSystem.from_uri(self.path)
@@ -115,16 +116,26 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         store, folder = fs.FileSystem.from_uri(self.path)
         store.create_dir(folder)
+        before = manifests(store, folder) if self.overwrite else []
         listed = [{"name": m.name, "members": m.members, "size": m.size} for m in messages if m is not None and m.members]
-        with store.open_output_stream(f"{folder}/manifest.tmp") as out:
+        new = f"{folder}/manifest-{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{new}.tmp") as out:
             out.write(json.dumps(listed).encode())
-        store.move(f"{folder}/manifest.tmp", f"{folder}/manifest.json")
+        store.move(f"{new}.tmp", f"{new}.json")
+        for old in before:
+            store.delete_file(old)
 
     def abort(self, messages: list) -> None:
         store, folder = fs.FileSystem.from_uri(self.path)
         for m in messages:
             if m is not None:
                 store.delete_file(f"{folder}/{m.name}")
+                store.delete_file(f"{folder}/{m.name}.idx")
+
+
+def manifests(store: fs.FileSystem, folder: str) -> list[str]:
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith("manifest-") and f.base_name.endswith(".json"))
 
 
 class ArchiveReader(DataSourceReader):
@@ -133,8 +144,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, folder = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{folder}/manifest.json") as f:
-            listed = json.loads(f.read())
+        listed = []
+        for name in manifests(store, folder):
+            with store.open_input_stream(name) as f:
+                listed += json.loads(f.read())
         ranges = [Range(x["name"], a, min(a + self.split, x["size"])) for x in listed for a in range(0, x["size"], self.split)]
         return ranges or [Range("", 0, 0)]
 
@@ -203,14 +216,18 @@ class MediaArchive(DataSource):
         return ArchiveReader(o["path"], int(o.get("split_bytes", 8 << 20)), int(o.get("retries", 2)), int(o.get("batch_bytes", 2 << 20)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
+
 
+def write_archives(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Stores doc_id and text of every row, beside what the folder has or (mode "overwrite") in its place.
 
-def write_archives(docs: DataFrame, path: str) -> None:
-    """Stores doc_id and text of every row; null texts are empty, null ids stay null, other columns are not read."""
+    Null texts are empty, null ids stay null, equal rows are members each, an empty table adds none; a text is one
+    member however long, so the longest must fit a task's memory; other columns are not read.
+    """
     docs.sparkSession.dataSource.register(MediaArchive)
     kept = docs.select("doc_id", "text")
-    kept.select(kept.doc_id.cast("long").alias("doc_id"), kept.text.cast("string").alias("text")).write.format("media_archive").mode("append").save(path)
+    kept.select(kept.doc_id.cast("long").alias("doc_id"), kept.text.cast("string").alias("text")).write.format("media_archive").mode(mode).save(path)
 
 
 def read_archives(spark: SparkSession, path: str, **options: object) -> DataFrame:
