@@ -1,4 +1,4 @@
-"""Best-fit packing under conflicts: no bin holds two pieces of one source or of one cluster of copies."""
+"""Best-fit packing under conflicts: no bin holds two pieces of one source or of one cluster of near copies."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlight.llm import simhash
 from barlight.llm.common import n_words, stored
 
 CAPACITY = 2048
-#: Rows of a shard, which one task packs; shards are dealt by hash, so hot sources and copies spread evenly.
-SHARD_ROWS = 4096
+#: Pieces of a shard on average, which one task packs; pieces are dealt by hash, so long texts, hot sources and copies
+#: spread evenly over the shards.
+SHARD_PIECES = 4096
 OUT = "doc_id long, piece int, n_tokens int, shard long, bin int, position int"
 
 
@@ -48,20 +50,26 @@ def pack_shard(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": f.doc_id, "piece": f.piece, "n_tokens": f.n_tokens, "shard": f.shard, "bin": where, "position": position})
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
+def text_clusters(docs: DataFrame) -> DataFrame:
+    """tie (hash of the text) and cluster of every distinct text: texts whose fingerprints links reach are one cluster."""
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    return simhash.near_duplicates(keyed).select(F.col("doc_id").alias("tie"), F.col("component_id").alias("cluster")).distinct()
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, clusters: DataFrame | None = None) -> DataFrame:
     """doc_id, piece, n_tokens, shard, bin, position for every piece of every text; a bin is (shard, bin).
 
-    Texts longer than the capacity are cut into full pieces and a rest. Copies share a cluster: the column named
-    by `cluster`, else the exact text. Null sources are one source; null and blank texts give one piece of 0
-    tokens in no bin (null); equal rows stay separate rows; other columns are not read.
+    Texts longer than the capacity are cut into full pieces and a rest. Copies share a cluster: that of `clusters`
+    (tie, cluster), else the exact text. Null sources are one source; null and blank texts give one piece of 0
+    tokens in no bin (null); equal rows stay separate rows; pieces of one length go by id, then text; an empty table
+    gives an empty result; other columns are not read.
     """
-    text = F.col("text")
-    own = F.col(cluster).cast("long") if cluster else F.xxhash64(text)
-    sized = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), own.alias("cluster"), F.xxhash64("text").alias("tie"), n_words(text).alias("size"))
-    sized = stored(sized, "sizes")
-    shards = max(1, -(-sized.count() // shard_rows))
-    starts = F.sequence(F.lit(0), F.greatest((F.col("size") - 1) / capacity, F.lit(0)).cast("int"))
-    cut = sized.withColumn("piece", F.explode(starts)).withColumn(
+    text, tie = F.col("text"), F.xxhash64("text")
+    sized = stored(docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), tie.alias("tie"), n_words(text).alias("size")), "sizes")
+    number = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))
+    shards = max(1, -(-(sized.agg(F.sum(number)).first()[0] or 0) // shard_pieces))
+    sized = sized.withColumn("cluster", F.col("tie")) if clusters is None else sized.join(stored(clusters, "clusters"), "tie")
+    cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), (number - 1).cast("int")))).withColumn(
         "n_tokens", F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("int"))
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(shards)))
 
@@ -75,7 +83,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(docs, clusters=text_clusters(docs))
 
 
 QUERIES = {"op3_best_fit_packing": op3_best_fit_packing}
