@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.common import n_words, stored, tucked, untucked
+from barlight.llm.common import maybe_broadcast, n_words, stored, tucked, untucked
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 BLOCK_TOKENS, SHARD_BLOCKS, SEED = 128, 8192, 20_240_607
+#: Sources that a mix may have (some 100 MB of names and sizes).
+MOST_SOURCES = 1_000_000
 #: Rows of a bucket in which offsets are summed; buckets of a source are summed first, so a hot source is many tasks.
 BUCKET_ROWS = 5_000
 
@@ -60,7 +62,10 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 class Plan:
-    """What a mix aims at, by source in code-point order with null last; as many rows as there are sources."""
+    """What a mix aims at, by source in code-point order with null last: a row a source, held by the driver.
+
+    Sources are collections or hosts, not documents: at most MOST_SOURCES, else ValueError.
+    """
 
     def __init__(self, names: list[str | None], sizes: list[int], block: int, weights: tuple = WEIGHTS, most: int = MOST):
         self.names, self.sizes, self.block = names, sizes, block
@@ -80,13 +85,15 @@ def place(docs: DataFrame, size: str = "_size", rows: int = BUCKET_ROWS, block:
     of rows, then within them; the order is by hash of the id, so reruns agree.
     """
     spark = docs.sparkSession
-    totals = docs.groupBy("source").agg(F.sum(size).alias("s"), F.count("*").alias("n")).collect()  # a row a source
+    totals = docs.groupBy("source").agg(F.sum(size).alias("s"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()  # a row a source
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     plan = Plan([r.source for r in totals], [int(r.s or 0) for r in totals], block, **how)
     buckets = max(1, -(-sum(r.n for r in totals) // rows))
     named = plan.frame(spark)
-    with_no = docs.join(F.broadcast(named), docs.source.eqNullSafe(named.source_name)).drop("source_name")
-    with_no = with_no.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    with_no = docs.join(maybe_broadcast(named, len(totals)), docs.source.eqNullSafe(named.source_name)).drop("source_name")
+    with_no = with_no.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(buckets)))
     sums = with_no.groupBy("source_no", "bucket").agg(F.sum(size).alias("s"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_no", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
@@ -107,17 +114,19 @@ def slots(spark: SparkSession, plan: Plan, shard_blocks: int = SHARD_BLOCKS, see
     schema = "shard long, source_no int, block long"
     if not total:
         return spark.createDataFrame([], schema)
-    shares, quotas, count = np.array(plan.quotas) / total, plan.quotas, -(-total // shard_blocks)
+    upto, quotas, count = np.cumsum(np.array(plan.quotas, np.int64)), plan.quotas, -(-total // shard_blocks)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for shard in f.id:
-                size = min(shard_blocks, total - shard * shard_blocks)
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(size, shares)
-                yield pd.DataFrame({"shard": int(shard), "source_no": np.arange(len(counts)), "n": counts})
+                # a multinomial draw as so many draws of a source; sources that get none take no row
+                size = min(shard_blocks, total - int(shard) * shard_blocks)
+                drawn_ = np.searchsorted(upto, np.random.default_rng([seed, int(shard)]).integers(0, total, size), side="right")
+                source, counts = np.unique(drawn_, return_counts=True)
+                yield pd.DataFrame({"shard": int(shard), "source_no": source, "n": counts})
 
     drawn = stored(spark.range(0, count, 1, min(count, 200)).mapInPandas(draw, "shard long, source_no int, n long"), "draws")
-    tally = {r.source_no: r.n for r in drawn.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
+    tally = dict.fromkeys(range(len(quotas)), 0) | {r.source_no: r.n for r in drawn.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
     moves, needs = [], [[t, tally[t], quotas[t] - tally[t]] for t in sorted(tally) if tally[t] < quotas[t]]
     for s in sorted(tally):
         at, left = quotas[s], tally[s] - quotas[s]
