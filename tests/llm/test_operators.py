@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -96,6 +97,133 @@ def test_lines_of_pages_of_shared_lines_are_counted_by_document(spark):
     assert not [r for r in line_quality.judge(df).collect() if r.doc_id < 2000 and r.kept]
 
 
+def plain_lines(text):
+    """Normalised lines of a text and the line each came from."""
+    out = []
+    for line in (text or "").split("\n"):
+        x = re.sub(r"[\x20\x09\x0B-\x0D]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" ")
+        if x:
+            out.append((x, line))
+    return out
+
+
+def plain_quality(table, limits):
+    """Of each (id, text, host) row: kept, and the text without the frequent lines of its host."""
+    holders, hosts = collections.defaultdict(set), collections.defaultdict(set)
+    for _, text, host in table:
+        lines = tuple(x for x, _ in plain_lines(text))
+        hosts[host].add(lines)
+        for x in lines:
+            holders[host, x].add(lines)
+    frequent = {k for k, v in holders.items() if len(v) >= max(limits.line_documents, limits.line_share * len(hosts[k[0]]))}
+    out = []
+    for doc_id, text, host in table:
+        n, _, _, _, again = plain_counts(text)
+        gone = [x for x, _ in plain_lines(text) if (host, x) in frequent]
+        removed = sum(len(x.split(" ")) for x in gone)
+        kept = n >= 50 and 100 * again <= 50 * n and n - removed >= limits.least_kept * n
+        lines = [line for line in (text or "").split("\n") if not any((host, x) in frequent for x, _ in plain_lines(line))]
+        out.append((doc_id, kept, "\n".join(lines) if gone else text))
+    return out
+
+
+def hosted():
+    rng = np.random.default_rng(12)
+    make = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, n))
+    menu = [make(6) + f" item {i}" for i in range(30)]
+    out = []
+    for i in range(400):
+        lines = [make(int(rng.integers(5, 40))).upper() if rng.random() < 0.1 else make(int(rng.integers(5, 40))) for _ in range(int(rng.integers(1, 6)))]
+        lines += [f"{menu[k]} {int(rng.integers(0, 99))}" for k in rng.choice(30, int(rng.integers(0, 12)), replace=False)]
+        rng.shuffle(lines)
+        out.append((i, "\n".join(lines), ["big", "small", None][min(2, int(rng.integers(0, 8)) // 3)]))
+    return [*out, *[(400 + i, *out[i][1:]) for i in range(60)], (None, None, "big"), (None, "", None), (None, "", None)]
+
+
+@pytest.mark.parametrize("limits", [line_quality.Limits(), line_quality.Limits(line_documents=3, line_share=0.1)])
+def test_quality_against_plain_rules(spark, limits):
+    df = spark.createDataFrame(hosted(), "doc_id long, text string, source string").repartition(4)
+    want = plain_quality(hosted(), limits)
+    order = lambda x: sorted(x, key=repr)
+    assert order((r.doc_id, r.kept) for r in line_quality.judge(df, limits).collect()) == order((i, k) for i, k, _ in want)
+    assert order((r.doc_id, r.text) for r in line_quality.cleaned(df, limits).collect()) == order((i, t) for i, k, t in want if k)
+    assert 20 < sum(k for _, k, _ in want) < len(want) - 20
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False, "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}
+            if ok[kind]:
+                out.append((m.start(), list(PLAIN).index(kind), kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def test_base_spans_against_plain_patterns(spark, docs):
+    rng = np.random.default_rng(4)
+    bits = ["a@b.de", "x.y+z@mail-1.example.org", "10.0.0.1", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 123-4567", "+49 30 1234567", "+1", "é", "@", ".", "-", " ", "7", "12", "word", "\n", "a@b", "%"]
+    made = [("".join(rng.choice(bits, int(rng.integers(1, 12))))) for _ in range(600)] + ["1" * 40, "1.1." * 30, "+1 " * 40, "a@b." * 20 + "c", None, ""]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for r in df.select("text", pii.base_spans(F.coalesce("text", F.lit(""))).alias("b")).collect():
+        assert [(x.kind, x.start, x.end) for x in r.b] == plain_base(r.text), r.text
+
+
+def planted():
+    """Texts with spans that no strict pattern takes, as (text, spans), and clean ones with near misses."""
+    rng = np.random.default_rng(21)
+    words = [f"{a}{b}" for a in ("lo", "ka", "mi", "ter", "so", "un") for b in ("ra", "nel", "sto", "ig", "vem")]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    card = lambda: next(x for x in iter(lambda: "4" + d(15), None) if plain_base(x))
+    name = lambda: f"{rng.choice(words)}{rng.choice(['.', '_', ''])}{rng.choice(words)}"
+    four = lambda x, by: by.join(x[i : i + 4] for i in range(0, 16, 4))
+    hidden = {
+        "email": lambda: rng.choice([f"{name()} at {rng.choice(words)} dot org", f"{name()}[at]{rng.choice(words)}[dot]net", f"{name()} (at) {rng.choice(words)} (dot) de"]),
+        "phone": lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{rng.integers(200, 999)}-{d(3)}-{d(4)}", f"00 49 {d(3)} {d(3)} {d(4)}"]),
+        "card": lambda: rng.choice([four(card(), "."), four(card(), "_"), four(card(), "  ")]),
+        "ip": lambda: rng.choice(["[.]", " dot ", " . "]).join(map(str, rng.integers(1, 255, 4))),
+    }
+    miss = [lambda: f"{rng.integers(1900, 2030)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}", lambda: f"1{rng.integers(0, 9)}.0{rng.integers(1, 9)}.{rng.integers(1900, 2030)}", lambda: d(7), lambda: f"{d(4)}.{d(5)}",
+            lambda: f"{rng.choice(words)} at {rng.choice(words)}.{str(rng.choice(words)).title()}", lambda: "300.1.2.900", lambda: f"{rng.integers(10, 99)} {rng.integers(100, 999)} {rng.integers(100, 999)}"]
+    dirty = []
+    for i in range(240):
+        kind = list(hidden)[i % 4]
+        before, value = prose(12) + " ", str(hidden[kind]())
+        while plain_base(before + value):
+            value = str(hidden[kind]())
+        dirty.append((before + value + " " + prose(8), (kind, len(before), len(before) + len(value))))
+    return dirty, [prose(10) + " " + miss[i % len(miss)]() + " " + prose(6) for i in range(140)]
+
+
+def test_spans_outside_the_strict_patterns_are_found(spark):
+    dirty, clean = planted()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in dirty] + clean)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(df).collect()}
+    assert not any(r.base for r in got.values())
+    hits = collections.Counter(s[0] for i, (_, s) in enumerate(dirty) if s in {(x.kind, x.start, x.end) for x in got[i].spans})
+    assert all(hits[k] >= 0.8 * 60 for k in pii.KINDS), hits
+    assert sum(bool(got[len(dirty) + i].spans) for i in range(len(clean))) <= 0.05 * len(clean)
+    said = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert all(said[i] == t[: s[1]] + f"[{s[0].upper()}]" + t[s[2] :] for i, (t, s) in enumerate(dirty) if len(got[i].spans) == 1 and (got[i].spans[0].kind, got[i].spans[0].start, got[i].spans[0].end) == s)
+
+
+def test_tests_of_texts_pass_all_matches(spark):
+    """No generator's match is lost to the cheap test before it."""
+    dirty, clean = planted()
+    bits = ["06 12 34 56 78", "jo at mail dot org", "a [at] b.c", "1 . 2 . 3 . 4", "4111.1111.1111.1111", "411111111111", "+1 5551234567", "x(AT)y(DOT)z"]
+    texts_ = [t for t, _ in dirty] + clean + bits
+    df = spark.createDataFrame([(t,) for t in texts_], "text string")
+    for kind, may, pattern in pii.WIDE:
+        assert df.where(F.col("text").rlike(pattern) & ~F.col("text").rlike(may)).count() == 0, kind
+
+
 def test_base_spans(unique):
     got = {r.doc_id: r for r in pii.spans(unique.select("doc_id", "text")).collect()}
     last = max(got)
@@ -116,6 +244,15 @@ def test_redaction(unique):
     got = {r.doc_id: r for r in pii.redacted(unique).collect()}
     row = got[max(got) - 1]
     assert row.text.startswith("Mail me at [EMAIL] or [IP], 300.1.1.1 and [CARD] or [PHONE] x") and row.n_chars == len(row.text) and row.base == "x"
+    text = {r[0]: r[1] for r in rows()}
+    found = {r.doc_id: r.spans for r in pii.spans(unique).collect()}
+    for i, r in got.items():
+        want, at = "", 0
+        for x in found[i]:
+            if x.end > at:
+                want += (text[i] or "")[at : max(x.start, at)] + (f"[{x.kind.upper()}]" if x.start >= at else "")
+                at = x.end
+        assert r.text == (want + text[i][at:] if found[i] else text[i])
 
 
 def plain_components(values, linked):
@@ -236,8 +373,25 @@ def test_mixed_parts_are_the_words_taken(unique):
     assert {k: v for k, v in taken.items() if v} == dict(parts)
 
 
-def test_packing(docs):
-    got = packing.pack(docs, capacity=256, shard_rows=40).toPandas()
+def plain_pack(rows, capacity):
+    """Best-fit decreasing by looking at every bin: rows are (n, doc_id, tie, piece, source, cluster) in order."""
+    bins, out = [], {}
+    for n, doc_id, tie, piece, source, cluster in rows:
+        fit = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= n and source not in b["sources"] and cluster not in b["clusters"]]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"left": capacity, "sources": set(), "clusters": set()})
+        out[doc_id, tie, piece] = (k, capacity - bins[k]["left"])
+        bins[k]["left"] -= n
+        bins[k]["sources"].add(source)
+        bins[k]["clusters"].add(cluster)
+    return out
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_packing(docs, near):
+    clusters = packing.text_clusters(docs) if near else None
+    got = packing.pack(docs, capacity=256, shard_pieces=60, clusters=clusters).toPandas()
     full = got[got.bin.notna()]
     sizes = collections.Counter()
     for r in rows():
@@ -245,15 +399,28 @@ def test_packing(docs):
     placed = full.fillna({"doc_id": -1}).groupby("doc_id").n_tokens.sum().to_dict()
     assert placed == {(-1 if k is None else k): v for k, v in sizes.items() if v}
     assert (full.groupby(["shard", "bin"]).n_tokens.sum() <= 256).all()
-    source = {r[0]: r[3] for r in rows()}
-    full = full[full.doc_id.notna()]
-    assert not full.assign(s=full.doc_id.map(source)).duplicated(["shard", "bin", "s"]).any()
     assert got.bin.isna().sum() == sum(not WORD.findall(r[1] or "") for r in rows())
+    tie = {r.doc_id: r.tie for r in docs.select("doc_id", F.xxhash64("text").alias("tie")).collect()}
+    of = {r.tie: r.cluster for r in clusters.collect()} if near else {t: t for t in tie.values()}
+    source = {r[0]: r[3] or "\0" for r in rows()}
+    ids = [None if x != x else int(x) for x in full.doc_id]
+    full = full.assign(doc_id=pd.Series(ids, full.index, object), tie=[tie[x] for x in ids], source=[source[x] for x in ids])
+    full = full.assign(cluster=[of[t] for t in full.tie])
+    assert not full.duplicated(["shard", "bin", "source"]).any() and not full.duplicated(["shard", "bin", "cluster"]).any()
+    for _, f in full.groupby("shard"):
+        order = sorted(f.itertuples(), key=lambda r: (-r.n_tokens, r.doc_id is None, r.doc_id or 0, r.tie, r.piece))
+        want = plain_pack([(r.n_tokens, r.doc_id, r.tie, r.piece, r.source, r.cluster) for r in order], 256)
+        seen = collections.Counter(r.doc_id for r in order)
+        assert all(want[r.doc_id, r.tie, r.piece] == (r.bin, r.position) for r in order if max(seen.values()) == 1 or not f.duplicated(["doc_id", "tie", "piece"]).any())
+
+
+def test_shards_are_of_so_many_pieces(spark):
+    long = spark.createDataFrame([(i, "w " * 2000, f"s{i}") for i in range(20)], "doc_id long, text string, source string")
+    got = packing.pack(long, capacity=10, shard_pieces=500).groupBy("shard").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 700
 
 
 def test_best_fit_takes_the_tightest_bin():
-    import pandas as pd
-
     f = pd.DataFrame({"doc_id": [1, 2, 3, 4], "piece": 0, "n_tokens": [70, 60, 30, 25], "shard": 0, "source": list("abac"), "cluster": [1, 2, 3, 4], "tie": 0})
     got = packing.pack_shard(f, 100).set_index("doc_id").bin.to_dict()
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}  # 3 would fit bin 0 best but its source is there
@@ -283,15 +450,107 @@ def test_damaged_member_is_named_and_others_come(spark, unique, tmp_path):
     assert len(got) == 20 and [r.position for r in got if r.error] == [0]
 
 
+def test_archives_add_up(spark, docs, empty):
+    path = common.fresh_path(spark, "media")
+    media.write_archives(empty, path)
+    assert media.digests(media.read_archives(spark, path)).count() == 0
+    media.write_archives(docs.where("doc_id = 3"), path)
+    media.write_archives(docs.where("doc_id = 4"), path)
+    assert sorted(r.doc_id for r in media.read_archives(spark, path).collect()) == [3, 4]
+    media.write_archives(docs.where("doc_id = 7"), path, mode="overwrite")
+    assert [r.doc_id for r in media.read_archives(spark, path).collect()] == [7]
+
+
+def test_a_retry_may_succeed(tmp_path):
+    """A member whose first read is damaged comes from the second; its neighbours are read once."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    writer = media.ArchiveWriter(f"file://{tmp_path}")
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a", "b", "c"]})]))])
+    reader = media.ArchiveReader(f"file://{tmp_path}", 1 << 20, 2, 1 << 20)
+    (part,) = reader.partitions()
+    opened = []
+
+    class Flaky:
+        def __init__(self, f, bad):
+            self.f, self.at, self.bad = f, 0, bad
+
+        def seek(self, at):
+            self.at = at
+            self.f.seek(at)
+
+        def read(self, n):
+            data = self.f.read(n)
+            return bytes(n) if self.at and self.bad else data
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    class Store:
+        open_input_stream = staticmethod(fs.LocalFileSystem().open_input_stream)
+
+        @staticmethod
+        def open_input_file(path):
+            opened.append(path)
+            return Flaky(fs.LocalFileSystem().open_input_file(path), len(opened) == 1)
+
+    name = f"{tmp_path}/{part.archive}"
+    offsets = np.frombuffer(open(f"{name}.idx", "rb").read(), "<i8").tolist()
+    first = Store.open_input_file(name)
+    got = [reader.member(Store, name, at, first) for at in offsets]
+    assert [r[0] for r in got] == [1, 2, 3] and not any(r[3] for r in got) and len(opened) == 3
+
+
+def pages_of(spark, n=2000):
+    return spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 9)) for i in range(n)] + [(None, None, None)], "page_id long, url string, html string")
+
+
 def test_fixity(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 9)) for i in range(2000)] + [(None, None, None)], "page_id long, url string, html string")
-    records = fixity.archived(pages, 100)
-    good = fixity.tree(fixity.leaves(records), "a")
-    assert fixity.audit(good, good).count() == 0
-    bad = fixity.audit(good, fixity.tree(fixity.leaves(fixity.damaged(records)), "b")).collect()
-    want = {i for i in range(2000) if hashlib.md5(f"http://h/{i}".encode()).hexdigest()[:2] in ("5a", "c3")}
-    ids = {(r.archive, r.ordinal): r.page_id for r in records.collect()}
-    assert {ids[r.archive, r.node] for r in bad} == want and want
+    records = fixity.archived(pages_of(spark), 100).cache()
+    assert fixity.compared(records, records).count() == 0
+    got = collections.defaultdict(set)
+    for r in fixity.compared(records, fixity.damaged(records)).collect():
+        got[r.status].add((r.page_id, r.url))
+    mark = {i: hashlib.md5(f"http://h/{i}".encode()).hexdigest()[:2] for i in range(2000)}
+    named = lambda *m, tail="": {(i, f"http://h/{i}{tail}") for i in mark if mark[i] in m}
+    assert got == {"changed": named("5a", "c3"), "missing": named("e7"), "added": named("f1", tail="#copy")} and all(got.values())
+
+
+def test_only_differing_branches_are_descended(spark):
+    records = fixity.archived(pages_of(spark), 4000)
+    one = fixity.leaves(records).cache()
+    other = one.withColumn("hash", F.when(F.col("node") == 700, "x").otherwise(F.col("hash")))
+    levels = fixity.height(one)
+    got = fixity.audit(fixity.tree(one, levels, "a"), fixity.tree(other, levels, "b")).collect()
+    assert levels == 3 and [r.node for r in got] == [700]
+
+
+def test_replicas_of_other_shapes(spark):
+    records = fixity.archived(pages_of(spark), 100).cache()
+    ids = lambda df: {r.page_id for r in df.collect()}
+    gone = {i for i in range(2000) if i % 10 == 3}
+    lost = fixity.compared(records, records.where("page_id IS NULL OR page_id % 10 <> 3"))
+    assert {r.status for r in lost.collect()} == {"missing"} and ids(lost) == gone
+    more = fixity.compared(records.where("page_id IS NULL OR page_id % 10 <> 3"), records)
+    assert {r.status for r in more.collect()} == {"added"} and ids(more) == gone
+    cut = fixity.compared(records, records.where("page_id < 40"))
+    assert ids(cut) == set(range(40, 2000)) | {None}
+    no = records.where("archive = 0").select("page_id").collect()
+    whole = fixity.compared(records, records.where("archive <> 0"))
+    assert ids(whole) == {r.page_id for r in no}
+    assert fixity.compared(records, records.limit(0)).count() == 2001 and fixity.compared(records.limit(0), records.limit(0)).count() == 0
+
+
+def test_equal_records_are_told_apart(spark):
+    rows_ = [(1, "u", "same")] * 3 + [(1, "u", "other"), (None, "u", "x" * 300_000)]
+    records = fixity.archived(spark.createDataFrame(rows_, "page_id long, url string, html string")).cache()
+    assert fixity.compared(records, records).count() == 0
+    two = records.where("page_id IS NULL").union(records.where("page_id = 1").dropDuplicates(["record"]))
+    assert {r.status for r in fixity.compared(records, two).collect()} <= {"missing", "changed"}
 
 
 def test_compaction(spark, docs):
@@ -308,6 +567,63 @@ def test_compaction(spark, docs):
     assert table.vacuum() and order(table.read()) == order(docs)
 
 
+def test_compaction_of_odd_tables(spark, docs, empty):
+    table = compaction.ShardTable(spark, common.fresh_path(spark, "shards"), fanout=2)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.append(empty)
+    assert table.compact() == 1 and table.read().count() == 0 and table.read().columns == docs.columns
+    clash = docs.withColumns({c: F.lit(c) for c in ("run_0", "file_0", "_run", "_arrival", "_shard", "_file", "place")})
+    table = compaction.ShardTable(spark, common.fresh_path(spark, "shards"), fanout=2)
+    for k in range(4):
+        table.append(clash.where(F.pmod(F.xxhash64("text"), F.lit(4)) == k).coalesce(1))
+    table.compact()
+    got = table.read(place="where")
+    assert got.columns == [*clash.columns, "where"] and got.count() == docs.count() and {r._run for r in got.collect()} == {"_run"}
+    assert {r.merges for r in got.select("where.*").collect()} >= {1}
+    with pytest.raises(ValueError, match="place"):
+        table.read(place="place")
+
+
+def plain_runs(sizes, target, fanout):
+    """Runs by size tier, written as a loop over all shards."""
+    tiers = collections.defaultdict(list)
+    for k, s in enumerate(sizes):
+        if s < target / 2:
+            tiers[int(math.log(max(s, 1), fanout))].append(k)
+    out = []
+    for t in sorted(tiers):
+        run, load = [], 0
+        for k in tiers[t]:
+            if run and load + sizes[k] > target:
+                out.append(run)
+                run, load = [], 0
+            run.append(k)
+            load += sizes[k]
+        out.append(run)
+    return [r for r in out if len(r) >= fanout]
+
+
+def test_runs_are_of_one_tier(spark):
+    rng = np.random.default_rng(9)
+    table = compaction.ShardTable(spark, "file:///none", target=1000, fanout=3)
+    for _ in range(30):
+        sizes = np.exp(rng.uniform(0, 8, rng.integers(0, 60))).astype(int).tolist()
+        shards = [compaction.Shard(str(k), s, 1, 0) for k, s in enumerate(sizes)]
+        got = [[int(s.path) for s in r] for r in table.runs(shards)]
+        assert got == plain_runs(sizes, 1000, 3)
+        assert all(sum(sizes[k] for k in r) <= 1000 and len({int(math.log(max(sizes[k], 1), 3)) for k in r}) == 1 for r in got)
+
+
+def test_manifest_entries_follow_the_changes(spark, docs):
+    table = compaction.ShardTable(spark, common.fresh_path(spark, "shards"))
+    shards = [compaction.Shard(f"p{k}", 1, 1, 0) for k in range(90)]
+    for k, s in enumerate(shards):
+        table.commit(k, [s], schema=docs.schema)
+    assert table.manifest()[1] == shards and table.manifest(17)[1] == shards[:17]
+    assert sum(len(table._entry(v)["add"]) for v in table.versions()) < 4 * len(shards)
+
+
 def plain_chain_score(a, b, p):
     best = []
     for i in range(len(a)):
@@ -335,8 +651,139 @@ def test_shared_passages(docs):
     assert not pairs & shared
 
 
+def joined(rng, *parts):
+    """Parts with words of their own between them; a number is so many such words."""
+    draw = lambda n: [f"x{v}" for v in rng.integers(0, 1 << 40, n)]
+    return " ".join(w for p in parts for w in (draw(p) if isinstance(p, int) else p))
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_passages_whose_parts_are_in_earlier_texts(spark, few):
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(80)]
+    texts_ = [joined(rng, 30, passage[a : a + 30], 30) for a in (0, 25, 50)] + [joined(rng, 20, passage, 40), joined(rng, 50, passage, 10)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = [r for r in chaining.shared_passages(df, chaining.Chaining(few=few)).collect() if {r.doc_id, r.other_id} == {3, 4}]
+    assert got and max(r.words for r in got) == 80
+
+
+def test_hot_parts_lose_no_passage(spark):
+    """Thirty words that many texts hold, in three kinds; a few texts hold all of them in a row, in one class."""
+    rng = np.random.default_rng(18)
+    passage = [f"p{i}" for i in range(90)]
+    texts_ = [joined(rng, 30, passage[a : a + 30], 30) for a in (0, 30, 60) for _ in range(40)]
+    whole = list(range(len(texts_), len(texts_) + 12))
+    texts_ += [joined(rng, int(rng.integers(5, 60)), passage, 20) for _ in whole]
+    order = rng.permutation(len(texts_)).tolist()
+    df = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    ids = {order[i] for i in whole}
+    found = [r for r in chaining.shared_passages(df).collect() if r.words >= 85]
+    links = {(r.doc_id, r.other_id) for r in found}
+    assert {x for p in links for x in p} == ids
+    label = plain_components([(i, i) for i in sorted(ids)], lambda x, y: x == y or (x, y) in links or (y, x) in links)
+    assert len(set(label.values())) == 1
+
+
+@pytest.mark.parametrize("period", [1, 3, 8, 13])
+def test_periodic_passages(spark, period):
+    rng = np.random.default_rng(period)
+    line = [f"q{i}" for i in range(period)]
+    texts_ = [joined(rng, 20, line * (-(-70 // period)), 25), joined(rng, 41, line * (-(-70 // period)), 5), joined(rng, 100)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = chaining.shared_passages(df).collect()
+    assert {(r.doc_id, r.other_id) for r in got} in ({(0, 1)}, {(1, 0)}) and max(r.words for r in got) >= 60
+
+
+def test_fuzzy_passages(spark):
+    rng = np.random.default_rng(2)
+    rows_, want = [], set()
+    for i in range(60):
+        passage = [f"f{i}-{k}" for k in range(90)]
+        other = [f"y{v}" if rng.random() < 0.08 else w for w, v in zip(passage, rng.integers(0, 1 << 40, 90), strict=True)]
+        rows_ += [(2 * i, joined(rng, 30, passage, 30)), (2 * i + 1, joined(rng, 60, other, 5))]
+        want.add(frozenset((2 * i, 2 * i + 1)))
+    got = {frozenset((r.doc_id, r.other_id)) for r in chaining.shared_passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_runs_are_keyed_by_content(spark):
+    rng, p = np.random.default_rng(6), chaining.Chaining()
+    h, at = rng.integers(-(1 << 60), 1 << 60, 50), np.cumsum(rng.integers(1, 9, 50))
+    key, place = chaining.run_keys(h, at, p)
+    again, moved = chaining.run_keys(np.r_[rng.integers(0, 99, 7), h[10:40]], np.r_[np.arange(7), at[10:40] - at[10] + 500], p)
+    inside = [i for i in range(10, 40) if at[np.searchsorted(at, at[i] + p.least_words - p.k) if at[i] + p.least_words - p.k <= at[-1] else 0] <= at[39] and at[i] + p.least_words - p.k <= at[39]]
+    own = dict(zip(key.tolist(), place.tolist(), strict=True))
+    shared = [k for k in again.tolist() if k in own]
+    assert len(shared) == 2 * len(inside) > 20 and len(set(key.tolist())) == len(key)
+    assert {m - own[k] for k, m in zip(again.tolist(), moved.tolist(), strict=True) if k in own} == {500 - at[10]}
+
+
+def plain_model(train, dev, tokens_of):
+    """Scores by deleted interpolation, written token by token."""
+    pairs = lambda t: list(zip([b"", *t[:-1]], t, strict=True))
+    count = lambda ids, f: collections.Counter(x for i in ids for x in f(tokens_of[i]))
+    uni, bi = count(train, list), count(train, pairs)
+    first_uni, first_bi = count(train - dev, list), count(train - dev, pairs)
+    total, types, first_total = sum(uni.values()), len(uni), sum(first_uni.values())
+    bucket = lambda c: 0 if not c else 1 + int(math.log2(c))
+
+    def parts(j, k, u, b, n):
+        return (b[j, k] / u[j] if u[j] else 0.0, u[k] / n if n else 0.0, 1 / (types + 1))
+
+    seen = collections.defaultdict(list)
+    for i in dev:
+        for j, k in pairs(tokens_of[i]):
+            seen[bucket(first_uni[j])].append(parts(j, k, first_uni, first_bi, first_total))
+    weights = {}
+    for x, p in seen.items():
+        p, a = np.array(p), np.array([0.0, 0.8, 0.2] if x == 0 else [0.5, 0.4, 0.1])
+        for _ in range(500):
+            share = p * a
+            new = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+            done, a = np.abs(new - a).max() < 1e-9, new
+            if done:
+                break
+        weights[x] = a
+    out = {}
+    for i, t in tokens_of.items():
+        out[i] = 0.0
+        for j, k in pairs(t):
+            a = weights.get(bucket(uni[j]), np.array([0.0, 0.8, 0.2] if not uni[j] else [0.5, 0.4, 0.1]))
+            out[i] += math.log10(sum(x * y for x, y in zip(a, parts(j, k, uni, bi, total), strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"bucket_bytes": 1500, "block_bytes": 4000, "fan": 3, "chunk_keys": 500}])
+def test_language_model_scores(unique, how):
+    got = {r.doc_id: r.score for r in interpolation.score(unique, **how).collect()}
+    text = {r[0]: r[1] for r in rows()}
+    tokens_of = {i: [*(text[i] or "").encode().lower().split(), b""] for i in got}
+    part = {i: zlib.crc32(str(i).encode()) % 7 for i in got}
+    want = plain_model({i for i in got if part[i] != 2}, {i for i in got if part[i] == 3}, tokens_of)
+    for i, x in got.items():
+        assert x == pytest.approx(want[i], rel=2e-3, abs=1e-3)
+
+
+def test_requests_follow_the_input():
+    """Records of a block or chunk are bounded by the fan, whatever the number of buckets."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 5000))
+    for buckets in (1, 200, 40_000, 10**8):
+        levels = interpolation.units(buckets, 256)
+        b = interpolation.bucket_of(keys, buckets)
+        order = np.lexsort((keys, b))
+        assert len(list(interpolation.dealt(1, keys[order], b[order], levels[0]))) <= 256
+        assert levels[-1] == 1 and all(-(-x // y) <= 256 for x, y in zip([buckets, *levels], levels, strict=False))
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(2)
+    a, b, c = np.sort(rng.integers(0, 1 << 62, 300)), rng.integers(-5, 5, 300), np.empty(0, np.int64)
+    for rising in (False, True):
+        assert all((x == y).all() for x, y in zip(interpolation.unpacked(interpolation.packed(a, b, c, rising=rising), rising), (a, b, c), strict=True))
+
+
 def test_language_model(unique):
-    got = {r.doc_id: r for r in interpolation.score(unique, 300, 2000).collect()}
+    got = {r.doc_id: r for r in interpolation.score(unique).collect()}
     text = {r[0]: r[1] for r in rows()}
     tokens = {i: (text[i] or "").encode().lower().split() + [None] for i in got}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in got}
@@ -348,21 +795,8 @@ def test_language_model(unique):
         assert r.score < 0
 
 
-def test_model_probabilities_sum_to_one():
-    from types import SimpleNamespace
-
-    rng = np.random.default_rng(0)
-    pair = rng.integers(0, 5, (6, 6))
-    words = SimpleNamespace(c=pair.sum(axis=0), h=np.arange(4))
-    words.c = np.maximum(pair.sum(axis=1), 0)
-    weights = np.tile([0.6, 0.3, 0.1], (interpolation.BUCKETS, 1))
-    for j in range(6):
-        key = (np.full(6, j) << interpolation.SHIFT) | np.arange(6)
-        assert (10 ** interpolation.log_probability(words, weights, key, pair[j])).sum() == pytest.approx(1)
-
-
 @pytest.mark.parametrize("run", [
-    line_quality.judge, line_quality.cleaned, simhash.near_duplicates, simhash.drop_near_copies, pii.redacted, mixing.mix, mixing.mixed_documents,
+    line_quality.judge, line_quality.cleaned, simhash.near_duplicates, simhash.drop_near_copies, pii.spans, pii.redacted, mixing.mix, mixing.mixed_documents,
     packing.pack, chaining.shared_passages, interpolation.score,
 ], ids=lambda f: f.__name__)
 def test_empty_table(empty, run):
