@@ -28,7 +28,7 @@ from barlight.llm.common import discard, stored
 
 FOLDS, TEST, DEV = 7, 2, 3
 #: Bytes of text whose keys a bucket holds, and of texts that are counted together as one block.
-BUCKET_BYTES, BLOCK_BYTES = 12 << 20, 6 << 20
+BUCKET_BYTES, BLOCK_BYTES = 12 << 20, 4 << 20
 #: Parts that a block or chunk deals its keys to, and keys that are merged in a chunk.
 FAN, CHUNK_KEYS = 256, 2_000_000
 END = b""  # no word is empty
@@ -95,21 +95,41 @@ def unpacked(data: bytes, rising: bool = False) -> list[np.ndarray]:
     return [np.cumsum(out[0]), *out[1:]] if rising else out
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list, list]]:
-    """Ids, folds and tokens of texts in blocks of bounded bytes, those of the held-out fold apart; a longer text is a
-    block of its own."""
-    held: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
-    load = {False: 0, True: 0}
+class Texts:
+    """Texts of a block as they come: ids, folds, lengths with the end, and their words by number in order of first use."""
+
+    def __init__(self) -> None:
+        self.ids, self.parts, self.lengths, self.local, self.streams, self.load = [], [], [], {END: 0}, [], 0
+
+    def add(self, doc_id: int | None, part: int, text: str | None) -> None:
+        number, local = self.local.setdefault, self.local
+        stream = [number(w, len(local)) for w in tokens(text)]
+        stream.append(0)
+        self.ids.append(doc_id)
+        self.parts.append(part)
+        self.lengths.append(len(stream))
+        self.streams.append(np.array(stream, np.int32))
+        self.load += 6 * len(stream) + 60
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and the stream, numbered by frequency (so that it packs well), END being 0."""
+        stream = np.concatenate(self.streams)
+        order = np.r_[0, 1 + np.argsort(-np.bincount(stream, minlength=len(self.local))[1:], kind="stable")]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return np.fromiter(map(word_hash, self.local), np.int64, len(self.local))[order], rank[stream]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Texts]:
+    """Blocks of bounded bytes, those of the held-out fold apart; a longer text is a block of its own."""
+    held = {False: Texts(), True: Texts()}
     for batch in batches:
         for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            dev, t = part == DEV, tokens(text.as_py())
-            for into, x in zip(held[dev], (doc_id, part, t), strict=True):
-                into.append(x)
-            load[dev] += 6 * len(t) + 60
-            if load[dev] >= size:
-                yield held[dev]
-                held[dev], load[dev] = ([], [], []), 0
-    yield from (x for x in held.values() if x[0])
+            held[part == DEV].add(doc_id, part, text.as_py())
+            if held[part == DEV].load >= size:
+                yield held[part == DEV]
+                held[part == DEV] = Texts()
+    yield from (x for x in held.values() if x.ids)
 
 
 class Block:
@@ -304,20 +324,15 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, block_bytes: int =
     levels = units(buckets, fan)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, parts, texts) in enumerate(blocks(batches, block_bytes)):
-            local = {END: 0}
-            stream = np.fromiter((local.setdefault(w, len(local)) for t in texts for w in (*t, END)), np.int64)
-            # numbered by frequency, so that the stream packs well
-            order = np.r_[0, 1 + np.argsort(-np.bincount(stream)[1:], kind="stable")]
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            words, stream = np.fromiter(map(word_hash, local), np.int64, len(local))[order], rank[stream]
-            own = Block(words, stream, np.array([len(t) + 1 for t in texts]))
-            train = (np.array(parts) != TEST)[own.doc].astype(np.float64)
+        for number, texts in enumerate(blocks(batches, block_bytes)):
+            words, stream = texts.numbered()
+            lengths = np.array(texts.lengths)
+            own = Block(words, stream, lengths)
+            train = (np.array(texts.parts) != TEST)[own.doc].astype(np.float64)
             n = np.r_[np.bincount(stream, train, len(words)), np.bincount(own.pair, train, len(own.pairs))].astype(np.int64)
-            dev = parts[0] == DEV
+            dev = texts.parts[0] == DEV
             block = (TaskContext.get().partitionId() << 32 | number) << 1 | dev
-            state = packed(np.array([x or 0 for x in ids]), np.array([x is None for x in ids], np.int64), np.array([len(t) + 1 for t in texts]), words, stream)
+            state = packed(np.array([x or 0 for x in texts.ids]), np.array([x is None for x in texts.ids], np.int64), lengths, words, stream)
             order, b = own.order(buckets)
             yield as_batch([(-1, block, state), *dealt(block, own.keys[order], b, levels[0], n[order], n[order] * dev)], ASKED)
 
