@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this thread has taken, in order, for sweep().
+_taken = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; any other fails, because its
@@ -22,7 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/barlight/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/barlight/{name}-{uuid.uuid4().hex}"
+    _taken.paths = [*paths(), path]
+    return path
+
+
+def paths() -> list[str]:
+    """Paths that this thread has taken and not swept."""
+    return getattr(_taken, "paths", [])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,3 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """stored(df), after which everything is deleted that this thread has stored beyond its first `since` paths."""
+    spark = df.sparkSession
+    out = stored(df, name)
+    own = paths()[-1]
+    for path in paths()[since:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _taken.paths = [*paths()[:since], own]
+    return out

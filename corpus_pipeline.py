@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barlight.llm import line_quality, mixing, packing, pii, simhash
-from barlight.llm.common import stored
+from barlight.sources.shared import finished, paths
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows; what a stage has read and stored is deleted once the next one is stored."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(paths())
+    for name, stage in STAGES:
+        docs = finished(stage(spark, docs, sf_dir), name, since)
+    return docs
