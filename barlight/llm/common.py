@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlight.sources.shared import finished, paths
 from barlight.sources.shared import fresh_path as fresh_path
 from barlight.sources.shared import stored as stored
 
@@ -23,6 +27,17 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose result is stored, so that its intermediate tables are deleted; results are narrow."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        since = len(paths())
+        return finished(query(spark, sf_dir), query.__name__, since)
+
+    return run
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only where the counted rows are within the limit; else Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlight.llm.common import fresh_path
+from barlight.llm.common import fresh_path, tidy
 
 #: Runs that one job merges, a task each.
 JOB_RUNS = 64
@@ -216,6 +216,7 @@ class ShardTable:
         return rows.withColumn(file, tail(F.input_file_name())).join(places, file).drop(file)
 
 
+@tidy
 def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through twelve arrivals and a compaction: doc_id, text_sha256, and the shard that holds the row."""
     table = ShardTable(spark, fresh_path(spark, "shards"))

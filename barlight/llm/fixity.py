@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.common import discard, fresh_path, stored
+from barlight.llm.common import fresh_path, stored, tidy
 
 FANOUT_BITS = 4  # a node has up to 16 children
 ARCHIVE_RECORDS = 4096
@@ -129,6 +129,7 @@ def damaged(records: DataFrame) -> DataFrame:
     return kept.withColumn("url", F.explode(F.when(mark == "f1", F.array("url", F.concat("url", F.lit("#copy")))).otherwise(F.array("url"))))
 
 
+@tidy
 def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Located damage between the archives of all pages and a damaged replica of them; both are written and read back."""
     folders = [fresh_path(spark, "warc"), fresh_path(spark, "warc-replica")]
@@ -136,9 +137,7 @@ def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     archived(pages).write.option("compression", "zstd").parquet(folders[0])
     records = spark.read.parquet(folders[0])
     damaged(records).write.option("compression", "zstd").parquet(folders[1])
-    out = stored(compared(records, spark.read.parquet(folders[1])), "findings")
-    discard(spark, records, spark.read.parquet(folders[1]))
-    return out
+    return compared(records, spark.read.parquet(folders[1]))
 
 
 QUERIES = {"op4_merkle_audit": op4_merkle_audit}

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import discard, stored
+from barlight.llm.common import stored, tidy
 
 FOLDS, TEST, DEV = 7, 2, 3
 #: Bytes of text whose keys a bucket holds, and of texts that are counted together as one block.
@@ -317,7 +317,6 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, block_bytes: int =
     long text is scored whole, in a block of its own; an empty table gives an empty result; without training documents
     every count is 0. Columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id").cast("long").alias("part"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
@@ -360,11 +359,10 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, block_bytes: int =
         cols = [pa.array(ids, mask=nulls.astype(bool)), pa.array(lengths), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = stored(grouped(gathered, "block", "part", finish, RESULT), "scores")
-    discard(spark, asked, told)
-    return out.select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return grouped(gathered, "block", "part", finish, RESULT).select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+@tidy
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored, tucked, untucked
+from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored, tidy, tucked, untucked
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -168,6 +168,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         (~F.col("base_failed") & (F.col("n_words") - removed >= limits.least_kept * F.col("n_words"))).alias("kept"))
 
 
+@tidy
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from barlight.llm.common import fresh_path
+from barlight.llm.common import fresh_path, tidy
 
 #: Pixels are RGB and a row has 64 of them, so a row is 192 bytes of payload.
 WIDTH, ROW = 64, 192
@@ -256,6 +256,7 @@ def digests(media: DataFrame) -> DataFrame:
                                  "media_bytes long, media_sha256 string, feature string")
 
 
+@tidy
 def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "media")
     write_archives(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.common import maybe_broadcast, n_words, stored, tucked, untucked
+from barlight.llm.common import maybe_broadcast, n_words, stored, tidy, tucked, untucked
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 BLOCK_TOKENS, SHARD_BLOCKS, SEED = 128, 8192, 20_240_607
@@ -210,6 +210,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     return untucked(out, names)
 
 
+@tidy
 def op5_multinomial_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

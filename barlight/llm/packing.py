@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm import simhash
-from barlight.llm.common import n_words, stored
+from barlight.llm.common import n_words, stored, tidy
 
 CAPACITY = 2048
 #: Pieces of a shard on average, which one task packs; pieces are dealt by hash, so long texts, hot sources and copies
@@ -82,6 +82,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     return packed.union(empty)
 
 
+@tidy
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, clusters=text_clusters(docs))

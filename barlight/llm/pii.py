@@ -11,6 +11,7 @@ covers carry no label.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -20,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.common import maybe_broadcast, stored, tucked, untucked
+from barlight.llm.common import maybe_broadcast, stored, tidy, tucked, untucked
 
 #: Patterns of the result contract in forms that don't backtrack: a start within a run that has failed from its
 #: beginning fails too, so runs are entered at their beginning or where the last match ended (\G).
@@ -283,8 +284,9 @@ def trained(spanned: DataFrame, settings: Settings = Settings()) -> dict[str, tu
     names = ["kind", "value", "h", "before", "after"]
     spans_ = corpus.where(held | (F.pmod(F.shiftright("h", 8), F.lit(1_000_000)) < share * 1_000_000)).select(*names).union(drawn.select(*names))
     rows = stored(labelled(spans_), "labelled")
-    out = {k: fit(rows.where((F.col("kind") == k) & ~held).drop("kind", "h"), rows.where((F.col("kind") == k) & held), settings) for k in KINDS}
-    return {k: x for k, x in out.items() if x is not None}
+    one = lambda k: fit(rows.where((F.col("kind") == k) & ~held).drop("kind", "h"), rows.where((F.col("kind") == k) & held), settings)
+    with ThreadPoolExecutor(len(KINDS)) as pool:  # many short jobs, so the kinds are fitted side by side
+        return {k: x for k, x in zip(KINDS, pool.map(one, KINDS), strict=True) if x is not None}
 
 
 def _without_overlaps(spans_: Column) -> Column:
@@ -359,6 +361,7 @@ def redacted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return untucked(out.withColumn("text", F.col("_new")), names)
 
 
+@tidy
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     of = lambda kind: lambda x: x["kind"] == kind

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import components, discard, maybe_broadcast, stored, tucked, untucked
+from barlight.llm.common import components, discard, maybe_broadcast, stored, tidy, tucked, untucked
 
 BITS, SEED = 64, 42
 #: A bucket of more fingerprints is dealt out as pairs of blocks of this size.
@@ -408,6 +408,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
     return untucked(out.dropDuplicates(["doc_id", "th"]), names)
 
 
+@tidy
 def op8_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
