@@ -150,7 +150,12 @@ simple("universe_join", lambda t: src.with_universe(t.raw("events").select("even
        "event_id ticker kind", "(SELECT event_id, event_type AS ticker, 'stock' AS kind FROM events)")
 
 
-@register("scan_bars", query("SELECT ticker, day, floor((open) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS open, floor((high) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS high, floor((low) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS low, floor((close) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS close, floor((volume) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS volume FROM d"))
+@register("scan_bars", query((
+    "SELECT ticker, day, floor((open) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS open, "
+    "floor((high) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS high, "
+    "floor((low) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS low, "
+    "floor((close) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS close, "
+    "floor((volume) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS volume FROM d")))
 def scan_bars(t: Tables) -> DataFrame:
     """A round trip through the sink, and no rows from a path that isn't there."""
     path = t.scratch("bars")
@@ -158,7 +163,10 @@ def scan_bars(t: Tables) -> DataFrame:
     return src.scan_bars(t.spark, path, src.BARS_DAILY).unionByName(src.scan_bars(t.spark, path + "-none", src.BARS_DAILY))
 
 
-@register("sink_bars", query("SELECT ticker, day, ts, floor((close) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS close FROM b WHERE day <> DATE '2024-01-20' UNION ALL SELECT ticker, day, ts, floor((close + 1) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE FROM b WHERE day = DATE '2024-01-20'"))
+@register("sink_bars", query((
+    "SELECT ticker, day, ts, floor((close) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS close FROM b "
+    "WHERE day <> DATE '2024-01-20' UNION ALL SELECT ticker, day, ts, "
+    "floor((close + 1) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE FROM b WHERE day = DATE '2024-01-20'")))
 def sink_bars(t: Tables) -> DataFrame:
     """A second write replaces only the day that it has."""
     path = t.scratch("bars5m")
@@ -167,7 +175,9 @@ def sink_bars(t: Tables) -> DataFrame:
     return src.scan_bars(t.spark, path, src.BARS_5M).select("ticker", "day", "ts", "close")
 
 
-@register("append_log", query("SELECT ticker, CAST(day AS VARCHAR) AS day, floor((last) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS last, CAST(2 AS BIGINT) AS times FROM ctx"))
+@register("append_log", query((
+    "SELECT ticker, CAST(day AS VARCHAR) AS day, floor((last) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE "
+    "AS last, CAST(2 AS BIGINT) AS times FROM ctx")))
 def append_log(t: Tables) -> DataFrame:
     """Two appends of the same rows, read back as JSON lines."""
     path, rows = t.scratch("log"), t.parts["context"].select("ticker", "day", "last")
@@ -177,7 +187,9 @@ def append_log(t: Tables) -> DataFrame:
     return found.groupBy("ticker", F.col("day").cast("string").alias("day"), "last").agg(F.count("*").alias("times"))
 
 
-@register("scan_log", query("SELECT ticker, CAST(day AS VARCHAR) AS day, floor((close) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS close FROM d"))
+@register("scan_log", query((
+    "SELECT ticker, CAST(day AS VARCHAR) AS day, floor((close) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE "
+    "AS close FROM d")))
 def scan_log(t: Tables) -> DataFrame:
     path = t.scratch("log")
     src.append_log(t.daily.select("ticker", "day", "close"), path)
@@ -192,12 +204,23 @@ def _provider(t: Tables, daily: bool) -> DataFrame:
 
 
 simple("normalize_daily", lambda t: src.normalize_bars(_provider(t, True), "daily", ("event_id",)), f"event_id day {BAR}",
-       "(SELECT event_id, CAST(ts AS DATE) AS day, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events WHERE event_id % 97 <> 0)")
+       (
+           "(SELECT event_id, CAST(ts AS DATE) AS day, value AS open, value AS high, value AS low, value AS close, "
+           "1.0::DOUBLE AS volume FROM events WHERE event_id % 97 <> 0)"))
 simple("normalize_intraday", lambda t: src.normalize_bars(_provider(t, False), "5m", ("event_id",)), f"event_id ts day {BAR}",
-       "(SELECT event_id, timezone('America/New_York', timezone('UTC', date_trunc('second', ts))) AS ts, CAST(timezone('America/New_York', timezone('UTC', date_trunc('second', ts))) AS DATE) AS day, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events WHERE event_id % 97 <> 0)")
+       (
+           "(SELECT event_id, timezone('America/New_York', timezone('UTC', date_trunc('second', ts))) AS ts, "
+           "CAST(timezone('America/New_York', timezone('UTC', date_trunc('second', ts))) AS DATE) AS day, value AS open, "
+           "value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events WHERE event_id % 97 <> 0)"))
 simple("ingest_watermark", lambda t: src.ingest_start(t.daily.where(F.col("ticker") != "click").withColumn("ts", F.col("day").cast("timestamp_ntz")), t.universe, "7 days", "2015-01-01"), "ticker last_ts start",
-       "(SELECT u.ticker, x.last_ts, coalesce(x.last_ts - INTERVAL 7 DAYS, TIMESTAMP '2015-01-01') AS start FROM (SELECT DISTINCT event_type AS ticker FROM events) u LEFT JOIN (SELECT ticker, max(day)::TIMESTAMP AS last_ts FROM d WHERE ticker <> 'click' GROUP BY 1) x USING (ticker))")
-simple("lookback_days", lambda t: src.expand_lookback(t.universe, date(DAY), 5), "ticker day", "(SELECT ticker, CAST(DATE '2024-01-20' - CAST(range AS INTEGER) AS DATE) AS day FROM (SELECT DISTINCT event_type AS ticker FROM events), range(6))")
+       (
+           "(SELECT u.ticker, x.last_ts, coalesce(x.last_ts - INTERVAL 7 DAYS, TIMESTAMP '2015-01-01') AS start "
+           "FROM (SELECT DISTINCT event_type AS ticker FROM events) u LEFT "
+           "JOIN (SELECT ticker, max(day)::TIMESTAMP AS last_ts FROM d WHERE ticker <> 'click' "
+           "GROUP BY 1) x USING (ticker))"))
+simple("lookback_days", lambda t: src.expand_lookback(t.universe, date(DAY), 5), "ticker day", (
+    "(SELECT ticker, CAST(DATE '2024-01-20' - CAST(range AS INTEGER) AS DATE) AS day "
+    "FROM (SELECT DISTINCT event_type AS ticker FROM events), range(6))"))
 _OLD, _NEW = "event_id % 2 = 0", "event_id % 3 = 0"
 
 
@@ -211,19 +234,30 @@ _MERGED = ("(SELECT ticker, ts, seq, close FROM (SELECT *, row_number() OVER (PA
            f"SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, event_id AS seq, value AS close, 0 AS src FROM events WHERE {_OLD} UNION ALL SELECT event_type, date_trunc('hour', ts), event_id, value, 1 FROM events WHERE {_NEW})) WHERE n = 1)")
 simple("merge_dedupe", lambda t: _halves(t)[2], "ticker ts seq close*", _MERGED)
 simple("ingest_audit", lambda t: src.ingest_audit(*_halves(t)), "ticker rows_before# rows_fetched# rows_after# last_ts",
-       f"(SELECT ticker, count(*) AS rows_after, max(ts) AS last_ts FROM {_MERGED} GROUP BY 1) JOIN (SELECT event_type AS ticker, count(*) FILTER ({_OLD}) AS rows_before, count(*) FILTER ({_NEW}) AS rows_fetched FROM events GROUP BY 1) USING (ticker)")
+       (
+           f"(SELECT ticker, count(*) AS rows_after, max(ts) AS last_ts FROM {_MERGED} GROUP BY 1) "
+           f"JOIN (SELECT event_type AS ticker, count(*) FILTER ({_OLD}) AS rows_before, "
+           f"count(*) FILTER ({_NEW}) AS rows_fetched FROM events GROUP BY 1) USING (ticker)"))
 simple("latest_snapshot", lambda t: src.latest_by_ticker(t.daily), "ticker day close*", "d", "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1")
 simple("retention_filter", lambda t: (lambda kept, gone: kept.crossJoin(F.broadcast(gone)))(*src.apply_retention(t.bars, F.lit("2024-01-31").cast("date"), 10)), "ticker ts close* deleted#",
-       "(SELECT * FROM b, (SELECT count(*) AS deleted FROM (SELECT DISTINCT ticker, day FROM b WHERE day < DATE '2024-01-21')) WHERE day >= DATE '2024-01-21')")
+       (
+           "(SELECT * FROM b, (SELECT count(*) AS deleted FROM (SELECT DISTINCT ticker, day FROM b "
+           "WHERE day < DATE '2024-01-21')) WHERE day >= DATE '2024-01-21')"))
 simple("asof_partition", lambda t: src.asof_partition(t.daily.where(F.col("day") != date(DAY)), date(DAY)), "ticker day close*", "d", "WHERE day < DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1")
 
 # cleaning
 simple("last_timestamp", lambda t: clean.last_timestamp(t.raw("events").select(F.col("event_type").alias("ticker"), F.col("ts").cast("string").alias("ts"))), "ticker last_ts", "(SELECT ticker, max(ts) AS last_ts FROM ticks GROUP BY 1)")
 simple("to_market_tz", lambda t: t.raw("events").select("event_id", C.to_market_tz(F.col("ts")).alias("local_ts")), "event_id local_ts=ts", "(SELECT seq AS event_id, ts FROM ticks)")
 simple("label_session", lambda t: t.ticks.select("seq", C.label_session(F.col("ts")).alias("session")), "seq session",
-       "(SELECT seq, CASE WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 14400 AND 34199 THEN 'PRE' WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 34200 AND 57599 THEN 'RTH' WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 57600 AND 71999 THEN 'AFT' ELSE 'CLOSED' END AS session FROM ticks)")
+       (
+           "(SELECT seq, CASE WHEN hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 14400 AND 34199 THEN 'PRE' WHEN "
+           "hour(ts) * 3600 + minute(ts) * 60 + second(ts) BETWEEN 34200 AND 57599 THEN 'RTH' WHEN hour(ts) * 3600 + "
+           "minute(ts) * 60 + second(ts) BETWEEN 57600 AND 71999 THEN 'AFT' ELSE 'CLOSED' END AS session FROM ticks)"))
 simple("trading_day_filter", lambda t: t.ticks.where(C.trading_day(F.col("ts")) == date(DAY)), "ticker ts price* seq", "ticks", "WHERE CAST(ts AS DATE) = DATE '2024-01-20'")
-simple("floor_5m", lambda t: clean.floor_grid(t.ticks), "ticker ts price* seq", "(SELECT ticker, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, price, seq FROM ticks QUALIFY row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ticks.ts DESC, seq DESC) = 1)")
+simple("floor_5m", lambda t: clean.floor_grid(t.ticks), "ticker ts price* seq", (
+    "(SELECT ticker, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, price, seq FROM ticks "
+    "QUALIFY row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ticks.ts DESC, "
+    "seq DESC) = 1)"))
 
 
 def _spoiled(t: Tables) -> DataFrame:
@@ -234,9 +268,15 @@ def _spoiled(t: Tables) -> DataFrame:
 
 
 simple("validate_report", lambda t: clean.validation_report(_spoiled(t)), "ticker rows# monotonic_ts duplicate_ts# bad_ohlc_rows#",
-       "(SELECT ticker, count(*) AS rows, bool_and(ok) AS monotonic_ts, count(*) - count(DISTINCT h) AS duplicate_ts, count(*) FILTER (event_id % 50 = 0) AS bad_ohlc_rows FROM (SELECT event_type AS ticker, date_trunc('hour', ts) AS h, event_id, coalesce(date_trunc('hour', ts) >= lag(date_trunc('hour', ts)) OVER (PARTITION BY event_type ORDER BY event_id), true) AS ok FROM events) GROUP BY 1)")
+       (
+           "(SELECT ticker, count(*) AS rows, bool_and(ok) AS monotonic_ts, count(*) - count(DISTINCT h) AS duplicate_ts, "
+           "count(*) FILTER (event_id % 50 = 0) AS bad_ohlc_rows FROM (SELECT event_type AS ticker, date_trunc('hour', "
+           "ts) AS h, event_id, coalesce(date_trunc('hour', ts) >= lag(date_trunc('hour', "
+           "ts)) OVER (PARTITION BY event_type ORDER BY event_id), true) AS ok FROM events) GROUP BY 1)"))
 simple("validate_enforce", lambda t: (lambda good, bad: good.withColumn("reason", F.lit("ok")).unionByName(bad))(*clean.split_valid(_spoiled(t))).groupBy("ticker", "reason").agg(F.count("*").alias("rows")), "ticker reason rows#",
-       "(SELECT event_type AS ticker, CASE WHEN event_id % 50 = 0 THEN 'bad prices' WHEN event_id % 70 = 0 THEN 'no volume' ELSE 'ok' END AS reason, count(*) AS rows FROM events GROUP BY 1, 2)")
+       (
+           "(SELECT event_type AS ticker, CASE WHEN event_id % 50 = 0 THEN 'bad prices' WHEN event_id % 70 = 0 THEN 'no "
+           "volume' ELSE 'ok' END AS reason, count(*) AS rows FROM events GROUP BY 1, 2)"))
 simple("clean_daily", lambda t: clean.clean_daily(t.daily.withColumn("close", F.when(F.dayofmonth("day") == 5, "NaN").when(F.dayofmonth("day") == 6, "x").otherwise(F.col("close").cast("string")))), f"ticker day {BAR}", "d", "WHERE day(day) NOT IN (5, 6)")
 simple("safe_float", lambda t: t.raw("events").select("event_id", C.safe_float(F.when(F.col("event_id") % 5 == 0, "NaN").when(F.col("event_id") % 7 == 0, "?").otherwise(F.col("value").cast("string"))).alias("x")), "event_id x*",
        "(SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN value END AS x FROM events)")
@@ -246,11 +286,16 @@ simple("session_agg", lambda t: t.agg, "ticker day session high* low* close* bar
 simple("typical_price", lambda t: t.bars.withColumn("tp", C.typical_price(F.col("high"), F.col("low"), F.col("close"))), "ticker ts tp*", "(SELECT ticker, ts, (high + low + close) / 3.0::DOUBLE AS tp FROM b)")
 simple("session_vwap", lambda t: session.session_vwap(t.bars), "ticker day session sum_pv* sum_v* vwap*", "agg", "WHERE session = 'RTH'")
 simple("running_vwap", lambda t: session.running_vwap(t.bars), "ticker ts running_vwap*",
-       "(SELECT ticker, ts, sum((high + low + close) / 3.0::DOUBLE * volume) OVER w / sum(volume) OVER w AS running_vwap FROM b WINDOW w AS (PARTITION BY ticker, day, session ORDER BY ts ROWS UNBOUNDED PRECEDING))")
+       (
+           "(SELECT ticker, ts, sum((high + low + close) / 3.0::DOUBLE * volume) OVER w / sum(volume) OVER w AS "
+           "running_vwap FROM b WINDOW w AS (PARTITION BY ticker, day, session ORDER BY ts ROWS UNBOUNDED PRECEDING))"))
 simple("opening_range", lambda t: session.opening_range(t.bars), "ticker day minutes# start_ts end_ts high* low* complete", "opening")
 simple("session_state_wide", lambda t: t.state, "ticker day " + " ".join(f"{s}_{c}{'#' if c == 'bar_count' else '*'}" for s in ("pre", "rth", "aft") for c in ("high", "low", "close", "bar_count", "vwap")), "state")
 simple("state_status", lambda t: session.state_status(t.universe.select("ticker").join(t.bars.where((F.col("day") == date(DAY)) & (F.hour("ts") < 12) & (F.col("ticker") != "click")).groupBy("ticker").agg(F.max("ts").alias("last_update_ts")), "ticker", "left").withColumn("day", date(DAY)), t.bars, date(DAY)),
-       "ticker bars# new_bars# status", "(SELECT ticker, count(*) AS bars, count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) AS new_bars, CASE WHEN count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) = 0 THEN 'up_to_date' ELSE 'updated' END AS status FROM b WHERE day = DATE '2024-01-20' GROUP BY 1)")
+       "ticker bars# new_bars# status", (
+           "(SELECT ticker, count(*) AS bars, count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) AS new_bars, "
+           "CASE WHEN count(*) FILTER (ticker = 'click' OR hour(ts) >= 12) = 0 THEN 'up_to_date' ELSE 'updated' END AS "
+           "status FROM b WHERE day = DATE '2024-01-20' GROUP BY 1)"))
 simple("state_merge", lambda t: session.merge_state(session.session_agg(t.kept_bars.where(F.hour("ts") < 12)), t.kept_bars), "ticker day session high* low* close* bar_count# first_ts last_ts vwap*", "agg")
 simple("state_last_price", lambda t: t.state.withColumn("last", session.last_price(F.col("rth_close"), F.col("pre_close"))), "ticker day last*", "ctx")
 
@@ -262,7 +307,9 @@ simple("prior_week", lambda t: levels.prior_week(t.kept_daily, t.state.select("t
 simple("swing_pivots", lambda t: levels.swing_pivots(t.kept_daily, t.state.select("ticker", "day")), "ticker day side price* pivot_day", "pivots")
 simple("pivot_filter", lambda t: levels.pivot_filter(levels.swing_pivots(t.kept_daily, t.state.select("ticker", "day")), t.parts["context"]), "ticker day side price* pivot_day", "pfil")
 simple("pivot_topn", lambda t: levels.pivot_topn(levels.pivot_filter(levels.swing_pivots(t.kept_daily, t.state.select("ticker", "day")), t.parts["context"])), "ticker day side price* no# id", "ptop")
-simple("zone_half_width", lambda t: levels.atr(t.long_daily).withColumn("half", C.zone_half_width(F.col("close"), F.col("atr"))), "ticker day half*", "(SELECT ticker, day, greatest(close * 0.0008::DOUBLE, CASE WHEN atr > 0 THEN atr * 0.2::DOUBLE END) AS half FROM latr)")
+simple("zone_half_width", lambda t: levels.atr(t.long_daily).withColumn("half", C.zone_half_width(F.col("close"), F.col("atr"))), "ticker day half*", (
+    "(SELECT ticker, day, greatest(close * 0.0008::DOUBLE, CASE WHEN atr > 0 THEN atr * 0.2::DOUBLE END) AS half "
+    "FROM latr)"))
 _LEVEL = "ticker day id kind source session price* strength#"
 simple("make_levels", lambda t: levels.day_levels(levels.prior_day(t.kept_daily, t.state.select("ticker", "day"))).unionByName(levels.week_levels(levels.prior_week(t.kept_daily, t.state.select("ticker", "day")))), _LEVEL, "(SELECT * FROM lv_day UNION ALL SELECT * FROM lv_week)")
 simple("state_levels", lambda t: levels.state_levels(t.state, session.opening_range(t.kept_bars)), _LEVEL, "lv_state")
@@ -296,16 +343,25 @@ _L = "ticker day close* er* slope_n* range_atr* regime"
 simple("slope_norm", lambda t: t.long_features.withColumn("slope_n", regimes.slope_norm()), "ticker day slope_n*", "ldr")
 simple("regime_label", lambda t: regimes.label_regimes(t.long_features), _L, "ldr")
 simple("regime_changed", lambda t: regimes.label_regimes(t.long_features), "ticker day regime_prev changed", "ldr")
-simple("regime_asof", lambda t: regimes.regime_asof(regimes.label_regimes(t.long_features), date(AS_OF)), "ticker rows# asof_label_day asof_regime", "(SELECT ticker, count(*) AS rows, max(day) AS asof_label_day, arg_max(regime, day) AS asof_regime FROM ldr WHERE day <= DATE '1998-06-30' GROUP BY 1)")
+simple("regime_asof", lambda t: regimes.regime_asof(regimes.label_regimes(t.long_features), date(AS_OF)), "ticker rows# asof_label_day asof_regime", (
+    "(SELECT ticker, count(*) AS rows, max(day) AS asof_label_day, arg_max(regime, day) AS asof_regime FROM ldr "
+    "WHERE day <= DATE '1998-06-30' GROUP BY 1)"))
 simple("regime_latest", lambda t: regimes.regime_latest(regimes.label_regimes(t.long_features), date(AS_OF)), _L + " changed", "ldr", "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day = DATE '1998-06-30' DESC, day DESC) = 1")
 
 # nowcast
 simple("infer_session", lambda t: t.parts["latest"].withColumn("inferred", nowcast.infer_session(F.col("asof_ts"), F.col("day"))), "ticker day asof_ts inferred",
-       "(SELECT ticker, day, asof_ts, CASE WHEN x >= 14400 AND x < 34200 THEN 'PRE' WHEN x >= 34200 AND x < 57600 THEN 'RTH' WHEN x >= 57600 AND x < 72000 THEN 'AFT' ELSE 'UNK' END AS inferred FROM (SELECT *, epoch(asof_ts - day::TIMESTAMP) AS x FROM f5l))")
+       (
+           "(SELECT ticker, day, asof_ts, CASE WHEN x >= 14400 AND x < 34200 THEN 'PRE' WHEN x >= 34200 AND x < 57600 THEN "
+           "'RTH' WHEN x >= 57600 AND x < 72000 THEN 'AFT' ELSE 'UNK' END AS inferred "
+           "FROM (SELECT *, epoch(asof_ts - day::TIMESTAMP) AS x FROM f5l))"))
 simple("session_end", lambda t: t.parts["features"].withColumn("end_ts", nowcast.session_end(F.col("session"), F.col("day"))), "ticker ts session end_ts",
-       "(SELECT ticker, ts, session, day::TIMESTAMP + to_seconds(CASE session WHEN 'PRE' THEN 34200 WHEN 'AFT' THEN 72000 ELSE 57600 END) AS end_ts FROM f5)")
+       (
+           "(SELECT ticker, ts, session, day::TIMESTAMP + to_seconds(CASE session WHEN 'PRE' THEN 34200 WHEN 'AFT' THEN "
+           "72000 ELSE 57600 END) AS end_ts FROM f5)"))
 simple("bars_remaining", lambda t: t.parts["features"].withColumn("bars_remaining", nowcast.bars_remaining(F.col("ts"), nowcast.session_end(F.col("session"), F.col("day")))), "ticker ts bars_remaining#",
-       "(SELECT ticker, ts, greatest(ceil(epoch(day::TIMESTAMP + to_seconds(CASE session WHEN 'PRE' THEN 34200 WHEN 'AFT' THEN 72000 ELSE 57600 END) - ts) / 60.0::DOUBLE / 5), 0) AS bars_remaining FROM f5)")
+       (
+           "(SELECT ticker, ts, greatest(ceil(epoch(day::TIMESTAMP + to_seconds(CASE session WHEN 'PRE' THEN 34200 WHEN "
+           "'AFT' THEN 72000 ELSE 57600 END) - ts) / 60.0::DOUBLE / 5), 0) AS bars_remaining FROM f5)"))
 
 
 def _as_inputs(t: Tables) -> DataFrame:
@@ -314,7 +370,11 @@ def _as_inputs(t: Tables) -> DataFrame:
     return nowcast.nowcast_today_range(nowcast.nowcast_inputs(f, t.parts["state"], t.parts["context"]))
 
 
-@register("ushape_weights", query("SELECT b.ticker, b.ts, CAST(u.bar_index AS BIGINT) AS bar_index, floor((u.weight) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS weight, floor((u.remaining) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS remaining FROM b JOIN u ON u.bar_index = (hour(ts) * 60 + minute(ts) - 570) // 5 WHERE session = 'RTH'"))
+@register("ushape_weights", query((
+    "SELECT b.ticker, b.ts, CAST(u.bar_index AS BIGINT) AS bar_index, "
+    "floor((u.weight) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS weight, "
+    "floor((u.remaining) * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS remaining FROM b "
+    "JOIN u ON u.bar_index = (hour(ts) * 60 + minute(ts) - 570) // 5 WHERE session = 'RTH'")))
 def ushape_weights(t: Tables) -> DataFrame:
     """The weight of every RTH bar."""
     index = F.floor((C.seconds_of_day(F.col("ts")) - C.RTH_OPEN) / 300)
@@ -333,7 +393,9 @@ simple("today_range_every_bar", _as_inputs, "ticker day asof_ts session last_pri
 simple("zone_distance", lambda t: t.parts["levels"].withColumn("dist", insights.zone_distance(F.col("last"), F.col("zone_low"), F.col("zone_high"))), "ticker day rank# dist*", "(SELECT ticker, day, rank, greatest(zone_low - last, last - zone_high, 0.0::DOUBLE) AS dist FROM lv)")
 simple("nearest_levels", lambda t: (lambda p: insights.nearest_levels(nowcast.nowcast_today_range(p["inputs"]), p["levels"]))(t.parts),
        "ticker day " + " ".join(f"{s}_{c}" for s in ("sup", "res") for c in ("dist*", "id", "kind", "source", "zone_low*", "zone_high*", "strength#")), "nl")
-simple("zone_strength", lambda t: t.parts["levels"].withColumn("share", insights.zone_strength(F.col("strength"))), "ticker day rank# share*", "(SELECT ticker, day, rank, coalesce(least(greatest((strength - 1) / 4.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE) AS share FROM lv)")
+simple("zone_strength", lambda t: t.parts["levels"].withColumn("share", insights.zone_strength(F.col("strength"))), "ticker day rank# share*", (
+    "(SELECT ticker, day, rank, coalesce(least(greatest((strength - 1) / 4.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE), "
+    "0.0::DOUBLE) AS share FROM lv)"))
 _I = {"level_distance_atr": "sup_dist_atr* res_dist_atr* sup_name res_name", "tape_scores": "sigma_rem_atr* trend* chop* vol*", "near_scores": "near_sup* near_res* near_any* inside_bonus*",
       "likelihoods": "pos_68* stall* breakout_up* breakout_down*", "guidance": "trade_bias directional_premium_allowed prefer_spreads mean_reversion_preferred avoid_trading"}
 for _k, _c in _I.items():
@@ -351,7 +413,10 @@ simple("tomorrow_range", lambda t: eod.tomorrow_range(t.features, t.labels), f"t
 simple("next_session", lambda t: eod.next_session(t.daily), "ticker day next_day", "tom")
 
 
-@register("next_session_calendar", query("SELECT a.ticker, a.day, coalesce(min(c.day), a.day + CASE isodow(a.day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS next_day FROM d a LEFT JOIN (SELECT DISTINCT day FROM d WHERE isodow(day) < 6 AND day <> DATE '2024-01-15') c ON c.day > a.day AND c.day <= a.day + 14 GROUP BY 1, 2"))
+@register("next_session_calendar", query((
+    "SELECT a.ticker, a.day, coalesce(min(c.day), a.day + CASE isodow(a.day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) "
+    "AS next_day FROM d a LEFT JOIN (SELECT DISTINCT day FROM d "
+    "WHERE isodow(day) < 6 AND day <> DATE '2024-01-15') c ON c.day > a.day AND c.day <= a.day + 14 GROUP BY 1, 2")))
 def next_session_calendar(t: Tables) -> DataFrame:
     """Sessions from a calendar: weekdays of the data but one holiday."""
     calendar = t.kept_daily.select("day").distinct().where(F.weekday("day") < 5).where(F.col("day") != F.lit("2024-01-15").cast("date"))
@@ -360,7 +425,9 @@ def next_session_calendar(t: Tables) -> DataFrame:
 
 simple("key_levels", lambda t: eod.key_levels(t.parts["levels"], t.features.select("ticker", "day", F.col("close").alias("px"))), "ticker day side place# id kind source zone_low* zone_high* strength# dist_pts*", "kl")
 register("risk_notes", query("SELECT ticker, day, array_to_string(note_list, '; ') AS risk_notes FROM notes"))(lambda t: eod.tomorrow_range(t.features, t.labels).select("ticker", "day", F.array_join(eod.risk_notes(), "; ").alias("risk_notes")))
-_PLAN = query(f"SELECT n.ticker, n.day, next_day, regime, status, {', '.join(f'floor({c} * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS {c}' for c in ('close', 'sigma_pts', *(x.rstrip('*') for x in _B.split())))}, array_to_string(note_list, '; ') AS risk_notes, coalesce(supports, '') AS supports, coalesce(resistances, '') AS resistances FROM notes n LEFT JOIN (SELECT ticker, day, string_agg(id, ',' ORDER BY place) FILTER (side = 'support') AS supports, string_agg(id, ',' ORDER BY place) FILTER (side = 'resistance') AS resistances FROM kl GROUP BY 1, 2) k USING (ticker, day)")
+_PLAN = query((
+    f"SELECT n.ticker, n.day, next_day, regime, "
+    f"status, {', '.join(f'floor({c} * 1000000::DOUBLE + 0.501::DOUBLE) / 1000000::DOUBLE AS {c}' for c in ('close', 'sigma_pts', *(x.rstrip('*') for x in _B.split())))}, array_to_string(note_list, '; ') AS risk_notes, coalesce(supports, '') AS supports, coalesce(resistances, '') AS resistances FROM notes n LEFT JOIN (SELECT ticker, day, string_agg(id, ',' ORDER BY place) FILTER (side = 'support') AS supports, string_agg(id, ',' ORDER BY place) FILTER (side = 'resistance') AS resistances FROM kl GROUP BY 1, 2) k USING (ticker, day)"))
 
 
 def _plan(df: DataFrame) -> DataFrame:
@@ -381,11 +448,20 @@ def _raw_ingest(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pipelines.ingest_pipeline(raw.where("seq % 3 = 0"), stored, t.universe)
 
 
-_FLOORED = "SELECT ticker, bts AS ts, seq, price, src FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS bts, row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ts DESC, seq DESC) AS n FROM (SELECT *, {0} AS src FROM ticks WHERE seq % {1} = 0)) WHERE n = 1"
+_FLOORED = (
+    "SELECT ticker, bts AS ts, seq, price, src FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS bts, "
+    "row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ts DESC, seq DESC) AS n "
+    "FROM (SELECT *, {0} AS src FROM ticks WHERE seq % {1} = 0)) WHERE n = 1")
 simple("ingest_pipeline", lambda t: _raw_ingest(t)[0].withColumn("price", F.col("close")), "ticker ts seq price*",
-       f"(SELECT * FROM ({_FLOORED.format(0, 2)} UNION ALL {_FLOORED.format(1, 3)}) QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY src DESC, seq DESC) = 1)")
+       (
+           f"(SELECT * FROM ({_FLOORED.format(0, 2)} UNION ALL {_FLOORED.format(1, 3)}) "
+           f"QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY src DESC, seq DESC) = 1)"))
 simple("ticker_status", lambda t: pipelines.ticker_status(t.universe, bars=t.kept_bars.where("ticker <> 'click'"), labels=t.labels.where("regime = 'high_vol'")), "ticker status reason",
-       "(SELECT DISTINCT event_type AS ticker, CASE WHEN event_type = 'click' THEN 'error' WHEN h.ticker IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_type = 'click' THEN 'no bars' WHEN h.ticker IS NULL THEN 'no labels' END AS reason FROM events LEFT JOIN (SELECT DISTINCT ticker FROM dr WHERE regime = 'high_vol') h ON h.ticker = event_type)")
+       (
+           "(SELECT DISTINCT event_type AS ticker, CASE WHEN event_type = 'click' THEN 'error' WHEN h.ticker IS NULL THEN "
+           "'error' ELSE 'ok' END AS status, CASE WHEN event_type = 'click' THEN 'no bars' WHEN h.ticker IS NULL THEN 'no "
+           "labels' END AS reason FROM events LEFT JOIN (SELECT DISTINCT ticker FROM dr "
+           "WHERE regime = 'high_vol') h ON h.ticker = event_type)"))
 
 
 # localization
@@ -395,11 +471,21 @@ def _values_sql(rows: tuple, names: str) -> str:
 
 
 _PAYLOAD = ["last_price", "atr", "sigma_pts", "rv", "er"]
-register("localized_fields", query("SELECT p.ticker, p.day, p.field, coalesce(CASE WHEN en = zh OR zh IS NULL THEN en ELSE en || '/' || zh END, p.field) AS label, CAST(p.known AS BOOLEAN) AS known FROM (SELECT ticker, day, unnest(['last_price', 'atr', 'sigma_pts', 'rv', 'er']) AS field, unnest([last_price IS NOT NULL, atr IS NOT NULL, sigma_pts IS NOT NULL, rv IS NOT NULL, er IS NOT NULL]) AS known FROM today) p LEFT JOIN " + _values_sql(localize.FIELDS, "field, en, zh") + " ON v.field = p.field"))(
+register("localized_fields", query((
+    "SELECT p.ticker, p.day, p.field, coalesce(CASE WHEN en = zh OR zh IS NULL THEN en ELSE en || '/' || zh END, "
+    "p.field) AS label, CAST(p.known AS BOOLEAN) AS known FROM (SELECT ticker, day, unnest(['last_price', 'atr', "
+    "'sigma_pts', 'rv', 'er']) AS field, unnest([last_price IS NOT NULL, atr IS NOT NULL, sigma_pts IS NOT NULL, "
+    "rv IS NOT NULL, er IS NOT NULL]) AS known FROM today) p LEFT JOIN ") + _values_sql(localize.FIELDS, "field, en, zh") + " ON v.field = p.field"))(
     lambda t: localize.localize_fields(localize.unpivoted(t.today, ("ticker", "day"), _PAYLOAD), localize.field_labels(t.spark)).select("ticker", "day", "field", "label", F.col("value").isNotNull().alias("known")))
-register("localized_values", query("SELECT l.ticker, l.day, CAST(l.rank AS BIGINT) AS rank, l.kind AS value, CASE WHEN en = zh THEN en ELSE en || '/' || zh END AS text FROM lv l LEFT JOIN " + _values_sql(localize.VALUES, "what, value, en, zh") + " ON v.what = 'kind' AND v.value = l.kind"))(
+register("localized_values", query((
+    "SELECT l.ticker, l.day, CAST(l.rank AS BIGINT) AS rank, l.kind AS value, "
+    "CASE WHEN en = zh THEN en ELSE en || '/' || zh END AS text FROM lv l LEFT JOIN ") + _values_sql(localize.VALUES, "what, value, en, zh") + " ON v.what = 'kind' AND v.value = l.kind"))(
     lambda t: localize.localize_values(t.parts["levels"].select("ticker", "day", "rank", F.lit("kind").alias("what"), F.col("kind").alias("value")), localize.value_labels(t.spark)).select("ticker", "day", "rank", "value", "text"))
-register("localized_notes", query("SELECT ticker, day, note, CASE WHEN en = zh THEN en ELSE replace(replace(en, '{0}', coalesce(split_part(note, '|', 2), '')), '{1}', coalesce(split_part(note, '|', 3), '')) || ' / ' || replace(replace(zh, '{0}', coalesce(split_part(note, '|', 2), '')), '{1}', coalesce(split_part(note, '|', 3), '')) END AS text FROM (SELECT ticker, day, unnest(notes) AS note FROM why) LEFT JOIN " + _values_sql(localize.TEMPLATES, "k, en, zh") + " ON v.k = split_part(note, '|', 1)"))(
+register("localized_notes", query((
+    "SELECT ticker, day, note, CASE WHEN en = zh THEN en ELSE replace(replace(en, '{0}', coalesce(split_part(note, "
+    "'|', 2), '')), '{1}', coalesce(split_part(note, '|', 3), '')) || ' / ' || replace(replace(zh, '{0}', "
+    "coalesce(split_part(note, '|', 2), '')), '{1}', coalesce(split_part(note, '|', 3), '')) END AS text "
+    "FROM (SELECT ticker, day, unnest(notes) AS note FROM why) LEFT JOIN ") + _values_sql(localize.TEMPLATES, "k, en, zh") + " ON v.k = split_part(note, '|', 1)"))(
     lambda t: localize.localize_rationale(t.insights.select("ticker", "day", F.explode("rationale").alias("note"))))
 _REGIMES = tuple((value, zh) for what, value, _, zh in localize.VALUES if what == "regime")
 register("localized_risk_notes", query(
@@ -411,12 +497,17 @@ register("localized_risk_notes", query(
 
 # training
 simple("training_set", lambda t: (lambda f: ml.training_set(f, regimes.label_regimes(f)))(t.long_features), "ticker day regime close* er*", "ts0")
-register("feature_columns", query("SELECT unnest(['atr', 'rv', 'er', 'slope_close', 'pos_hhll', 'vol_z', 'range_atr', 'gap_atr']) AS name, unnest([count(atr), count(rv), count(er), count(slope_close), count(pos_hhll), count(vol_z), count(range_atr), count(gap_atr)]) AS rows FROM ts0"))(
+register("feature_columns", query((
+    "SELECT unnest(['atr', 'rv', 'er', 'slope_close', 'pos_hhll', 'vol_z', 'range_atr', 'gap_atr']) AS name, "
+    "unnest([count(atr), count(rv), count(er), count(slope_close), count(pos_hhll), count(vol_z), count(range_atr), "
+    "count(gap_atr)]) AS rows FROM ts0")))(
     lambda t: (lambda df, names: df.agg(*[F.count(c).alias(c) for c in names]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("rows")) for c in names])).alias("x")).select("x.*"))(t.training, ml.feature_columns(t.training)))
 simple("time_split", lambda t: t.training, "ticker day split", "ts")
 simple("split_ranges", lambda t: ml.split_ranges(t.training), "ticker split start_day end_day rows#", "(SELECT ticker, split, min(day) AS start_day, max(day) AS end_day, count(*) AS rows FROM ts GROUP BY 1, 2)")
 simple("class_weights", lambda t: ml.class_weights(t.training.where("split = 'train'")).select("ticker", "regime", "weight").distinct(), "ticker regime weight*",
-       "(SELECT ticker, regime, sum(count(*)) OVER (PARTITION BY ticker) / (count(*) OVER (PARTITION BY ticker) * count(*)::DOUBLE) AS weight FROM ts WHERE split = 'train' GROUP BY 1, 2)")
+       (
+           "(SELECT ticker, regime, sum(count(*)) OVER (PARTITION BY ticker) / (count(*) OVER (PARTITION BY ticker) * "
+           "count(*)::DOUBLE) AS weight FROM ts WHERE split = 'train' GROUP BY 1, 2)"))
 _COLS = ("rv", "er", "slope_close", "pos_hhll", "vol_z", "range_atr", "gap_atr")
 
 
@@ -438,12 +529,18 @@ def regime_models_all(t: Tables) -> DataFrame:
     return ml.metrics(ml.predict_all(models, t.training.where("split = 'holdout'"), _COLS))
 
 
-_HIT = "(SELECT ticker, sum(hits) / sum(n)::DOUBLE AS accuracy, avg(hits / n::DOUBLE) AS balanced_accuracy, sum(n) AS rows FROM (SELECT ticker, regime, count(*) FILTER (regime = prediction) AS hits, count(*) AS n FROM pred GROUP BY 1, 2) GROUP BY 1)"
+_HIT = (
+    "(SELECT ticker, sum(hits) / sum(n)::DOUBLE AS accuracy, avg(hits / n::DOUBLE) AS balanced_accuracy, "
+    "sum(n) AS rows FROM (SELECT ticker, regime, count(*) FILTER (regime = prediction) AS hits, count(*) AS n "
+    "FROM pred GROUP BY 1, 2) GROUP BY 1)")
 simple("accuracy", lambda t: ml.metrics(t.predictions), "ticker accuracy* rows#", _HIT)
 simple("balanced_accuracy", lambda t: ml.metrics(t.predictions), "ticker balanced_accuracy* rows#", _HIT)
 simple("confusion_matrix", lambda t: ml.confusion(t.predictions), "ticker regime prediction n#", "conf")
 simple("classification_report", lambda t: ml.class_report(t.predictions), "ticker label precision* recall* f1* support#",
-       "(SELECT * FROM rep UNION ALL SELECT ticker, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rep GROUP BY 1 UNION ALL SELECT ticker, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rep GROUP BY 1)")
+       (
+           "(SELECT * FROM rep UNION ALL SELECT ticker, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) "
+           "FROM rep GROUP BY 1 UNION ALL SELECT ticker, 'weighted avg', sum(precision * support) / sum(support), "
+           "sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rep GROUP BY 1)"))
 simple("model_registry", lambda t: (lambda m: ml.register_model(m.withColumn("version", F.lit("v1")), m.withColumn("version", F.lit("v2")))[1])(
     ml.metrics(t.predictions).select(F.concat(F.lit("regime_"), "ticker").alias("model"), F.lit("2001-12-31").cast("date").alias("asof_day"), "accuracy")), "model version asof_day accuracy*",
        f"(SELECT 'regime_' || ticker AS model, 'v2' AS version, DATE '2001-12-31' AS asof_day, accuracy FROM {_HIT})")
