@@ -283,7 +283,7 @@ def trained(spanned: DataFrame, settings: Settings = Settings()) -> dict[str, tu
     drawn = drawn_spans(spanned.sparkSession, settings.drawn_spans)
     names = ["kind", "value", "h", "before", "after"]
     spans_ = corpus.where(held | (F.pmod(F.shiftright("h", 8), F.lit(1_000_000)) < share * 1_000_000)).select(*names).union(drawn.select(*names))
-    rows = stored(labelled(spans_), "labelled")
+    rows = stored(labelled(spans_.repartition(1 + sum(counts.values()) // 500, "h")), "labelled")
     one = lambda k: fit(rows.where((F.col("kind") == k) & ~held).drop("kind", "h"), rows.where((F.col("kind") == k) & held), settings)
     with ThreadPoolExecutor(len(KINDS)) as pool:  # many short jobs, so the kinds are fitted side by side
         return {k: x for k, x in zip(KINDS, pool.map(one, KINDS), strict=True) if x is not None}
