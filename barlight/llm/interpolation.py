@@ -63,6 +63,19 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(key) % np.uint64(buckets)).astype(np.int64)
 
 
+def short(key: np.ndarray) -> np.ndarray:
+    """Keys of words as they are, of bigrams in 44 bits: what a bucket tells keys apart by. A bucket has some two million
+    keys, so that about one bigram in a million shares its key with another."""
+    return np.where(key < PAIR, key, (_mixed(key ^ np.int64(0x5851F42D4C957F2D)) >> np.uint64(20)).astype(np.int64) | PAIR)
+
+
+def in_order(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of keys by bucket, then short key, and their buckets in that order."""
+    b = bucket_of(key, buckets)
+    order = np.lexsort((short(key), b))
+    return order, b[order]
+
+
 def units(buckets: int, fan: int) -> list[int]:
     """Buckets of a part at each level of dealing, down to one."""
     out, unit = [], buckets
@@ -133,29 +146,26 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Texts]:
 
 
 class Block:
-    """Words of a block by number (END is 0), its stream of them, and its distinct bigrams."""
+    """A block's stream of words by number (END is 0) and its distinct bigrams, with the hashes of the words or without."""
 
-    def __init__(self, words: np.ndarray, stream: np.ndarray, lengths: np.ndarray):
+    def __init__(self, n_words: int, stream: np.ndarray, lengths: np.ndarray, words: np.ndarray | None = None):
         self.words, self.stream = words, stream
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
         before = np.r_[0, stream[:-1]]  # a text begins after an end, and every text ends with one
-        self.pairs, self.pair = np.unique(before * len(words) + stream, return_inverse=True)
-        self.j, self.k = self.pairs // len(words), self.pairs % len(words)
-        self.keys = np.r_[words, pair_key(words[self.j], words[self.k])]
+        pairs, self.pair = np.unique(before * n_words + stream, return_inverse=True)
+        self.j, self.k = pairs // n_words, pairs % n_words
 
-    def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the keys by bucket, then key, and their buckets in that order."""
-        b = bucket_of(self.keys, buckets)
-        order = np.lexsort((self.keys, b))
-        return order, b[order]
+    def keys(self) -> np.ndarray:
+        """Keys of the words, then of the bigrams."""
+        return np.r_[self.words, pair_key(self.words[self.j], self.words[self.k])]
 
 
 def dealt(block: int, keys: np.ndarray, bucket: np.ndarray, unit: int, *more: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """part, block, data of a block's requests; keys come by bucket, then key."""
+    """part, block, data of a block's requests; keys come in_order(). A part of one bucket takes short keys."""
     part = bucket // unit
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
     for i, j in itertools.pairwise(cuts):
-        yield int(part[i]), block, packed(keys[i:j], *(m[i:j] for m in more))
+        yield int(part[i]), block, packed(short(keys[i:j]) if unit == 1 else keys[i:j], *(m[i:j] for m in more), rising=unit == 1)
 
 
 def as_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -165,6 +175,8 @@ def as_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch
 ASKED = {"part": pa.int64(), "block": pa.int64(), "data": pa.binary()}
 TOLD = {"block": pa.int64(), "part": pa.int64(), "data": pa.binary(), "types": pa.int64(), "tokens": pa.int64(), "dev": pa.int64()}
 ASKED_SCHEMA, TOLD_SCHEMA = "part long, block long, data binary", "block long, part long, data binary, types long, tokens long, dev long"
+#: Parts of rows that are no requests: what a chunk keeps of those it merged; states of blocks have this or less.
+MEMO, STATE = -1, -2
 
 
 def grouped(frame: DataFrame, key: str, other: str, work: Callable, schema: str) -> DataFrame:
@@ -179,25 +191,28 @@ def grouped(frame: DataFrame, key: str, other: str, work: Callable, schema: str)
 
 
 def _meet(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Answers of a bucket: for each block the totals of its keys; and the bucket's types, tokens and held-out tokens."""
-    names, parts = zip(*((block, unpacked(data)) for block, data in rows), strict=True)
+    """Answers of a bucket: for each block the totals of its keys; and the bucket's types, tokens and held-out tokens.
+    States of blocks pass."""
+    if part <= STATE:
+        yield from (as_batch([(block, MEMO, data, 0, 0, 0)], TOLD) for block, data in rows)
+        return
+    names, parts = zip(*((block, unpacked(data, rising=True)) for block, data in rows), strict=True)
     key, n, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
     keys, at = np.unique(key, return_inverse=True)
     total, dev = (np.bincount(at, x, len(keys)).astype(np.int64) for x in (n, d))
     own = keys < PAIR
-    out = [(-1, part, b"", int((total[own] > 0).sum()), int(total[own].sum()), int(dev[own].sum()))]
+    yield as_batch([(-1, part, b"", int((total[own] > 0).sum()), int(total[own].sum()), int(dev[own].sum()))], TOLD)
     ends = np.cumsum([len(p[0]) for p in parts])
     for block, p, end in zip(names, parts, ends, strict=True):
         there = at[end - len(p[0]) : end]
-        out.append((block, part, packed(total[there], dev[there]), 0, 0, 0))
-    yield as_batch(out, TOLD)
+        yield as_batch([(block, part, packed(total[there], dev[there]), 0, 0, 0)], TOLD)
 
 
 def _told(rows: Iterator[tuple[int, bytes]]) -> tuple[bytes, list[np.ndarray]]:
-    """The state of a block (its part is -1) and the answers, in order of their parts."""
+    """The state of a block or memo of a chunk (they come first), and the answers in order of their parts."""
     state, parts = None, []
     for part, data in rows:
-        if part < 0:
+        if part == MEMO:
             state = data
         else:
             parts.append(unpacked(data))
@@ -205,12 +220,16 @@ def _told(rows: Iterator[tuple[int, bytes]]) -> tuple[bytes, list[np.ndarray]]:
 
 
 def answered(requests: DataFrame, buckets: int, levels: list[int], chunk_keys: int = CHUNK_KEYS) -> DataFrame:
-    """TOLD: for every request (part, block, data) the training and held-out totals of its keys, in their order."""
+    """TOLD: for every request (part, block, data) the training and held-out totals of its keys, in their order; rows of
+    the states pass, with part MEMO."""
     if levels[0] == 1:
         return grouped(requests, "part", "block", _meet, TOLD_SCHEMA)
     unit = levels[1]
 
     def merge(part: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        if part <= STATE:
+            yield from (as_batch([(part, block, data)], ASKED) for block, data in rows)
+            return
         names, parts, held = [], [], 0
         for block, data in itertools.chain(rows, [(None, None)]):
             if block is not None:
@@ -220,28 +239,53 @@ def answered(requests: DataFrame, buckets: int, levels: list[int], chunk_keys: i
             if names and (block is None or held >= chunk_keys):
                 key, n, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
                 keys, at = np.unique(key, return_inverse=True)
-                b = bucket_of(keys, buckets)
-                order = np.lexsort((keys, b))
+                order, b = in_order(keys, buckets)
                 place = np.empty(len(keys), np.int64)
                 place[order] = np.arange(len(keys))
                 chunk = xxhash.xxh64_intdigest(struct.pack("<qqq", unit, part, names[0])) >> 1
                 memo = packed(np.full(len(names), part), np.array(names), np.array([len(p[0]) for p in parts]), place[at])
                 sums = [np.bincount(at, x, len(keys)).astype(np.int64)[order] for x in (n, d)]
-                yield as_batch([(-1, chunk, memo), *dealt(chunk, keys[order], b[order], unit, *sums)], ASKED)
+                yield as_batch([(MEMO, chunk, memo), *dealt(chunk, keys[order], b, unit, *sums)], ASKED)
                 names, parts, held = [], [], 0
 
     def split(chunk: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        state, (n, d) = _told(rows)
-        part, names, sizes, place = unpacked(state)
+        memo, (n, d) = _told(rows)
+        part, names, sizes, place = unpacked(memo)
         ends = np.cumsum(sizes)
         yield as_batch([(block, p, packed(n[place[e - s : e]], d[place[e - s : e]]), 0, 0, 0)
                         for p, block, s, e in zip(part.tolist(), names.tolist(), sizes.tolist(), ends.tolist(), strict=True)], TOLD)
 
     merged = stored(grouped(requests, "part", "block", merge, ASKED_SCHEMA), "merged-requests")
     below = stored(answered(merged.where("part >= 0"), buckets, levels[1:], chunk_keys), "answers-below")
-    sums = below.where("block = -1")
-    told = below.where("block <> -1").select("block", "part", "data").unionByName(merged.where("part < 0"))
-    return grouped(told, "block", "part", split, TOLD_SCHEMA).unionByName(sums)
+    told = below.where("block <> -1").select("block", "part", "data").unionByName(merged.where(F.col("part") == MEMO))
+    zero = F.lit(0).cast("long")
+    states = merged.where(F.col("part") <= STATE).select("block", F.lit(MEMO).cast("long").alias("part"), "data", zero.alias("types"), zero.alias("tokens"), zero.alias("dev"))
+    return grouped(told, "block", "part", split, TOLD_SCHEMA).unionByName(below.where("block = -1")).unionByName(states)
+
+
+GATHERED = {"block": pa.int64(), "data": pa.binary(), "types": pa.int64(), "tokens": pa.int64(), "dev": pa.int64()}
+GATHERED_SCHEMA = "block long, data binary, types long, tokens long, dev long"
+
+
+def gathered(told: DataFrame, buckets: int) -> DataFrame:
+    """A row for each block: what the scores need of it (ids, nulls, lengths, stream, and the training and held-out totals
+    of its words and bigrams); and rows of block -1 with sums of types, tokens and held-out tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = lambda batch: zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+        for block, group in itertools.groupby((r for batch in batches for r in columns(batch)), lambda r: r[0]):
+            if block == -1:
+                yield as_batch([(-1, b"", *(sum(x) for x in zip(*(r[3:] for r in group), strict=True)))], GATHERED)
+                continue
+            state, counts = _told((r[1], r[2]) for r in group)
+            ids, nulls, lengths, words, stream = unpacked(state)
+            order, _ = in_order(Block(len(words), stream, lengths, words).keys(), buckets)
+            own = np.empty((2, len(order)), np.int64)
+            own[:, order] = counts
+            w = len(words)
+            yield as_batch([(block, packed(ids, nulls, lengths, stream, own[0, :w], own[0, w:], own[1, :w], own[1, w:]), 0, 0, 0)], GATHERED)
+
+    return told.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, GATHERED_SCHEMA)
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -280,29 +324,25 @@ def maximised(b: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
     return weights
 
 
-def learn(gathered: DataFrame, buckets: int, total: int, types: int) -> np.ndarray:
+def learn(blocks_: DataFrame, total: int, types: int) -> np.ndarray:
     """Weights by context bucket from the blocks of the held-out fold, with counts less their own.
 
     Tokens are summed over cells of (context bucket, bigram estimate, unigram estimate) of bounded number, each with
     its mean estimates; expectation-maximisation runs over the cells.
     """
 
-    def cells(block: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        state, told = _told(rows)
-        _, _, lengths, words, stream = unpacked(state)
-        own = Block(words, stream, lengths)
-        order, _ = own.order(buckets)
-        first = np.empty(len(order), np.int64)
-        first[order] = told[0] - told[1]
-        word, pair = first[: len(words)], first[len(words) :]
-        cj = word[own.j]
-        p2, p1 = estimates(cj, word[own.k], pair, total)
-        d = np.bincount(own.pair, minlength=len(pair)).astype(np.float64)
-        key = (context_bucket(cj) * (CELLS + 1) + _scale(p2, CELLS)) * (COARSE + 1) + _scale(p1, COARSE)
-        keys, at = np.unique(key, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(at, x)) for x in (d, d * p2, d * p1))], ["key", "d", "s2", "s1"])
-
-    found = grouped(gathered, "block", "part", cells, CELL_SCHEMA).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("d", "s2", "s1")])
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (x for batch in batches for x in batch.column(0).to_pylist()):
+            _, _, lengths, stream, word, pair, dev_word, dev_pair = unpacked(data)
+            own, word, pair = Block(len(word), stream, lengths), word - dev_word, pair - dev_pair
+            cj = word[own.j]
+            p2, p1 = estimates(cj, word[own.k], pair, total)
+            d = np.bincount(own.pair, minlength=len(pair)).astype(np.float64)
+            key = (context_bucket(cj) * (CELLS + 1) + _scale(p2, CELLS)) * (COARSE + 1) + _scale(p1, COARSE)
+            keys, at = np.unique(key, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(at, x)) for x in (d, d * p2, d * p1))], ["key", "d", "s2", "s1"])
+
+    found = blocks_.select("data").mapInArrow(cells, CELL_SCHEMA).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("d", "s2", "s1")])
     key, d, s2, s1 = (c.to_numpy() for c in found.orderBy("key").toArrow().columns)
     return maximised(key // ((CELLS + 1) * (COARSE + 1)), d, np.column_stack([s2 / d, s1 / d, np.full(len(d), 1.0 / (types + 1))]))
 
@@ -326,40 +366,39 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, block_bytes: int =
         for number, texts in enumerate(blocks(batches, block_bytes)):
             words, stream = texts.numbered()
             lengths = np.array(texts.lengths)
-            own = Block(words, stream, lengths)
+            own = Block(len(words), stream, lengths, words)
             train = (np.array(texts.parts) != TEST)[own.doc].astype(np.float64)
-            n = np.r_[np.bincount(stream, train, len(words)), np.bincount(own.pair, train, len(own.pairs))].astype(np.int64)
+            n = np.r_[np.bincount(stream, train, len(words)), np.bincount(own.pair, train, len(own.j))].astype(np.int64)
             dev = texts.parts[0] == DEV
             block = (TaskContext.get().partitionId() << 32 | number) << 1 | dev
             state = packed(np.array([x or 0 for x in texts.ids]), np.array([x is None for x in texts.ids], np.int64), lengths, words, stream)
-            order, b = own.order(buckets)
-            yield as_batch([(-1, block, state), *dealt(block, own.keys[order], b, levels[0], n[order], n[order] * dev)], ASKED)
-
-    asked = stored(docs.mapInArrow(read, ASKED_SCHEMA), "requests")
-    told = stored(answered(asked.where("part >= 0"), buckets, levels, chunk_keys), "answers")
-    sums = told.where("block = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("dev")).first()
+            keys = own.keys()
+            order, b = in_order(keys, buckets)
+            yield as_batch([(STATE - block % buckets, block, state)], ASKED)
+            for one in dealt(block, keys[order], b, levels[0], n[order], n[order] * dev):
+                yield as_batch([one], ASKED)
+
+    told = answered(docs.mapInArrow(read, ASKED_SCHEMA), buckets, levels, chunk_keys)
+    all_blocks = stored(gathered(told, buckets), "blocks")
+    sums = all_blocks.where("block = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("dev")).first()
     types, total, dev_total = (x or 0 for x in sums)
-    gathered = told.where("block <> -1").select("block", "part", "data").unionByName(asked.where("part < 0"))
-    weights = learn(gathered.where(F.col("block") % 2 == 1), buckets, total - dev_total, types)
-
-    def finish(block: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        state, (n, _) = _told(rows)
-        ids, nulls, lengths, words, stream = unpacked(state)
-        own = Block(words, stream, lengths)
-        order, _ = own.order(buckets)
-        c = np.empty(len(order), np.int64)
-        c[order] = n
-        word, pair = c[: len(words)], c[len(words) :]
-        cj = word[own.j]
-        p2, p1 = estimates(cj, word[own.k], pair, total)
-        a = weights[context_bucket(cj)]
-        log = np.log10(a[:, 0] * p2 + a[:, 1] * p1 + a[:, 2] / (types + 1))
-        base = np.log10((word + 1) / (total + types + 1))
-        sums = [np.bincount(own.doc, x) for x in ((word > 0)[stream], base[stream], log[own.pair])]
-        cols = [pa.array(ids, mask=nulls.astype(bool)), pa.array(lengths), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    return grouped(gathered, "block", "part", finish, RESULT).select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    weights = learn(all_blocks.where("block >= 0 AND block % 2 = 1"), total - dev_total, types)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (x for batch in batches for x in batch.column(0).to_pylist()):
+            ids, nulls, lengths, stream, word, pair, _, _ = unpacked(data)
+            own = Block(len(word), stream, lengths)
+            cj = word[own.j]
+            p2, p1 = estimates(cj, word[own.k], pair, total)
+            a = weights[context_bucket(cj)]
+            log = np.log10(a[:, 0] * p2 + a[:, 1] * p1 + a[:, 2] / (types + 1))
+            base = np.log10((word + 1) / (total + types + 1))
+            sums = [np.bincount(own.doc, x) for x in ((word > 0)[stream], base[stream], log[own.pair])]
+            cols = [pa.array(ids, mask=nulls.astype(bool)), pa.array(lengths), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = all_blocks.where("block >= 0").select("data").mapInArrow(finish, RESULT)
+    return out.select("doc_id", (fold("doc_id") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @tidy

@@ -126,11 +126,11 @@ def plan_probe(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     layouts = {m: correlated_parts(n, both, m) for m in range(2, min(4, distance + 1) + 1)}
-    same = {}
-    for m, groups in layouts.items():
-        for i, g in enumerate(groups):
-            row = fps.groupBy(part_value(g).alias("v")).count().agg(F.sum(F.col("count").cast("double") ** 2)).first()
-            same[m, i] = row[0] or 0.0
+    # pairs that agree on a partition, of all layouts in one pass
+    parts = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), part_value(g).alias("v")) for m, groups in layouts.items() for i, g in enumerate(groups)]
+    each = fps.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.m", "p.i", "p.v").count()
+    same = dict.fromkeys(((m, i) for m, groups in layouts.items() for i in range(len(groups))), 0.0)
+    same |= {(r.m, r.i): r.pairs for r in each.groupBy("m", "i").agg(F.sum(F.col("count").cast("double") ** 2).alias("pairs")).collect()}
     choices = []
     for m, groups in layouts.items():
         cost = []
