@@ -5,8 +5,8 @@ training tokens and V their types; all unknown words are one further type. The w
 expectation-maximisation over the tokens of a held-out fold of the training documents, with counts of the other folds.
 
 Texts are taken in blocks. A block asks for the counts of its distinct words and bigrams: its keys are dealt to
-buckets by hash, a bucket adds up what all blocks have of a key and answers each of them. Keys of a block are
-distinct, so no frequent word or bigram makes a large group. A block deals to at most FAN parts; where there are more
+buckets by hash, a bucket adds up what all blocks have of a key and answers each of them; the block's stream of words
+travels along and meets the answers. Keys of a block are distinct, so no frequent word or bigram makes a large group. A block deals to at most FAN parts; where there are more
 buckets than that, the requests of a part are merged in chunks that ask for their keys in turn, so that the number of
 records follows the input.
 """
