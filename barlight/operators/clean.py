@@ -37,8 +37,9 @@ def build_bars(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
     if width == "1 day":
         return ticks.groupBy("ticker", trading_day(F.col("ts")).alias("day")).agg(*sums)
     start = F.window("ts", width)["start"].cast("timestamp_ntz")
-    bars = ticks.groupBy("ticker", start.alias("ts")).agg(*sums)
-    return bars.select("ticker", trading_day(F.col("ts")).alias("day"), "ts", *PRICES, "volume", label_session(F.col("ts")).alias("session"))
+    # the label is taken from an aggregate, so that a filter on it runs once a bar and isn't pushed down to every tick
+    bars = ticks.groupBy("ticker", start.alias("ts")).agg(*sums, F.min(start).alias("_start"))
+    return bars.select("ticker", trading_day(F.col("ts")).alias("day"), "ts", *PRICES, "volume", label_session(F.col("_start")).alias("session"))
 
 
 def daily_of_bars(bars: DataFrame) -> DataFrame:
