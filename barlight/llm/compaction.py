@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlight.llm.common import fresh_path, tidy
+from barlight.llm.common import fresh_path, maybe_broadcast, tidy
 
 #: Runs that one job merges, a task each.
 JOB_RUNS = 64
@@ -208,12 +208,12 @@ class ShardTable:
         rows = self.spark.read.schema(schema).parquet(*[s.path for s in shards]) if shards else self.spark.createDataFrame([], schema)
         if place is None:
             return rows
-        # files are joined by the end of their path; Spark chooses how by the size of the listing
+        # files are joined by the end of their path
         tail = lambda x: F.regexp_replace(F.substring_index(x, "/", -2), "%3D", "=")
         file = own_name(schema.names, "file")
         listing = [("/".join(s.path.rsplit("/", 2)[1:]), k, s.level) for k, s in enumerate(shards)]
         places = self.spark.createDataFrame(listing, "f string, shard int, merges int").select(F.col("f").alias(file), F.struct("shard", "merges").alias(place))
-        return rows.withColumn(file, tail(F.input_file_name())).join(places, file).drop(file)
+        return rows.withColumn(file, tail(F.input_file_name())).join(maybe_broadcast(places, len(shards)), file).drop(file)
 
 
 @tidy
