@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlight.functions import columns as C
 from barlight.operators import clean, eod, features, insights, levels, localize, ml, nowcast, regimes, session
 from barlight.sources import bars as src
+from barlight.sources import shared
 
 DAY = dt.date(2024, 1, 10)
 BAR = "ticker string, day date, ts timestamp_ntz, open double, high double, low double, close double, volume double, session string"
@@ -223,3 +224,22 @@ def test_a_price_of_zero_or_below_gives_no_return(spark, price):
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], BAR)
     assert session.session_agg(none).count() == 0 and features.daily_features(none.drop("ts", "session")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_a_finished_table_leaves_nothing_else(spark):
+    import os
+
+    kept, since = shared.stored(spark.range(3), "kept"), len(shared.paths())
+    between = shared.stored(kept.where("id > 0"), "between")
+    out = shared.finished(between.selectExpr("id * 2 AS twice"), "out", since)
+    assert sorted(r.twice for r in out.collect()) == [2, 4] and kept.count() == 3 and len(shared.paths()) == since + 1
+    folder = shared.shared_dir(spark).removeprefix("file://") + "/barlight"
+    assert not [f for f in os.listdir(folder) if f.startswith("between-")]
