@@ -9,8 +9,9 @@ from barlight.sources.shared import finished, paths
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or are depleted, and frequent lines from the others."""
-    return line_quality.cleaned(docs)
+    """Drops blank, repetitive and depleted documents, and frequent lines from the others. Short documents stay: of the
+    labelled ones under 50 words, 166 of 189 are good (sf0.1)."""
+    return line_quality.cleaned(docs, line_quality.Limits(least_words=1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
