@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import struct
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,16 +113,17 @@ class Texts:
     """Texts of a block as they come: ids, folds, lengths with the end, and their words by number in order of first use."""
 
     def __init__(self) -> None:
-        self.ids, self.parts, self.lengths, self.local, self.streams, self.load = [], [], [], {END: 0}, [], 0
+        self.ids, self.parts, self.lengths, self.streams, self.load = [], [], [], [], 0
+        self.local: dict[bytes, int] = defaultdict(itertools.count(1).__next__, {END: 0})
 
     def add(self, doc_id: int | None, part: int, text: str | None) -> None:
-        number, local = self.local.setdefault, self.local
-        stream = [number(w, len(local)) for w in tokens(text)]
-        stream.append(0)
+        found = tokens(text)
+        stream = np.zeros(len(found) + 1, np.int32)
+        stream[:-1] = np.fromiter(map(self.local.__getitem__, found), np.int32, len(found))
         self.ids.append(doc_id)
         self.parts.append(part)
         self.lengths.append(len(stream))
-        self.streams.append(np.array(stream, np.int32))
+        self.streams.append(stream)
         self.load += 6 * len(stream) + 60
 
     def numbered(self) -> tuple[np.ndarray, np.ndarray]:
