@@ -29,7 +29,7 @@ from barlight.llm.common import stored, tidy
 
 FOLDS, TEST, DEV = 7, 2, 3
 #: Bytes of text whose keys a bucket holds, and of texts that are counted together as one block.
-BUCKET_BYTES, BLOCK_BYTES = 12 << 20, 4 << 20
+BUCKET_BYTES, BLOCK_BYTES = 12 << 20, 7 << 20
 #: Parts that a block or chunk deals its keys to, and keys that are merged in a chunk.
 FAN, CHUNK_KEYS = 256, 2_000_000
 END = b""  # no word is empty
@@ -65,9 +65,9 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def short(key: np.ndarray) -> np.ndarray:
-    """Keys of words as they are, of bigrams in 44 bits: what a bucket tells keys apart by. A bucket has some two million
-    keys, so that about one bigram in a million shares its key with another."""
-    return np.where(key < PAIR, key, (_mixed(key ^ np.int64(0x5851F42D4C957F2D)) >> np.uint64(20)).astype(np.int64) | PAIR)
+    """Keys of words as they are, of bigrams in 40 bits: what a bucket tells keys apart by. A bucket has some two million
+    keys, so that about one or two bigrams in a million share their key with another."""
+    return np.where(key < PAIR, key, (_mixed(key ^ np.int64(0x5851F42D4C957F2D)) >> np.uint64(24)).astype(np.int64) | PAIR)
 
 
 def in_order(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
