@@ -387,7 +387,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
     """
     names = docs.columns
     own = tucked(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = stored(own.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text")), "texts")
+    first = stored(own.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text"), F.count("*").alias("rows")), "texts")
     buckets = candidate_buckets(first, width, distance)
     drawn = F.struct(F.xxhash64("th", "key").alias("h"), "th")
     heads = buckets.groupBy("key").agg(F.min(drawn)["th"].alias("a"), F.max(drawn)["th"].alias("z")).where("a <> z")
@@ -403,9 +403,14 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
         found = components(edges.union(more))
     least_id = found.join(first.select(F.col("th").alias("node"), "first_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("m"))
     later = found.join(least_id, "root").where(F.col("m.node") != F.col("node")).select(F.col("node").alias("th"))
-    kept = first.select("th", "first_id").join(later, "th", "left_anti").withColumnRenamed("th", "_th")
-    out = own.join(kept, (own.th == kept["_th"]) & own.doc_id.eqNullSafe(kept.first_id), "left_semi")
-    return untucked(out.dropDuplicates(["doc_id", "th"]), names)
+    # most texts are one row that stays: whole texts are dealt anew only where rows share one
+    later = stored(later, "later")
+    many = first.where("rows > 1").select("th", "first_id")
+    touched = stored(later.union(many.select("th")).distinct(), "touched")
+    alone = own.join(maybe_broadcast(touched, touched.count()), "th", "left_anti")
+    many = stored(many.join(later, "th", "left_anti").select(F.col("th").alias("_th"), "first_id"), "many")
+    shared_ = own.join(maybe_broadcast(many, many.count()), (own.th == F.col("_th")) & own.doc_id.eqNullSafe(F.col("first_id")), "left_semi")
+    return untucked(alone.select(*own.columns).union(shared_.dropDuplicates(["doc_id", "th"])), names)
 
 
 @tidy
