@@ -243,14 +243,17 @@ def _array(x: bytes, kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(x, kind)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """stored(), in tighter files: blocks hold texts."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _kept(df: DataFrame, name: str, parts: int) -> DataFrame:
+    """stored(), in tighter files and bucketed by block, so that answers come to the blocks and blocks are not shuffled."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, "block").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of the catalog; the files stay
+    return out
 
 
-def removed_spans(blocks: DataFrame, buckets: int) -> DataFrame:
+def removed_spans(blocks: DataFrame, buckets: int, parts: int) -> DataFrame:
     """block, text, start, end: for each block arrays of spans to remove, of its text-th text, in order."""
     spark = blocks.sparkSession
 
@@ -334,10 +337,10 @@ def removed_spans(blocks: DataFrame, buckets: int) -> DataFrame:
 
     alone = _ranked(_arrow(seeds, MESSAGE, blocks), True)
     schema = ("block long, low long, names binary, which binary, text binary, place binary, owner binary, at binary, first binary, last binary, bytes binary")
-    left = _kept(_arrow(contexts, schema, blocks.join(alone, "block")), "contexts")
+    left = _kept(_arrow(contexts, schema, blocks.hint("merge").join(alone, "block")), "contexts", parts)
     known = stored(_ranked(_arrow(tell, MESSAGE, left.select("block", "low", "names")), False), "answers")
-    more = _ranked(_arrow(windows, MESSAGE, left.join(known, "block")), False).withColumnRenamed("answers", "more")
-    out = stored(_arrow(spans, "block long, text binary, start binary, end binary", left.join(known, "block").join(more, "block", "left")), "spans")
+    more = _ranked(_arrow(windows, MESSAGE, left.hint("merge").join(known, "block")), False).withColumnRenamed("answers", "more")
+    out = stored(_arrow(spans, "block long, text binary, start binary, end binary", left.hint("merge").join(known, "block").join(more, "block", "left")), "spans")
     discard(spark, left, known)
     return out
 
@@ -356,8 +359,9 @@ def kept_texts(docs: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
         return without
     size += n * LEFT
     buckets = max(blocks.least_buckets, size // PLACES * 2 // blocks.bucket_names)
-    table = _kept(placed(own.where("doc_id IS NOT NULL"), size, blocks), "blocks")
-    found = removed_spans(table, buckets)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // blocks.range_bytes))
+    table = _kept(placed(own.where("doc_id IS NOT NULL"), size, blocks), "blocks", parts)
+    found = removed_spans(table, buckets, parts)
 
     def cut(row: dict) -> Iterator[tuple]:
         ids, sizes, data = _array(row["ids"]), _array(row["sizes"]), row["data"]
@@ -372,7 +376,7 @@ def kept_texts(docs: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
             kept = b"".join([*pieces, own[upto:]])
             yield int(ids[k]), len(own), len(own) - len(kept), int(at[k + 1] - at[k]), kept
 
-    return _arrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, data binary", table.join(found, "block", "left")).unionByName(without)
+    return _arrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, data binary", table.hint("merge").join(found, "block", "left")).unionByName(without)
 
 
 @tidy
