@@ -38,6 +38,7 @@ CONTEXT = LEFT + LENGTH
 GAP = 256
 #: Positions named at once; contexts named at once.
 STEP, CONTEXTS = 1 << 18, 20_000
+PLACE_FREE = ~np.uint64(2 * STEP - 1)
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ class Blocks:
     block_bytes: int = 4 << 20
     range_bytes: int = 24 << 20
     bucket_names: int = 4_000_000
-    least_buckets: int = 512
+    least_buckets: int = 256
 
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,16 +96,16 @@ def chosen(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         n = min(STEP, len(part) - LENGTH + 1)
         gaps = np.r_[0, np.cumsum(part == GAP)]
         whole = gaps[LENGTH:LENGTH + n] == gaps[:n]
-        least, at = name, np.arange(len(name), dtype=np.int32)
+        # the place stands in the low bits, so that the least is found with its place, the first of several
+        least = (name & PLACE_FREE) | np.arange(len(name), dtype=np.uint64)
         for h in (1, 2, 4, 8, PLACES - 16):
-            left = least[:-h] <= least[h:]
-            least, at = np.where(left, least[:-h], least[h:]), np.where(left, at[:-h], at[h:])
+            least = np.minimum(least[:-h], least[h:])
         windows = np.flatnonzero(whole)
         if len(windows):
-            at = at[windows]
+            at = (least[windows] & ~PLACE_FREE).astype(np.int64)
             new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (np.diff(windows) > 1)])
             ends = np.r_[new[1:], len(at)] - 1
-            out.append((at[new].astype(np.int64) + s, name[at[new]], windows[new] + s, windows[ends] + s))
+            out.append((at[new] + s, name[at[new]], windows[new] + s, windows[ends] + s))
     if not out:
         return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
     place, name, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
