@@ -16,6 +16,7 @@ from barlight.plans.oracle import query, select
 from barlight.sources import bars as src
 from barlight.sources.shared import fresh_path, stored
 from barlight.streaming import session as streams
+from barlight.streaming import sinks
 
 DAY, AS_OF = "2024-01-20", "1998-06-30"
 
@@ -56,7 +57,7 @@ class Tables:
 
     @property
     def long_daily(self) -> DataFrame:
-        return clean.build_bars(src.ticks_from_lineitem(self.raw("lineitem")), "1 day")
+        return clean.build_bars(src.ticks_from_lineitem(self.raw("lineitem")), "1 day", F.col("seq"))
 
     @cached_property
     def kept_bars(self) -> DataFrame:
@@ -553,14 +554,9 @@ def _streamed(t: Tables, frame: DataFrame, keys: tuple[str, ...], make, mode: st
     frame.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
     source = t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 100).parquet(path)
 
-    def keep(batch: DataFrame, no: int) -> None:
-        batch.withColumn("_batch", F.lit(no)).write.mode("append").parquet(out)
-
-    run = make(source).writeStream.outputMode(mode).option("checkpointLocation", t.scratch("offsets")).foreachBatch(keep).trigger(availableNow=True).start()
+    run = make(source).writeStream.outputMode(mode).option("checkpointLocation", t.scratch("offsets")).foreachBatch(sinks.batch_sink(out)).trigger(availableNow=True).start()
     run.awaitTermination()
-    rows = t.spark.read.parquet(out)
-    newest = rows.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
-    return rows.join(newest, [*keys, "_batch"]).drop("_batch")
+    return sinks.newest_rows(sinks.read_sink(t.spark, out), *keys)
 
 
 simple("stream_session_state", lambda t: _streamed(t, t.bars.drop("session", "day"), ("ticker", "day", "session"), streams.stream_session_state, "update"), "ticker day session high* low* close* bar_count# vwap*", "agg")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,11 +41,16 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
 
 
 def ticks_from_lineitem(lineitem: DataFrame, ticker: str = "l_returnflag") -> DataFrame:
-    """Line items as ticks of a column's values; seq is a struct that orders the ticks of a day."""
+    """Line items as ticks of a column's values, at midnight of the ship date.
+
+    seq orders the ticks of a day: order (14 digits), line (2), part (12) and supplier (10) in one decimal.
+    """
     price, qty = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price.alias("p"), qty.alias("q"))
-    return lineitem.select(F.col(ticker).cast("string").alias("ticker"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
-                           (price / qty).alias("price"), qty.alias("volume"), order.alias("seq"))
+    seq = F.lit(Decimal(0)).cast("decimal(38,0)")
+    for column, digits in (("l_orderkey", 14), ("l_linenumber", 2), ("l_partkey", 12), ("l_suppkey", 10)):
+        seq = (seq * F.lit(Decimal(10**digits)) + F.col(column).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return lineitem.select(F.col(ticker).cast("string").alias("ticker"), F.col("l_shipdate").cast("date").cast("timestamp_ntz").alias("ts"),
+                           (price / qty).alias("price"), qty.alias("volume"), seq.alias("seq"))
 
 
 def unpivot_provider(raw: DataFrame, fields: Sequence[str] = ("Open", "High", "Low", "Close", "Volume")) -> DataFrame:
@@ -99,9 +105,15 @@ def ingest_audit(before: DataFrame, fetched: DataFrame, after: DataFrame) -> Dat
     return out.select("ticker", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_before", "rows_fetched", "rows_after")], "last_ts")
 
 
-def write_bars(df: DataFrame, path: str) -> None:
-    """Replaces the days that df has, and no others, in a table partitioned by day."""
-    df.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def write_bars(df: DataFrame, path: str, file_rows: int = 4_000_000) -> None:
+    """Replaces the days that df has, and no others, in a table partitioned by day.
+
+    Rows are dealt by ranges of day, ticker and time and sorted, so a day of many rows is written by many tasks, files have
+    at most `file_rows` rows, and a filter on a ticker skips the row groups of others.
+    """
+    keys = [c for c in ("day", "ticker", "ts") if c in df.columns]
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "maxRecordsPerFile", file_rows).partitionBy("day").parquet(path)
 
 
 def latest_by_ticker(df: DataFrame, order: str = "day") -> DataFrame:
