@@ -46,7 +46,7 @@ class Blocks:
     """Bytes of text of a block and of a range of ids that one task places, and names of a bucket (at least so many
     buckets, so that they spread)."""
 
-    block_bytes: int = 4 << 20
+    block_bytes: int = 3 << 20
     range_bytes: int = 24 << 20
     bucket_names: int = 4_000_000
     least_buckets: int = 256
@@ -301,8 +301,8 @@ def removed_spans(blocks: DataFrame, buckets: int, parts: int) -> DataFrame:
             some = still[i:i + CONTEXTS]
             own = window_names(symbols[rank[some]])
             x, o = np.nonzero((np.arange(PLACES) >= first[some, None]) & (np.arange(PLACES) <= last[some, None]))
-            context.append(some[x]), offset.append(o), name.append(own[x, o])
-        empty = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            context.append(some[x].astype(np.int32)), offset.append(o.astype(np.int8)), name.append(own[x, o])
+        empty = [np.empty(0, np.int32)], [np.empty(0, np.int8)], [np.empty(0, np.uint64)]
         return (settled, *(np.concatenate(x or e) for x, e in zip((context, offset, name), empty, strict=True)))
 
     def windows(row: dict) -> Iterator[tuple]:
