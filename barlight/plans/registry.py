@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from barlight.functions import columns as C
 from barlight.operators import clean, eod, features, insights, levels, localize, ml, nowcast, regimes, session
-from barlight.plans import pipelines
+from barlight.plans import nightly, pipelines
 from barlight.plans.oracle import query, select
 from barlight.sources import bars as src
+from barlight.sources.models import ModelTable
 from barlight.sources.shared import fresh_path, stored
 from barlight.streaming import session as streams
 from barlight.streaming import sinks
@@ -442,18 +443,21 @@ ORACLES["intraday_pipeline"] = ORACLES["insights"]
 register("intraday_pipeline", ORACLES["insights"])(lambda t: pipelines.intraday_pipeline(t.ticks).select("ticker", "day", "asof_ts", "session", "last_price", "atr", "bars_remaining", *[c.rstrip("*#") for c in " ".join([*_I.values(), _CTX]).split()], F.array_join("rationale", ";").alias("rationale")))
 
 
-def _raw_ingest(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _raw_ingest(t: Tables) -> DataFrame:
+    """A stored table of half of the events, into which a third of them is upserted; read back."""
     e = t.raw("events")
     raw = e.select(F.concat(F.lit("$"), F.upper("event_type")).alias("symbol"), F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Datetime"), *[F.col("value").cast("string").alias(c) for c in ("Open", "High", "Low", "Close")], F.lit("1").alias("Volume"))
-    stored = clean.floor_grid(src.normalize_bars(src.with_universe(raw.where("seq % 2 = 0"), t.universe), "5m", keep=("ticker", "seq")))
-    return pipelines.ingest_pipeline(raw.where("seq % 3 = 0"), stored, t.universe)
+    path, rows = t.scratch("ingested"), pipelines.normalized(raw.where("seq % 2 = 0"), t.universe)[0]
+    src.write_bars(rows, path)
+    pipelines.ingest_into(raw.where("seq % 3 = 0"), path, t.universe, rows.schema)
+    return src.scan_bars(t.spark, path, rows.schema)
 
 
 _FLOORED = (
     "SELECT ticker, bts AS ts, seq, price, src FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS bts, "
     "row_number() OVER (PARTITION BY ticker, time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ts DESC, seq DESC) AS n "
     "FROM (SELECT *, {0} AS src FROM ticks WHERE seq % {1} = 0)) WHERE n = 1")
-simple("ingest_pipeline", lambda t: _raw_ingest(t)[0].withColumn("price", F.col("close")), "ticker ts seq price*",
+simple("ingest_pipeline", lambda t: _raw_ingest(t).withColumn("price", F.col("close")), "ticker ts seq price*",
        (
            f"(SELECT * FROM ({_FLOORED.format(0, 2)} UNION ALL {_FLOORED.format(1, 3)}) "
            f"QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY src DESC, seq DESC) = 1)"))
@@ -465,6 +469,21 @@ simple("ticker_status", lambda t: pipelines.ticker_status(t.universe, bars=t.kep
            "WHERE regime = 'high_vol') h ON h.ticker = event_type)"))
 
 
+
+
+def _faults(t: Tables) -> DataFrame:
+    """One ticker keeps its bad rows; the others run on."""
+    rows = _spoiled(t).where((F.col("ticker") == "click") | ((F.col("seq") % 50 != 0) & (F.col("seq") % 70 != 0)))
+    sound, faults = pipelines.isolate(rows)
+    return pipelines.ticker_status(t.universe, faults=faults, bars=sound)
+
+
+simple("ticker_faults", _faults, "ticker status reason",
+       (
+           "(SELECT DISTINCT event_type AS ticker, CASE WHEN event_type = 'click' THEN 'error' ELSE 'ok' END AS status, "
+           "CASE WHEN event_type = 'click' THEN 'bad prices' END AS reason FROM events)"))
+
+
 # localization
 def _values_sql(rows: tuple, names: str) -> str:
     text = lambda x: "'" + x.replace("'", "''") + "'"
@@ -542,11 +561,37 @@ simple("classification_report", lambda t: ml.class_report(t.predictions), "ticke
            "(SELECT * FROM rep UNION ALL SELECT ticker, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) "
            "FROM rep GROUP BY 1 UNION ALL SELECT ticker, 'weighted avg', sum(precision * support) / sum(support), "
            "sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rep GROUP BY 1)"))
-simple("model_registry", lambda t: (lambda m: ml.register_model(m.withColumn("version", F.lit("v1")), m.withColumn("version", F.lit("v2")))[1])(
-    ml.metrics(t.predictions).select(F.concat(F.lit("regime_"), "ticker").alias("model"), F.lit("2001-12-31").cast("date").alias("asof_day"), "accuracy")), "model version asof_day accuracy*",
+def _registered(t: Tables) -> DataFrame:
+    """Two commits of the same models, and what is loaded then."""
+    table = ModelTable(t.spark, t.scratch("registry"))
+    rows = ml.metrics(t.predictions).select(F.concat(F.lit("regime_"), "ticker").alias("model"), F.lit("2001-12-31").cast("date").alias("asof_day"), "accuracy")
+    for version in ("v1", "v2"):
+        table.commit(rows.withColumn("version", F.lit(version)), table.version())
+    return table.load(F.lit("2001-12-31").cast("date"))
+
+
+simple("model_registry", _registered, "model version asof_day accuracy*",
        f"(SELECT 'regime_' || ticker AS model, 'v2' AS version, DATE '2001-12-31' AS asof_day, accuracy FROM {_HIT})")
 
 
+_NIGHTS = 3
+
+
+@register("features_nightly", select("ticker day atr* rv* er* slope_close* pos_hhll* vol_z* range_atr* gap_atr*", "df", f"WHERE day > (SELECT max(day) - {_NIGHTS} FROM d)"))
+def features_nightly(t: Tables) -> DataFrame:
+    """Features of the last days by nightly runs, each from its own partition and the tail of the run before."""
+    daily, out, tail = t.scratch("daily"), t.scratch("nightly"), t.scratch("tail")
+    src.write_bars(t.kept_daily, daily)
+    last = t.kept_daily.agg(F.max("day")).first()[0]
+    days = [r.day for r in t.kept_daily.select("day").distinct().orderBy("day").collect()]
+    first = [d for d in days if (last - d).days >= _NIGHTS]
+    seed = t.kept_daily.where(F.col("day") <= F.lit(first[-1])) if first else t.kept_daily.limit(0)
+    nightly.leave_tail(seed, tail, str(first[-1]) if first else "0001-01-01")
+    for day in days[len(first):]:
+        nightly.nightly(t.spark, daily, out, tail, str(day))
+    return src.scan_bars(t.spark, out, nightly.features_schema()).drop("open", "high", "low", "close", "volume")
+
+
 # streams: a run over all that is there, as a table
 def _streamed(t: Tables, frame: DataFrame, keys: tuple[str, ...], make, mode: str) -> DataFrame:
     """Writes frame as files in order of time, streams them and returns the newest row of each key."""

@@ -51,13 +51,13 @@ def _folded(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
     for i, name in enumerate(SESSIONS):
         part = rows[rows["session"] == name]
         if len(part):
-            high, low, _, bars, pv, v = own[i]
+            high, low, last, bars, pv, v = own[i]
             best = lambda x, y, f: f([float(z) for z in (x, y) if z is not None and z == z], default=None)
             close = part["close"].iloc[-1]
             volume = part["volume"].fillna(0.0)
             if name == "RTH":
                 pv, v = pv + float(((part["high"] + part["low"] + part["close"]) / 3.0 * volume).sum()), v + float(volume.sum())
-            own[i] = [best(high, part["high"].max(), max), best(low, part["low"].min(), min), None if pd.isna(close) else float(close), bars + len(part), pv, v]
+            own[i] = [best(high, part["high"].max(), max), best(low, part["low"].min(), min), last if pd.isna(close) else float(close), bars + len(part), pv, v]
             changed.append((name, *own[i][:4], pv / v if v > 0 else None))
     if changed:
         state.update((int(rows["at"].iloc[-1]), *(list(x) for x in zip(*own, strict=True))))
