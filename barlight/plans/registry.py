@@ -15,7 +15,7 @@ from barlight.plans import nightly, pipelines
 from barlight.plans.oracle import query, select
 from barlight.sources import bars as src
 from barlight.sources.models import ModelTable
-from barlight.sources.shared import fresh_path, stored
+from barlight.sources.shared import finished, fresh_path, paths, stored, swept_on_failure
 from barlight.streaming import session as streams
 from barlight.streaming import sinks
 
@@ -125,10 +125,16 @@ ORACLES: dict[str, str] = {}
 
 
 def register(key: str, oracle: str | None = None):
-    """Registers a query under a key; the function takes the tables."""
+    """Registers a query under a key; the function takes the tables. A query that stores tables on its way has its result
+    stored and those deleted; the others stay lazy."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[key] = lambda spark, sf_dir: publish(f(Tables(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with swept_on_failure(spark) as since:
+                out = publish(f(Tables(spark, sf_dir)))
+                return finished(out, key, since) if len(paths()) > since else out
+
+        QUERIES[key] = run
         if oracle:
             ORACLES[key] = oracle
         return f

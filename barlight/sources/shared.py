@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +45,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, since: int, upto: int | None = None) -> None:
+    """Deletes what this thread has stored beyond its first `since` paths (up to a number of them)."""
+    for path in paths()[since:upto]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _taken.paths = [*paths()[:since], *(paths()[upto:] if upto is not None else [])]
+
+
 def finished(df: DataFrame, name: str, since: int) -> DataFrame:
     """stored(df), after which everything is deleted that this thread has stored beyond its first `since` paths."""
     spark = df.sparkSession
     out = stored(df, name)
-    own = paths()[-1]
-    for path in paths()[since:-1]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _taken.paths = [*paths()[:since], own]
+    sweep(spark, since, -1)
     return out
+
+
+@contextlib.contextmanager
+def swept_on_failure(spark: SparkSession) -> Iterator[int]:
+    """Gives the number of paths taken so far; what is stored within is deleted if that fails."""
+    since = len(paths())
+    try:
+        yield since
+    except BaseException:
+        sweep(spark, since)
+        raise

@@ -243,3 +243,23 @@ def test_a_finished_table_leaves_nothing_else(spark):
     assert sorted(r.twice for r in out.collect()) == [2, 4] and kept.count() == 3 and len(shared.paths()) == since + 1
     folder = shared.shared_dir(spark).removeprefix("file://") + "/barlight"
     assert not [f for f in os.listdir(folder) if f.startswith("between-")]
+
+
+def test_a_query_leaves_its_result_alone(spark):
+    import os
+
+    from barlight.plans import registry
+
+    folder = shared.shared_dir(spark).removeprefix("file://") + "/barlight"
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = there()
+    out = registry.queries()["session_state_wide"](spark, "/root/testdata/sf0.001")
+    assert [f for f in there() - before if not f.startswith("session_state_wide-")] == [] and out.count() > 0
+    registry.register("failing")(lambda t: (t.kept_bars, 1 / 0))
+    before = there()
+    try:
+        with pytest.raises(ZeroDivisionError):
+            registry.queries()["failing"](spark, "/root/testdata/sf0.001")
+    finally:
+        del registry.QUERIES["failing"]
+    assert there() == before
