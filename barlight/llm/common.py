@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.sources.shared import finished, paths
+from barlight.sources.shared import finished, swept_on_failure
 from barlight.sources.shared import fresh_path as fresh_path
 from barlight.sources.shared import stored as stored
 
@@ -16,6 +16,8 @@ from barlight.sources.shared import stored as stored
 SPACES = r"[\x20\x09-\x0D]+"
 #: A join side of at most this many rows may be broadcast (narrow rows, some tens of MB).
 BROADCAST_ROWS = 200_000
+#: And one with an array column, if its arrays have at most so many entries in all (keys, or spans of some 100 bytes).
+BROADCAST_CELLS = 400_000
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
@@ -32,8 +34,8 @@ def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        since = len(paths())
-        return finished(query(spark, sf_dir), query.__name__, since)
+        with swept_on_failure(spark) as since:
+            return finished(query(spark, sf_dir), query.__name__, since)
 
     return run
 
@@ -43,6 +45,12 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def broadcast_arrays(df: DataFrame, column: str, limit: int = BROADCAST_CELLS) -> DataFrame:
+    """A broadcast hint only where the rows and all entries of an array column together are within their limits."""
+    rows, cells = df.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and cells <= limit else df
+
+
 #: Columns of documents that operators read or change; others pass through untouched, whatever their names.
 USED = ("doc_id", "text", "source", "n_chars")
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import SPACES, maybe_broadcast, single_spaced, stored, tidy, tucked, untucked
+from barlight.llm.common import SPACES, broadcast_arrays, maybe_broadcast, single_spaced, stored, tidy, tucked, untucked
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -141,7 +141,7 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     docs = tucked(docs)
     lost = stored(removed_words(docs.select("doc_id", "text", "source"), limits), "lost").withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
     verdict = base_counts(docs.select("*", F.xxhash64("text").alias("_own")), limits)
-    joined = verdict.join(maybe_broadcast(lost, lost.count()), verdict.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
+    joined = verdict.join(broadcast_arrays(lost, "keys"), verdict.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
     joined = joined.where(~F.col("base_failed") & (F.col("n_words") - F.coalesce("removed", F.lit(0.0)) >= limits.least_kept * F.col("n_words")))
     normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), SPACES, " "))
     without = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("keys", _key(normal(x)))), "\n")

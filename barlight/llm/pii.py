@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.llm.common import maybe_broadcast, stored, tidy, tucked, untucked
+from barlight.llm.common import broadcast_arrays, stored, tidy, tucked, untucked
 
 #: Patterns of the result contract in forms that don't backtrack: a start within a run that has failed from its
 #: beginning fails too, so runs are entered at their beginning or where the last match ended (\G).
@@ -322,7 +322,7 @@ def _with_spans(docs: DataFrame, settings: Settings) -> DataFrame:
     # texts without a candidate never leave their scan; copies are one text
     likely = stored(docs.where(may).select(F.xxhash64(text).alias("_row"), text.alias("text")).withColumn("base", base_spans(F.col("text"))), "likely")
     extra = added_spans(likely, settings).withColumnRenamed("_row", "_added")
-    joined = spanned.join(maybe_broadcast(extra, extra.count()), spanned["_row"] == extra["_added"], "left")
+    joined = spanned.join(broadcast_arrays(extra, "extra"), spanned["_row"] == extra["_added"], "left")
     every = in_order(F.concat("base", F.coalesce("extra", F.array().cast(NONE))))
     return joined.withColumn("spans", every).drop("_row", "_added", "extra")
 

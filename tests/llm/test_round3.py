@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlight.llm import permuterm, prefix_doubling, whitening
+from barlight.llm import common, permuterm, prefix_doubling, whitening
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = str.maketrans(permuterm.UPPER, permuterm.LOWER)
@@ -210,3 +210,9 @@ def test_qd_solver(kind):
         some = values[:vecs.shape[1]] > 1e-12 * true[0]
         v = vecs[:, some]
         assert np.abs(v.T @ v - np.eye(v.shape[1])).max() < 1e-11 and np.abs(m.T @ m @ v - v * values[:len(some)][some]).max() < 1e-11 * true[0]
+
+
+def test_arrays_are_broadcast_by_their_entries(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3]), (2, [])], "k long, x array<int>")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.broadcast_arrays(df, "x", 3)) and not hinted(common.broadcast_arrays(df, "x", 2)) and hinted(common.broadcast_arrays(df.limit(0), "x"))
