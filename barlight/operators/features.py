@@ -10,6 +10,8 @@ from barlight.operators.levels import true_range
 from barlight.sources.bars import latest_by_ticker
 
 MIN_ROWS = 60
+#: Bars of a block of intraday features, up to a day more: some 70 days of a ticker that trades all session.
+BLOCK_BARS = 10_000
 
 
 def _full(value: Column, over: Column, w: WindowSpec, n: int) -> Column:
@@ -34,17 +36,34 @@ def efficiency_ratio(order: WindowSpec, n: int) -> Column:
     return ratio(net, _full(F.sum("_step"), F.col("_step"), order.rowsBetween(-(n - 1), 0), n))
 
 
-def intraday_features(bars: DataFrame, context: DataFrame, n: int = 12) -> DataFrame:
-    """Bars with rv, er, overlap, dist_vwap_atr and pos_rth_range; context: ticker, day, atr, rth_vwap, rth_high, rth_low."""
-    order = Window.partitionBy("ticker").orderBy("ts")
+def day_blocks(bars: DataFrame, halo: int, size: int) -> DataFrame:
+    """ticker, day, block and blocks of each day with bars: blocks are runs of whole days of about `size` bars, and
+    `blocks` holds the day's own and each later one whose first bar has a bar of the day among the `halo` before it."""
+    order = Window.partitionBy("ticker").orderBy("day")
+    days = bars.groupBy("ticker", "day").agg(F.count("*").alias("n"))
+    days = days.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    days = days.withColumn("block", F.floor((F.col("end") - F.col("n")) / size)).withColumn("next", F.lead("block").over(order))
+    ahead = Window.partitionBy("ticker").orderBy("end").rangeBetween(0, halo - 1)
+    return days.select("ticker", "day", "block", F.array_distinct(F.concat(F.array("block"), F.collect_set("next").over(ahead))).alias("blocks"))
+
+
+def intraday_features(bars: DataFrame, context: DataFrame, n: int = 12, block: int = BLOCK_BARS) -> DataFrame:
+    """Bars with rv, er, overlap, dist_vwap_atr and pos_rth_range; context: ticker, day, atr, rth_vwap, rth_high, rth_low.
+
+    A ticker's history is dealt out in blocks of days, each with the n bars before it, so that it is many tasks.
+    """
+    days = day_blocks(bars, n, block).select(F.col("ticker").alias("_t"), F.col("day").alias("_d"), F.col("block").alias("_own"), "blocks")
+    dealt = bars.join(days, bars.ticker.eqNullSafe(F.col("_t")) & bars.day.eqNullSafe(F.col("_d"))).drop("_t", "_d")
+    dealt = dealt.withColumn("_block", F.explode("blocks")).drop("blocks")
+    order = Window.partitionBy("ticker", "_block").orderBy("ts")
     prev_high, prev_low = F.lag("high").over(order), F.lag("low").over(order)
     shared = F.greatest(F.least("high", prev_high) - F.greatest("low", prev_low), F.lit(0.0))
     union = F.greatest("high", prev_high) - F.least("low", prev_low)
-    out = bars.withColumns({"_ret": log_return(order), "_step": F.abs(F.col("close") - F.lag("close").over(order)),
-                            "_share": F.when(prev_high.isNotNull(), F.coalesce(ratio(shared, union), F.lit(0.0)))})
+    out = dealt.withColumns({"_ret": log_return(order), "_step": F.abs(F.col("close") - F.lag("close").over(order)),
+                             "_share": F.when(prev_high.isNotNull(), F.coalesce(ratio(shared, union), F.lit(0.0)))})
     w = order.rowsBetween(-(n - 1), 0)
     out = out.withColumns({"rv": rv(order, n), "er": efficiency_ratio(order, n), "overlap": _full(F.avg("_share"), F.col("_share"), w, n)})
-    out = out.drop("_ret", "_step", "_share").join(context, ["ticker", "day"], "left")
+    out = out.where(F.col("_block") == F.col("_own")).drop("_ret", "_step", "_share", "_block", "_own").join(context, ["ticker", "day"], "left")
     return out.withColumns({"dist_vwap_atr": ratio(F.col("close") - F.col("rth_vwap"), F.col("atr")),
                             "pos_rth_range": ratio(F.col("close") - F.col("rth_low"), F.col("rth_high") - F.col("rth_low"))})
 

@@ -267,3 +267,45 @@ def test_nightly_runs_equal_the_whole(spark, tmp_path):
     for rows in (5, 200):
         nightly.leave_tail(daily, f"{tmp_path}/tail{rows}", "2024-03-01", rows)
         assert spark.read.parquet(f"{tmp_path}/tail{rows}").groupBy("ticker").count().agg(F.max("count")).first()[0] == min(rows, 60)
+
+
+def whole_history(bars, n=12):
+    """rv, er and overlap by one window over a ticker's whole history."""
+    order = Window.partitionBy("ticker").orderBy("ts")
+    w, back = order.rowsBetween(-(n - 1), 0), F.lag("close").over(order)
+    high, low = F.lag("high").over(order), F.lag("low").over(order)
+    both = F.greatest(F.least("high", high) - F.greatest("low", low), F.lit(0.0)) / (F.greatest("high", high) - F.least("low", low))
+    out = bars.withColumns({"r": F.ln(F.col("close") / back), "s": F.abs(F.col("close") - back), "o": F.when(high.isNotNull(), both)})
+    full = lambda f, c: F.when(F.count(c).over(w) == n, f(c).over(w))
+    return out.select("ticker", "ts", full(F.stddev_samp, "r").alias("rv"), full(F.avg, "o").alias("overlap"),
+                      (F.abs(F.col("close") - F.lag("close", n).over(order)) / full(F.sum, "s")).alias("er"))
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 10_000])
+def test_features_by_blocks_of_days(spark, tmp_path, block):
+    """Days of 1 to 30 bars, so that frames reach over several days and blocks."""
+    rng, rows = random.Random(5), []
+    for ticker in ("hot", "thin"):
+        for d in range(60):
+            for k in sorted(rng.sample(range(70), rng.randint(1, 30 if ticker == "hot" else 3))):
+                low, close = rng.uniform(90, 100), rng.uniform(100, 110)
+                rows.append((ticker, dt.date(2024, 1, 1) + dt.timedelta(d), dt.datetime(2024, 1, 1, 10) + dt.timedelta(days=d, minutes=5 * k), close + 1, low, close))
+    spark.createDataFrame(rows, "ticker string, day date, ts timestamp_ntz, high double, low double, close double").write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    context = bars.select("ticker", "day", F.lit(1.0).alias("atr"), *[F.lit(100.0).alias(c) for c in ("rth_vwap", "rth_high", "rth_low")]).distinct()
+    values = lambda df: {(r.ticker, r.ts): (r.rv, r.er, r.overlap) for r in df.collect()}
+    got, want = values(features.intraday_features(bars, context, block=block)), values(whole_history(bars))
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    for key, row in want.items():
+        assert [x is None for x in got[key]] == [x is None for x in row], key
+        assert [x or 0.0 for x in got[key]] == pytest.approx([x or 0.0 for x in row], rel=1e-9, abs=1e-12), key
+    assert sum(v[0] is not None for v in got.values()) == len(rows) - 24
+
+
+def test_a_ticker_is_many_blocks(spark):
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(d), k) for d in range(400) for k in range(5)]
+    bars = spark.createDataFrame([("a", d) for d, _ in days], "ticker string, day date")
+    got = features.day_blocks(bars, 12, 100).collect()
+    assert {r.block for r in got} == set(range(20))
+    assert all(r.blocks[0] == r.block and len(r.blocks) <= 2 for r in got)
+    assert sum(len(r.blocks) == 2 for r in got) == 19 * 3  # three days of five bars cover the twelve before a block
