@@ -7,6 +7,7 @@ candidate counts, and every candidate is verified on the whole fingerprint.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,38 +253,100 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
 SKETCH, BAND = 80, 5  # minima of a text, and how many make a band: 16 bands, 0.998 of pairs at 0.8 share one
 #: A bucket of more texts is dealt out as pairs of blocks of this size; a task holds the shingles of two blocks.
 TEXT_BLOCK = 256
+#: Chance that a pair of the least similarity is set aside by its sketches.
+SET_ASIDE = 1e-9
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashes of the word shingles, A-Z lower-cased; a shorter text is one shingle, an empty one none."""
+def _raw_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles with repeats, A-Z lower-cased; a shorter text is one shingle, an empty one none."""
     found = (text or "").encode().lower().split()
     if not found:
         return np.empty(0, np.uint64)
     grams = [b" ".join(found)] if len(found) < width else map(b" ".join, zip(*(found[k:] for k in range(width)), strict=False))
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), np.uint64))
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), np.uint64)
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the word shingles."""
+    return np.unique(_raw_hashes(text, width))
 
 
-def bands(docs: DataFrame, width: int) -> DataFrame:
-    """th and key, a row for each band of minima of each text."""
+def _majority(raw: np.ndarray) -> int:
+    """Fingerprint of the hashes: a bit is set if over half of them have it."""
+    counts, digests, step = np.zeros(BITS, np.int64), raw.view(np.uint8).reshape(-1, 8), 1 << 16
+    for at in range(0, len(digests), step):
+        counts += np.unpackbits(digests[at : at + step], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big")
+
+
+def marks(own: DataFrame, width: int) -> DataFrame:
+    """doc_id, th and what near copies are looked for by, in one pass over the texts: fp, n (distinct shingles), keys (a hash
+    for each band of minima) and sketch (16 bits of each minimum). Whole texts stay where they are."""
     rng = np.random.default_rng(SEED)
     factors = rng.integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
     mix = rng.integers(1, 1 << 63, BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+    spread = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ths, keys = [], []
-            for th, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingle_hashes(text.as_py(), width)
+            fps, sizes, keys, sketches = [], [], [], []
+            for text in batch.column(2):
+                raw = _raw_hashes(text.as_py(), width)
+                h = np.unique(raw)
+                fps.append(_majority(raw))
+                sizes.append(len(h))
+                banded, sketch = np.empty(0, np.uint64), b""
                 if len(h):
                     h ^= h >> np.uint64(29)
                     low = np.minimum.reduce([(h[at : at + 4096, None] * factors).min(axis=0) for at in range(0, len(h), 4096)])
                     banded = ((low >> np.uint64(7)).reshape(-1, BAND) * mix).sum(axis=1, dtype=np.uint64)
-                    ths += [th] * len(banded)
-                    keys.append(banded ^ (np.arange(len(banded), dtype=np.uint64) << np.uint64(58)))
-            if ths:
-                yield pa.RecordBatch.from_arrays([pa.array(ths, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["th", "key"])
+                    banded ^= np.arange(len(banded), dtype=np.uint64) << np.uint64(58)
+                    sketch = ((low * spread) >> np.uint64(48)).astype("<u2").tobytes()
+                keys.append(banded.view(np.int64))
+                sketches.append(sketch)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
+                       pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "fp", "n", "keys", "sketch"])
+
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, fp long, n int, keys array<long>, sketch binary")
+
 
-    return docs.select("th", "text").mapInArrow(run, "th long, key long")
+def least_agreeing(least: float) -> int:
+    """Minima of two sketches that agree at least, but for a chance of SET_ASIDE, if the texts are so similar."""
+    below, m = 0.0, 0
+    while (below := below + math.comb(SKETCH, m) * least**m * (1 - least) ** (SKETCH - m)) < SET_ASIDE:
+        m += 1
+    return m
+
+
+def _agree(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, least: float, agreeing: int) -> np.ndarray:
+    """Whether sketches and numbers of shingles allow the similarity."""
+    return ((x == y).sum(axis=-1) >= agreeing) & (np.minimum(n_x, n_y) >= least * np.maximum(n_x, n_y))
+
+
+def _minima(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
+
+
+def promising(pairs: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity; all others are less similar (SET_ASIDE)."""
+    agreeing = least_agreeing(least)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ok = _agree(_minima(f.sketch_a), _minima(f.sketch_b), f.n_a.to_numpy(), f.n_b.to_numpy(), least, agreeing)
+            yield f.loc[ok, ["a", "b"]]
+
+    side = lambda x: first.where("n > 0").select(F.col("th").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def texts_of(own: DataFrame, first: DataFrame, wanted: DataFrame) -> DataFrame:
+    """th and text, a row for each of the wanted th; only rows of the least id are moved, so exact copies stay."""
+    wanted = stored(first.join(wanted.distinct(), "th", "left_semi").select(F.col("th").alias("_th"), "first_id"), "wanted")
+    found = own.join(maybe_broadcast(wanted, wanted.count()), (own.th == F.col("_th")) & own.doc_id.eqNullSafe(F.col("first_id")), "left_semi")
+    return stored(found.select("th", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["th"]), "wanted-texts")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -305,13 +368,13 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return pairs.join(named("a"), "a").join(named("b"), "b").mapInPandas(run, "a long, b long")
 
 
-def candidate_buckets(first: DataFrame, width: int, distance: int) -> DataFrame:
+def candidate_buckets(first: DataFrame, distance: int) -> DataFrame:
     """key and th: the bands of minima, and the components of fingerprints within `distance` bits, of the texts."""
-    prints = fingerprints(first.select(F.col("th").alias("doc_id"), "text"), width)
-    prints = stored(prints.select(F.col("doc_id").alias("th"), "fp"), "prints")
-    fps = stored(prints.select("fp").distinct(), "distinct")
-    close = prints.join(components(links(fps, distance)), F.col("fp") == F.col("node"), "left")
-    return stored(bands(first, width).union(close.select(F.xxhash64(F.coalesce("root", "fp")).alias("key"), "th")), "buckets")
+    fps = stored(first.select("fp").distinct(), "distinct")
+    named = components(links(fps, distance))
+    near = first.select("th", "fp").join(named, F.col("fp") == F.col("node"), "left")
+    banded = first.select(F.explode("keys").alias("key"), "th")
+    return stored(banded.union(near.select(F.xxhash64(F.coalesce("root", "fp")).alias("key"), "th")), "buckets")
 
 
 def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,11 +388,32 @@ def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rooted.join(maybe_broadcast(left, left.count()), "key"), "unsettled")
 
 
-def similar_in_buckets(pending: DataFrame, texts: DataFrame, width: int, least: float, block: int = TEXT_BLOCK) -> DataFrame:
+def dealt_out(pending: DataFrame, block: int) -> DataFrame:
+    """key, i, j, th, root: every text of a bucket in each pair (i, j) of blocks that its own block is in."""
+    zero, blocks = F.lit(0).cast("long"), F.ceil(F.col("size") / block)
+    dealt = pending.withColumn("own", F.pmod(F.xxhash64("th"), blocks)).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "th", "root")
+
+
+def promising_in_blocks(dealt: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """The rows of dealt_out() that have a partner of another label whose sketch allows the similarity in their blocks."""
+    agreeing = least_agreeing(least)
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x, n, root = _minima(f.sketch), f.n.to_numpy(), f.root.to_numpy()
+        ok = [bool((_agree(x, x[i], n, n[i], least, agreeing) & (root != root[i])).any()) for i in range(len(f))]
+        return f.loc[ok, ["key", "i", "j", "th", "root"]]
+
+    sketched = dealt.join(first.where("n > 0").select("th", "n", "sketch"), "th")
+    return sketched.groupBy("key", "i", "j").applyInPandas(run, "key long, i long, j long, th long, root long")
+
+
+def similar_in_buckets(dealt: DataFrame, texts: DataFrame, width: int, least: float, block: int = TEXT_BLOCK) -> DataFrame:
     """Edges (a, b) of at least this similarity that span, with the labels, all such pairs of each bucket.
 
     Every pair of texts of different labels is compared, unless edges found before already join the two. A bucket
-    of more than `block` texts is dealt out as pairs of blocks, so that no bucket lands in one task.
+    of more than `block` texts is dealt out as pairs of blocks, so that no bucket lands in one task; rows with a column
+    i have been dealt out already.
     """
 
     def link(th: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -368,11 +452,9 @@ def similar_in_buckets(pending: DataFrame, texts: DataFrame, width: int, least:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    zero, blocks = F.lit(0).cast("long"), F.ceil(F.col("size") / block)
-    dealt = pending.withColumn("own", F.pmod(F.xxhash64("th"), blocks)).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "th", "root")
-    own = texts.join(pending.select("th").distinct(), "th", "left_semi")
-    rows = dealt.join(own.select("th", "text"), "th").select("key", "i", "j", "th", "root", "text")
+    if "i" not in dealt.columns:
+        dealt = dealt_out(dealt, block)
+    rows = dealt.join(texts.select("th", "text"), "th").select("key", "i", "j", "th", "root", "text")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
@@ -380,25 +462,34 @@ def drop_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distan
     """One row of each group of near copies, that of the least id: texts whose shingle sets are similar, transitively.
 
     Fingerprints within `distance` bits are candidates, but of texts of similarity 0.8 only some tenth are so close,
-    so equal bands of minima add candidates; every candidate is verified on whole texts. The texts of a bucket meet
-    two drawn from it first; then, in buckets that this leaves in several groups, all pairs of different groups are
-    compared. Exact copies are one text throughout; equal rows are copies too; null
-    texts are copies of each other; an empty table gives an empty result; all columns of docs are kept.
+    so equal bands of minima add candidates. The texts of a bucket meet two drawn from it first; then, in buckets that this
+    leaves in several groups, all pairs of different groups are compared. Sketches of 160 bytes set aside pairs that are
+    not so similar; the others are verified on whole texts, and only those texts are moved. Exact copies are one text
+    throughout; equal rows are copies too; null texts are copies of each other, and of empty ones; a text of any length is
+    one row, and blocks of a bucket hold the shingles of some 512 texts at a time; ties go to the text of least hash; an
+    empty table gives an empty result; all columns of docs are kept.
     """
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     own = tucked(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = stored(own.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text"), F.count("*").alias("rows")), "texts")
-    buckets = candidate_buckets(first, width, distance)
-    drawn = F.struct(F.xxhash64("th", "key").alias("h"), "th")
-    heads = buckets.groupBy("key").agg(F.min(drawn)["th"].alias("a"), F.max(drawn)["th"].alias("z")).where("a <> z")
-    shared = stored(buckets.join(heads, "key"), "shared")
+    every = stored(marks(own, width), "marks")
+    same = [F.any_value(c).alias(c) for c in ("fp", "n", "keys", "sketch")]  # equal for equal texts
+    first = stored(every.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), *same), "texts")
+    discard(spark, every)
+    buckets = candidate_buckets(first, distance)
+    drawn = F.struct(F.xxhash64("th").alias("h"), "th")
+    heads = stored(buckets.groupBy("key").agg(F.min(drawn)["th"].alias("a"), F.max(drawn)["th"].alias("z")).where("a <> z"), "heads")
+    shared = stored(buckets.join(maybe_broadcast(heads, heads.count()), "key"), "shared")
+    discard(spark, buckets)
     near = shared.select(F.explode(F.array("a", "z")).alias("a"), F.col("th").alias("b"))
-    pairs = stored(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    touched = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
-    edges = stored(similar(pairs, first.join(touched, "th", "left_semi"), width, least), "similar")
+    pairs = near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stored(promising(pairs, first, least), "pairs")
+    texts = texts_of(own, first, pairs.select(F.explode(F.array("a", "b")).alias("th")))
+    edges = stored(similar(pairs, texts, width, least), "similar")
     found = components(edges)
+    discard(spark, texts)
     pending = unsettled(shared.select("key", "th"), found)
-    more = stored(similar_in_buckets(pending, first, width, least), "similar-in-buckets")
+    dealt = stored(promising_in_blocks(dealt_out(pending, TEXT_BLOCK), first, least), "dealt")
+    more = stored(similar_in_buckets(dealt, texts_of(own, first, dealt.select("th")), width, least), "similar-in-buckets")
     if not more.isEmpty():
         found = components(edges.union(more))
     least_id = found.join(first.select(F.col("th").alias("node"), "first_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("m"))
