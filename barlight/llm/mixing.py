@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barlight.llm.common import maybe_broadcast, n_words, stored, tidy, tucked, untucked
 
@@ -126,18 +127,13 @@ def slots(spark: SparkSession, plan: Plan, shard_blocks: int = SHARD_BLOCKS, see
                 yield pd.DataFrame({"shard": int(shard), "source_no": source, "n": counts})
 
     drawn = stored(spark.range(0, count, 1, min(count, 200)).mapInPandas(draw, "shard long, source_no int, n long"), "draws")
-    tally = dict.fromkeys(range(len(quotas)), 0) | {r.source_no: r.n for r in drawn.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
-    moves, needs = [], [[t, tally[t], quotas[t] - tally[t]] for t in sorted(tally) if tally[t] < quotas[t]]
-    for s in sorted(tally):
-        at, left = quotas[s], tally[s] - quotas[s]
-        while left > 0:
-            t, first, need = needs[0]
-            n = min(left, need)
-            moves.append((s, at, at + n, t, first))
-            at, left = at + n, left - n
-            needs[0] = [t, first + n, need - n]
-            if need == n:
-                needs.pop(0)
+    drawn_of = np.zeros(len(quotas), np.int64)
+    for r in drawn.groupBy("source_no").agg(F.sum("n").alias("n")).collect():  # a row a source
+        drawn_of[r.source_no] = r.n
+    # slots above a source's quota, in order, take the places that sources below theirs lack, in order
+    quota = np.array(quotas, np.int64)
+    surplus, lack = np.maximum(drawn_of - quota, 0), np.maximum(quota - drawn_of, 0)
+    before_surplus, upto_lack = np.cumsum(surplus) - surplus, np.cumsum(lack)
     # ordinals of a source's slots: sums over chunks of shards, then within them
     chunked = drawn.withColumn("chunk", F.floor(F.col("shard") / 4096))
     w = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,10 +147,10 @@ def slots(spark: SparkSession, plan: Plan, shard_blocks: int = SHARD_BLOCKS, see
     def to_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             no, k = f.source_no.to_numpy(np.int64).copy(), f.k.to_numpy(np.int64).copy()
-            was, at = no.copy(), k.copy()
-            for s, a, b, t, first in moves:
-                hit = (was == s) & (at >= a) & (at < b)
-                no[hit], k[hit] = t, at[hit] - a + first
+            over = k >= quota[no]
+            at = before_surplus[no[over]] + k[over] - quota[no[over]]
+            to = np.searchsorted(upto_lack, at, side="right")
+            no[over], k[over] = to, drawn_of[to] + at - (upto_lack[to] - lack[to])
             n = blocks[no]
             key = (np.uint64(seed) << np.uint64(32)) + (no.astype(np.uint64) << np.uint64(8)) + (k // n).astype(np.uint64)
             yield pd.DataFrame({"shard": f.shard, "source_no": no, "block": permuted(k % n, n, _mixed(key, key))})
@@ -190,23 +186,37 @@ def mix(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
 def mixed_documents(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     """The mix itself with the columns of docs: a row for each part of a text in each slot that its block fills.
 
-    text is the part with its own white space, n_chars (where docs has it) its length; empty texts take no slot.
+    text is the part with its own white space, n_chars (where docs has it) its length; empty texts take no slot. Rows are
+    placed without their texts, and texts meet their parts in one join; rows that are equal in all columns share a text.
+    A text of any length is one row, whose words are split once.
     """
     names = docs.columns
     docs = tucked(docs)
-    sized = docs.withColumns({"_size": n_words(F.col("text")), "_tie": F.xxhash64("text")})
+    rest = [F.to_json("_rest")] if isinstance(docs.schema["_rest"].dataType, StructType) else []
+    every = ["text", "source", *(["n_chars"] if "n_chars" in names else [])]
+    docs = docs.withColumn("_own", F.xxhash64(*every, *rest))
+    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"), "_own"), "sized")
     plan, placed = place(sized, block=block)
     placed = stored(placed, "placed")
     # stored, so that its join is planned by its real size
     often = stored(slots(docs.sparkSession, plan).groupBy("source_no", "block").agg(F.count("*").cast("int").alias("times")), "often")
+    part = F.struct(*[F.col(c).cast("int").alias(c) for c in ("first", "n", "times")])
+    parts = pieces(placed, block).join(often, ["source_no", "block"]).groupBy("source_no", "bucket", "row", "doc_id", "_own").agg(
+        F.collect_list(part).alias("_parts"))  # a part for each block that a text lies in
+    parts = parts.select(F.col("doc_id").alias("_id"), F.col("_own").alias("_part_of"), "_parts")
+    again = stored(sized.groupBy("doc_id", "_own").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_again"), F.col("_own").alias("_again_own")), "again")
+    among = docs.doc_id.eqNullSafe(F.col("_again")) & (docs["_own"] == F.col("_again_own"))
+    small = maybe_broadcast(again, again.count())
+    single = docs.join(small, among, "left_anti").union(docs.join(small, among, "left_semi").dropDuplicates(["doc_id", "_own"]))
     # words with the separators that follow them; leading separators belong to the first
     tokens = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    cut = pieces(placed.withColumn("_tokens", F.filter(tokens, lambda t: F.rtrim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")) != "")), block)
-    part = F.array_join(F.slice("_tokens", (F.col("first") + 1).cast("int"), F.col("n").cast("int")), "")
-    cut = cut.withColumn("text", part).select("source_no", "block", *docs.columns)
+    tokens = F.filter(tokens, lambda t: F.rtrim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")) != "")
+    cut = lambda w, p: F.struct(F.array_join(F.slice(w, p["first"] + 1, p["n"]), "").alias("text"), p["times"].alias("times"))
+    whole = single.join(parts, single.doc_id.eqNullSafe(parts["_id"]) & (single["_own"] == parts["_part_of"]))
+    out = whole.withColumn("_cut", F.explode(F.transform(F.array(tokens), lambda w: F.transform("_parts", lambda p: cut(w, p)))[0]))
+    out = out.withColumn("text", F.col("_cut.text")).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_cut.times"))))
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    out = cut.join(often, ["source_no", "block"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return untucked(out, names)
 
 
