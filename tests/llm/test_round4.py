@@ -33,3 +33,13 @@ def test_a_seed_of_two_texts_counts_with_those_of_many(spark):
     df = spark.createDataFrame(list(enumerate(texts_ + both)), "doc_id long, text string")
     got = [r for r in chaining.shared_passages(df).collect() if {r.doc_id, r.other_id} == {80, 81}]
     assert got and max(r.words for r in got) == 49
+
+
+def test_every_document_with_a_passage_is_listed(spark, tmp_path):
+    rng = np.random.default_rng(33)
+    passage = [f"p{i}" for i in range(60)]
+    texts_ = [joined(rng, 30, passage, 10) for _ in range(20)] + [joined(rng, 100) for _ in range(20)]
+    spark.createDataFrame(list(enumerate([*texts_, texts_[0]])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = chaining.op9_chained_passages(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {*range(20), 40}
+    assert {(r.doc_id, r.start_word, r.other_id, r.other_start) for r in got if r.kind == "passage"} == {(r.other_id, r.other_start, r.doc_id, r.start_word) for r in got if r.kind == "passage"}
