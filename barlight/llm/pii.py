@@ -11,7 +11,6 @@ covers carry no label.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
@@ -285,8 +284,8 @@ def trained(spanned: DataFrame, settings: Settings = Settings()) -> dict[str, tu
     spans_ = corpus.where(held | (F.pmod(F.shiftright("h", 8), F.lit(1_000_000)) < share * 1_000_000)).select(*names).union(drawn.select(*names))
     rows = stored(labelled(spans_.repartition(1 + sum(counts.values()) // 500, "h")), "labelled")
     one = lambda k: fit(rows.where((F.col("kind") == k) & ~held).drop("kind", "h"), rows.where((F.col("kind") == k) & held), settings)
-    with ThreadPoolExecutor(len(KINDS)) as pool:  # many short jobs, so the kinds are fitted side by side
-        return {k: x for k, x in zip(KINDS, pool.map(one, KINDS), strict=True) if x is not None}
+    # one after another: side by side the driver holds the plans, tasks and code of all kinds at once
+    return {k: x for k in KINDS if (x := one(k)) is not None}
 
 
 def _without_overlaps(spans_: Column) -> Column:

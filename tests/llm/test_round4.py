@@ -1,9 +1,12 @@
-"""Passages whose seeds many texts hold, and who is listed with a passage."""
+"""Passages whose seeds many texts hold, who is listed with a passage, and fits of the kinds of personal data."""
+
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from barlight.llm import chaining
+from barlight.llm import chaining, pii
 from tests.llm.test_operators import joined
 
 
@@ -43,3 +46,19 @@ def test_every_document_with_a_passage_is_listed(spark, tmp_path):
     got = chaining.op9_chained_passages(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {*range(20), 40}
     assert {(r.doc_id, r.start_word, r.other_id, r.other_start) for r in got if r.kind == "passage"} == {(r.other_id, r.other_start, r.doc_id, r.start_word) for r in got if r.kind == "passage"}
+
+
+def test_kinds_are_fitted_one_after_another(spark, monkeypatch):
+    """The driver holds plans, tasks and code of one kind's fit at a time."""
+    running, most = [], []
+
+    def fit(rows, held, settings):
+        running.append(1)
+        time.sleep(0.3)
+        most.append(len(running))
+        running.pop()
+        return most[-1], None, 0.5
+
+    monkeypatch.setattr(pii, "fit", fit)
+    df = spark.createDataFrame([(0, "mail jo@mail.com or call +44 123 456 7890")], "doc_id long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    assert list(pii.trained(df, pii.Settings(drawn_spans=5))) == list(pii.KINDS) and most == [1] * 4
